@@ -7,13 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cognatus.llm import langid, mixing, packing, simhash
+from cognatus.llm import ann, embdedup, langid, mixing, packing, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+    return found.select("query_id", "rank", F.col("neighbour_id").alias("vec_id"), "score")
+
+
+def op2_embdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = embdedup.embedding_groups(table(spark, sf_dir, "embeddings"), threshold=0.9)
+    return groups.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count("text").alias("size"))
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -48,6 +58,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ann": op1_ann,
+        "op2_embdedup": op2_embdedup,
         "op3_mixing": op3_mixing,
         "op5_simhash": op5_simhash,
         "op9_packing": op9_packing,
