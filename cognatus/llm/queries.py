@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cognatus.llm import ann, embdedup, langid, mixing, packing, simhash
+from cognatus.llm import ann, archive, embdedup, langid, mixing, packing, simhash
+from cognatus.session import shared_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +36,13 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("id").alias("doc_id"), digits.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "warc")
+    archive.archive(table(spark, sf_dir, "pages"), path)
+    found = archive.captures_in(spark, path)
+    return found.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -62,11 +70,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_embdedup": op2_embdedup,
         "op3_mixing": op3_mixing,
         "op5_simhash": op5_simhash,
+        "op8_warc": op8_warc,
         "op9_packing": op9_packing,
         "op10_langid": op10_langid,
         "pipeline": pipeline,
     }
 
 
+OP8_SQL = """
+WITH p AS (
+    SELECT page_id, encode(coalesce(html, '')) AS b FROM pages
+), q AS (
+    SELECT page_id, octet_length(b) AS n, sha256(b) AS d FROM p
+), r AS (
+    SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY d) END AS first FROM q
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+       CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_warc": OP8_SQL}
