@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cognatus.llm import ann, archive, boilerplate, embdedup, langid, mixing, packing, simhash
+from cognatus.llm import ann, archive, boilerplate, embdedup, langid, maxent, mixing, packing, simhash
 from cognatus.session import shared_path
 
 
@@ -36,6 +36,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("id").alias("doc_id"), digits.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score_documents(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = boilerplate.main_texts(table(spark, sf_dir, "pages"))
     return texts.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -75,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_embdedup": op2_embdedup,
         "op3_mixing": op3_mixing,
         "op5_simhash": op5_simhash,
+        "op6_lm": op6_lm,
         "op7_html": op7_html,
         "op8_warc": op8_warc,
         "op9_packing": op9_packing,
