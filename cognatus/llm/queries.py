@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cognatus.llm import ann, archive, boilerplate, embdedup, langid, maxent, mixing, packing, simhash
+from cognatus.llm import ann, archive, boilerplate, embdedup, langid, maxent, mixing, packing, simhash, urllists
 from cognatus.session import shared_path
 
 
@@ -30,6 +30,73 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+#: One year of dated entries for the hosts and first path segments of all pages, by their digests.
+ENTRIES_SQL = """
+WITH p AS (
+    SELECT DISTINCT regexp_extract(url, '^[^/?#]*//(?:[^/?#@]*@)?([^/?#:]*)', 1) AS h,
+           split_part(regexp_extract(url, '^[^/?#]*//[^/?#]*([^?#]*)', 1), '/', 2) AS s
+    FROM pages
+), hosts AS (
+    SELECT DISTINCT h, {num}substr(md5(h), 1, 4){ber} % 365 AS d1, {num}substr(md5(h), 5, 4){ber} % 200 + 1 AS d2,
+           {num}substr(md5(h), 9, 1){ber} AS c FROM p WHERE h <> ''
+), ways AS (
+    SELECT h, s, {num}substr(md5(h || '/' || s), 1, 4){ber} % 365 AS d, {num}substr(md5(h || '/' || s), 5, 1){ber} AS c
+    FROM p WHERE h <> '' AND s <> ''
+), domains AS (
+    SELECT DISTINCT regexp_extract(h, '([^.]*[.][^.]*)$', 1) AS g FROM hosts
+), e AS (
+    SELECT 'malware' AS list, 'host' AS kind, h AS pattern, 'block' AS action, d1 AS d FROM hosts WHERE c < 12
+    UNION ALL SELECT 'malware', 'host', h, 'remove', d1 + d2 FROM hosts WHERE c < 12
+    UNION ALL SELECT 'malware', 'host', h, 'block', d1 + d2 + 30 FROM hosts WHERE c < 6
+    UNION ALL SELECT 'adult', 'prefix', h || '/' || s, 'block', d FROM ways WHERE c < 5
+    UNION ALL SELECT 'review', 'prefix', h || '/' || s, 'allow', d FROM ways WHERE c > 12
+    UNION ALL SELECT 'phishing', 'domain', g, 'block', 300 FROM domains
+    UNION ALL SELECT 'phishing', 'domain', g, 'remove', 330 FROM domains
+)
+SELECT list, kind, pattern, action, 1704067200 + CAST(d AS BIGINT) * 86400 AS listed FROM e
+"""
+CAPTURES_SQL = "SELECT page_id, url, 1704067200 + (page_id * 7919 % 525600) * 60 AS fetched FROM pages"
+
+
+def _entries(num: str, ber: str) -> str:
+    return ENTRIES_SQL.replace("{num}", num).replace("{ber}", ber)
+
+
+def op4_urllists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    entries = spark.sql(_entries("CAST(conv(", ", 16, 10) AS BIGINT)").replace("FROM pages", "FROM {pages}"), pages=pages)
+    entries = entries.withColumn("listed_at", F.timestamp_seconds("listed")).drop("listed")
+    captures = spark.sql(CAPTURES_SQL.replace("FROM pages", "FROM {pages}"), pages=pages).withColumn("fetched_at", F.timestamp_seconds("fetched"))
+    judged = urllists.judge(captures, entries)
+    return judged.select("page_id", "url", "fetched", "verdict", "list", "pattern", F.unix_timestamp("since").alias("since"))
+
+
+OP4_SQL = f"""
+WITH captures AS ({CAPTURES_SQL}), entries AS ({_entries("CAST('0x' || ", " AS BIGINT)")}
+), w AS (
+    SELECT list, kind, pattern, listed, max(CASE action WHEN 'block' THEN 2 WHEN 'allow' THEN 1 ELSE 0 END) AS w
+    FROM entries GROUP BY ALL
+), v AS (
+    SELECT *, lead(listed) OVER (PARTITION BY list, kind, pattern ORDER BY listed) AS until FROM w
+), k AS (
+    SELECT *, regexp_extract(url, '^[^/?#]*//(?:[^/?#@]*@)?([^/?#:]*)', 1) AS h,
+           regexp_extract(url, '^[^/?#]*//[^/?#]*([^?#]*)', 1) AS way FROM captures
+), m AS (
+    SELECT k.page_id, k.url, k.fetched, v.*,
+           row_number() OVER (
+               PARTITION BY k.page_id, k.url ORDER BY CASE kind WHEN 'url' THEN 4 WHEN 'prefix' THEN 3 WHEN 'host' THEN 2 ELSE 1 END DESC,
+               length(pattern) DESC, w DESC, listed DESC, list DESC, pattern DESC) AS r
+    FROM k JOIN v ON v.w > 0 AND v.listed <= k.fetched AND (v.until IS NULL OR k.fetched < v.until) AND (
+        (kind = 'host' AND pattern = h)
+        OR (kind = 'domain' AND (h = pattern OR ends_with(h, '.' || pattern)))
+        OR (kind = 'prefix' AND (h || way = pattern OR starts_with(h || way, pattern || '/'))))
+)
+SELECT k.page_id, k.url, k.fetched, CASE WHEN m.w IS NULL THEN 'pass' WHEN m.w = 2 THEN 'block' ELSE 'allow' END AS verdict,
+       m.list, m.pattern, m.listed AS since
+FROM k LEFT JOIN m ON m.page_id = k.page_id AND m.url = k.url AND m.r = 1
+"""
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
@@ -78,6 +145,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_ann": op1_ann,
         "op2_embdedup": op2_embdedup,
         "op3_mixing": op3_mixing,
+        "op4_urllists": op4_urllists,
         "op5_simhash": op5_simhash,
         "op6_lm": op6_lm,
         "op7_html": op7_html,
@@ -104,4 +172,4 @@ FROM r
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc": OP8_SQL}
+    return {"op4_urllists": OP4_SQL, "op8_warc": OP8_SQL}
