@@ -15,6 +15,8 @@ and offset. The driver sees the histogram only (one row per length).
 
 from __future__ import annotations
 
+import json
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -23,6 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,7 +34,9 @@ from cognatus.llm.text import ragged, slices, split_words
 from cognatus.session import materialize
 
 #: Words whose ids a worker remembers.
-CACHE = 200_000
+CACHE = 600_000
+#: Bytes of text handled at a time.
+SLICE = 16 << 20
 
 
 @lru_cache(maxsize=2)
@@ -41,25 +46,106 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=2)
+def _lean_tokenizer(path: str):
+    """The same merges for words of letters that normalizing would not change."""
+    from tokenizers import Tokenizer
+
+    config = json.loads(_tokenizer(path).to_str())
+    config["normalizer"] = None
+    bytes_of = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+    config["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, bytes_of]}
+    return Tokenizer.from_str(json.dumps(config))
+
+
 class WordIds:
-    """Token ids by white-space-delimited word, for tokenizers that drop white space."""
+    """Token ids by white-space-delimited word, for tokenizers that drop white space.
 
-    def __init__(self, path: str) -> None:
-        self.tokenizer, self.known = _tokenizer(path), {}
+    Unknown words are encoded many at a time with a mark of a single id between them, which
+    costs less than a call for each.
+    """
 
-    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Concatenated ids of the words, and how many each has."""
+    MARK = "\u0001"
+
+    def __init__(self, path: str) -> None:
+        self.tokenizer = _tokenizer(path)
+        self.mark = self._encode([self.MARK])[0]
+        letters = "abcdefghijklmnopqrstuvwxyz"
+        lower, upper = self._encode([letters, letters.upper()])
+        self.folds_case = np.array_equal(lower, upper)
+        signs = {x: self._encode([x, letters + x]) for x in ".,"}
+        sample = f"{letters} {self.MARK} \u00e9t\u00e9"
+        lean = _lean_tokenizer(path)
+        self.lean = lean if lean.encode(sample, add_special_tokens=False).ids == self._encode([sample])[0].tolist() else None
+        self.signs = {x: one for x, (one, both) in signs.items() if len(one) == 1 and np.array_equal(both, np.append(lower, one))}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _several(self, words: list[str], letters: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Concatenated ids of the words, and how many each has. ``letters``: they have nothing else."""
+        if len(self.mark) == 1:
+            text = f" {self.MARK} ".join(words)
+            if letters and self.lean and unicodedata.is_normalized("NFC", text) and text.lower() == text:
+                ids = np.array(self.lean.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            else:
+                ids = self._encode([text])[0]
+            is_mark = ids == self.mark[0]
+            cuts = np.flatnonzero(is_mark)
+            if len(cuts) == len(words) - 1:
+                return ids[~is_mark], np.diff(np.concatenate(([-1], cuts, [len(ids)]))) - 1
+        each = self._encode(words)  # a word holds the mark itself
+        return np.concatenate(each), np.array([len(x) for x in each])
+
+    def _look_up(self, words: list[str]) -> np.ndarray:
+        """Place and number of each word's ids in ``flat``, packed into one integer."""
         known = self.known
         new = [w for w in words if w not in known]
         if len(known) + len(new) > CACHE:
-            known.clear()
-            new = words
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, np.uint32)
-        ids = [known[w] for w in words]
-        return (np.concatenate(ids) if ids else np.zeros(0, np.uint32)), np.fromiter(map(len, ids), np.int64, len(ids))
+            self._clear()
+            known, new = self.known, words
+        alike = [[], []]
+        for w in new:
+            alike[w.isalpha()].append(w)
+        for some, letters in [(x[at : at + 1000], k) for k, x in enumerate(alike) for at in range(0, len(x), 1000)]:
+            ids, lengths = self._several(some, bool(letters))
+            end = self.used + len(ids)
+            if end > len(self.flat):
+                self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(end, len(self.flat)), np.uint32)])
+            self.flat[self.used : end] = ids
+            starts = self.used + np.cumsum(lengths) - lengths
+            known.update(zip(some, (starts << 32 | lengths).tolist(), strict=True))
+            self.used = end
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
+    def __call__(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(flat, starts, lengths)``: word i has the ids ``flat[starts[i] : starts[i] + lengths[i]]``.
+
+        Where the tokenizer splits a full stop or comma from the letter before it, the words with
+        and without it share an entry.
+        """
+        mark = np.zeros(len(words), np.uint32)
+        stems = words
+        for sign, ids in self.signs.items():
+            ends = pc.match_substring_regex(words, f"[a-z][{sign}]$")
+            mark[ends.to_numpy(zero_copy_only=False)] = ids[0] + 1
+            stems = pc.if_else(ends, pc.utf8_slice_codeunits(words, 0, -1), stems)
+        coded = stems.dictionary_encode()
+        packed = self._look_up(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        if not mark.any():
+            return self.flat, packed >> 32, packed & 0xFFFFFFFF
+        lengths = packed & 0xFFFFFFFF
+        longer = lengths + (mark > 0)
+        ends = np.cumsum(longer)
+        flat = np.empty(int(ends[-1]), np.uint32)
+        flat[ragged(ends - longer, lengths)] = self.flat[ragged(packed >> 32, lengths)]
+        flat[ends[mark > 0] - 1] = mark[mark > 0] - 1
+        return flat, ends - longer, longer
 
 
 def token_rows(
@@ -75,10 +161,11 @@ def token_rows(
         part = TaskContext.get().partitionId()
         ranks, full_at, tail_at = Counter(), 0, 0
         for batch in batches:
-            for piece in slices(batch, "text"):
-                codes, words, offsets = split_words(piece.column("text"))
-                flat, length = encode(words.to_pylist())
-                first = np.cumsum(length) - length
+            for piece in slices(batch, "text", SLICE):
+                # case does not matter to the tokenizer, but for the names of special tokens
+                plain = not pc.any(pc.match_substring(piece.column("text"), "<|")).as_py()
+                codes, words, offsets = split_words(piece.column("text"), "ascii" if plain and encode.folds_case else None)
+                flat, first, length = encode(words)
                 rows: dict[str, list] = {k: [] for k in names[2:]}
                 for d in range(piece.num_rows):
                     own = codes[offsets[d] : offsets[d + 1]]
