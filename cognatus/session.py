@@ -54,11 +54,21 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cognatus_path = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a materialized table that nothing will read again."""
+    _delete(table.sparkSession, table._cognatus_path)
 
 
 def release(spark: SparkSession) -> None:
     """Delete all tables this application has materialized."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/cognatus/{spark.sparkContext.applicationId}")
+    _delete(spark, f"{shared_dir(spark)}/cognatus/{spark.sparkContext.applicationId}")
+
+
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
