@@ -50,7 +50,7 @@ def toggle(excluded: DataFrame, members: DataFrame) -> DataFrame:
 
 def read_patches(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     """``(path, git_shas, alt_shas)`` of the ``*.patch`` files of a folder."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.patch").option("recursiveFileLookup", recursive).text(path)
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.patch", recursiveFileLookup=recursive)
     return parse_patches(files.select(F.col("_metadata.file_path").alias("path"), "value"))
 
 
