@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cognatus.llm.text import ragged, slices, split_words
+from cognatus.llm.text import give_back, ragged, slices, split_words, tidy
 
 UNKNOWN = "und"
 DIMS = 1 << 15
@@ -130,7 +130,7 @@ def _features(docs: DataFrame, dims: int) -> DataFrame:
                 arrays = [piece.column("label"), piece.column("hash"), pa.array(at, pa.list_(pa.int32())), pa.array(tf, pa.list_(pa.float32()))]
                 yield pa.RecordBatch.from_arrays(arrays, names=["label", "hash", "at", "tf"])
 
-    return docs.select("label", "hash", "text").mapInArrow(run, "label string, hash long, at array<int>, tf array<float>")
+    return docs.select("label", "hash", "text").mapInArrow(tidy(run), "label string, hash long, at array<int>, tf array<float>")
 
 
 def document_frequencies(docs: DataFrame, dims: int = DIMS, block: int = 64) -> tuple[np.ndarray, int]:
@@ -155,7 +155,7 @@ def document_frequencies(docs: DataFrame, dims: int = DIMS, block: int = 64) ->
         on = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(df[on])], names=["feature", "df"])
 
-    sums = docs.select("text").mapInArrow(run, "feature long, df long").groupBy("feature").agg(F.sum("df").alias("df"))
+    sums = docs.select("text").mapInArrow(tidy(run), "feature long, df long").groupBy("feature").agg(F.sum("df").alias("df"))
     df = np.zeros(dims + 1, np.int64)
     for r in sums.collect():  # at most dims + 1 rows
         df[r["feature"]] = r["df"]
@@ -237,6 +237,7 @@ def predict(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", na
             best = p.argmax(axis=1)
             out_label += [labels[b] for b in best]
             out_score += p[np.arange(len(best)), best].tolist()
+        give_back()
         return pa.StructArray.from_arrays([pa.array(out_label, pa.string()), pa.array(out_score, pa.float64())], names=["label", "score"])
 
     found = F.when(has_letter(text_col), scored(F.col(text_col).cast("string")))

@@ -30,13 +30,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cognatus.llm.text import ragged, slices, split_words
+from cognatus.llm.text import ragged, slices, split_words, tidy
 from cognatus.session import materialize
 
 #: Words whose ids a worker remembers.
-CACHE = 600_000
+CACHE = 500_000
 #: Bytes of text handled at a time.
-SLICE = 16 << 20
+SLICE = 8 << 20
 
 
 @lru_cache(maxsize=2)
@@ -186,7 +186,7 @@ def token_rows(
                 yield pa.RecordBatch.from_arrays(arrays + [pa.array(rows[k], t) for k, t in zip(names[2:], types, strict=True)], names=names)
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def combinations(width: int, depth: int, least: int = 1, most: int | None = None) -> list[tuple[int, ...]]:
@@ -364,4 +364,4 @@ def pack(
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return placed.mapInArrow(run, schema + (", ids array<int>" if keep_ids else ""))
+    return placed.mapInArrow(tidy(run), schema + (", ids array<int>" if keep_ids else ""))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cognatus.llm.text import slices
+from cognatus.llm.text import slices, tidy
 from cognatus.operators.graph import star_forest
 from cognatus.session import materialize
 
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {id_type}, fp long")
+    return rows.mapInArrow(tidy(run), f"id {id_type}, fp long")
 
 
 def ring_keys(fp: Column | str = "fp") -> Column:
@@ -199,7 +199,7 @@ def fingerprint_links(fps: DataFrame, tile: int = TILE) -> DataFrame:
         if left is not None and len(left[0]):
             yield emit(left)
 
-    return rows.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").mapInArrow(run, "src long, dst long")
+    return rows.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").mapInArrow(tidy(run), "src long, dst long")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
