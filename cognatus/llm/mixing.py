@@ -7,9 +7,9 @@ variable is found by Newton steps. Rates are then rounded into whole copies such
 rounding errors of a source cancel.
 
 Scale: documents are first reduced to an exact histogram over (source, size, hash bucket).
-The dual separates by source, so each Newton solve is a task over one source's histogram,
-which is as long as there are distinct sizes (times a fixed number of buckets), whatever the
-number of documents. A hot source, or many documents of one size, is spread over the buckets.
+The dual separates by source, so each Newton solve is a task over one source's histogram of
+sizes, which has a row per distinct size, whatever the number of documents. Many documents of
+one source and size are spread over the hash buckets when copies are dealt out.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cognatus.llm.text import WORD
+from cognatus.session import materialize
 
 BUCKETS = 64
 
@@ -150,22 +151,27 @@ def mix_sources(
     docs = docs.drop(*[c for c in made if c in docs.columns])
     size = F.coalesce(F.col(size_col).cast("long"), F.lit(0).cast("long"))
     bucket = F.pmod(F.xxhash64(id_col), F.lit(buckets)).cast("int")
-    histogram = docs.groupBy(F.col(source_col).alias("source"), size.alias("size"), bucket.alias("bucket")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    fine = docs.groupBy(F.col(source_col).alias("source"), size.alias("size"), bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    fine = materialize(fine, "histogram")
+    histogram = fine.groupBy("source", "size").agg(F.sum("n").alias("n"))
     targets = source_targets(histogram, weights, share, cap)
-    strata = histogram.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).select(
-        "rank", "source_size", "target", "size", "bucket", "n"
-    )
+    same = F.col("source").eqNullSafe(F.col("of"))
+    strata = histogram.join(targets.withColumnRenamed("source", "of"), same).select("rank", "target", "size", "n")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "bucket"], ascending=[False, True], kind="stable")
+        pdf = pdf.sort_values("size", ascending=False)
         size, n = pdf["size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
         rate = newton_rates(size, n, float(pdf["target"].iloc[0]), cap)
         base, ups = round_strata(size, n, rate)
-        return pd.DataFrame({"__r": pdf["rank"], "__s": size, "__b": pdf["bucket"], "__base": base, "__ups": ups})
-
-    plan = strata.groupBy("rank").applyInPandas(solve, "__r int, __s long, __b int, __base long, __ups long")
+        return pd.DataFrame({"__r": pdf["rank"], "__s": size, "__base": base, "ups": ups})
+
+    solved = strata.groupBy("rank").applyInPandas(solve, "__r int, __s long, __base long, ups long")
+    # the extra copies of a stratum go to its buckets in turn, and within a bucket to its first documents
+    before = Window.partitionBy("__r", "__s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    plan = fine.join(targets.select(F.col("source").alias("of"), "rank"), same)
+    plan = plan.join(solved, (F.col("rank") == F.col("__r")) & (F.col("size") == F.col("__s")))
+    ahead = F.col("ups") - F.coalesce(F.sum("n").over(before), F.lit(0))
+    plan = plan.select("__r", "__s", F.col("bucket").alias("__b"), "__base", F.greatest(ahead, F.lit(0)).alias("__ups"))
     named = targets.select(
         F.col("source").alias("__of"), F.col("rank").alias("__rank"), "source_size", "target"
     )
