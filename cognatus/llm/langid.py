@@ -166,6 +166,35 @@ def has_letter(text: Column | str) -> Column:
     return F.coalesce(F.rlike(text, F.lit(r"\p{L}")), F.lit(False))
 
 
+def sample_edges(rows: DataFrame, per_label: int) -> dict[str, int]:
+    """Per label a hash that about ``per_label`` rows of ``(label, hash)`` do not exceed, and hardly more.
+
+    Two histograms of 1024 buckets find it, the second within the bucket the first ends in; no
+    label's rows meet in one task.
+    """
+
+    def counted(df: DataFrame, bucket: Column) -> dict[str, dict[int, int]]:
+        out: dict[str, dict[int, int]] = {}
+        for r in df.groupBy("label", bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect():
+            out.setdefault(r["label"], {})[r["b"]] = r["n"]
+        return out
+
+    def cut(counts: dict[int, int], wanted: int) -> tuple[int, int]:
+        for b in sorted(counts):
+            if counts[b] >= wanted:
+                return b, wanted
+            wanted -= counts[b]
+        return max(counts), wanted
+
+    high, low = F.shiftright("hash", 54), F.shiftright("hash", 44).bitwiseAND(F.lit(1023))
+    first = {label: cut(counts, per_label) for label, counts in counted(rows, high).items()}
+    inside = F.lit(False)
+    for label, (b, _) in first.items():
+        inside = inside | ((F.col("label") == label) & (high == b))
+    second = counted(rows.where(inside), low)
+    return {label: (b << 54) + ((cut(second[label], wanted)[0] + 1) << 44) - 1 for label, (b, wanted) in first.items()}
+
+
 def train(
     docs: DataFrame,
     *,
@@ -185,17 +214,17 @@ def train(
         F.col(label_col).cast("string").alias("label"), F.xxhash64(id_col).alias("hash"), F.col(text_col).alias("text")
     )
     df, total = document_frequencies(rows, dims)
-    least = Window.partitionBy("label").orderBy("hash")
-    edge = rows.select("label", "hash").withColumn("k", F.row_number().over(least)).where(F.col("k") <= per_label)
-    edge = edge.groupBy("label").agg(F.max("hash").alias("edge")).collect()  # one row per language
-    if not edge:
+    edges = sample_edges(rows.select("label", "hash"), per_label)
+    if not edges:
         return LanguageModel([], np.zeros((dims, 0)), np.zeros(0), 1.0)
     chosen = F.lit(False)
-    for r in edge:
-        chosen = chosen | ((F.col("label") == r["label"]) & (F.col("hash") <= r["edge"]))
-    sample = _features(rows.where(chosen), dims).toArrow().combine_chunks()
+    for label, edge in edges.items():
+        chosen = chosen | ((F.col("label") == label) & (F.col("hash") <= edge))
+    least = Window.partitionBy("label").orderBy("hash")
+    sampled = rows.where(chosen).withColumn("k", F.row_number().over(least)).where(F.col("k") <= per_label)
+    sample = _features(sampled, dims).toArrow().combine_chunks()
     sample = sample.take(pc.sort_indices(sample, sort_keys=[("hash", "ascending"), ("label", "ascending")]))
-    labels = sorted(r["label"] for r in edge)
+    labels = sorted(edges)
     y = np.array([labels.index(x) for x in sample.column("label").to_pylist()])
     # the hashed values are spread over features: idf times a common scale keeps gradients near one
     idf = (np.log((1 + total) / (1 + df)) + 1) * 20
