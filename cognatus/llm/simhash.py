@@ -7,6 +7,10 @@ Candidates therefore agree exactly on the two first segments of a chain and on t
 three. These 24 keys of 32 bits each are the join keys; the longer chains prune what they
 bring together before the full Hamming check.
 
+Documents that are only similar differ in more bits than that. For a threshold on similarity
+:func:`drop_near_duplicates` therefore takes several lanes of 64 bits, where the share of differing
+bits tells the similarity apart, and chains of three equal segments of any lane as keys.
+
 Scale: equal fingerprints are merged first, so a group of copies is one row. Keys that occur
 once leave before any pairing. A bucket of more than ``TILE`` fingerprints is salted into
 tiles, and a task holds two of them at a time. Tasks emit a star per local component, never
@@ -15,7 +19,7 @@ its pairs. Nothing is collected.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,48 +33,60 @@ from cognatus.operators.graph import star_forest
 from cognatus.session import materialize
 
 SEGMENTS, DISTANCE = 8, 3
+LANES = 8
 TILE = 4096
 #: Runs up to this length are paired by offsets, longer ones by blocks.
 SHORT = 32
 PIECE = 1 << 16
 
 
-def simhash(words: list[bytes], shingle: int, seed: int = 42) -> int:
-    """Fingerprint of one document's words; zero if there are none."""
-    ones, total = np.zeros(64, np.int64), 0
-    joined = b" ".join(words)
+def _mix(h: np.ndarray, lane: int) -> np.ndarray:
+    """The hashes for a lane: as they are for lane 0, remixed for the others."""
+    if not lane:
+        return h
+    h = (h ^ np.uint64(lane * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(32))
+
+
+def simhash(words: list[bytes], shingle: int, lanes: int = 1, seed: int = 42) -> bytes:
+    """Fingerprint of one document's words, eight bytes a lane, least byte first; zeros if there are no words."""
     if not words:
-        return 0
+        return bytes(8 * lanes)
+    ones, total = np.zeros((lanes, 64), np.int64), 0
+    joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     width = min(shingle, len(words))
     starts, ends = starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
     for at in range(0, len(starts), PIECE):
-        hashes = [digest(joined[a:b], seed) for a, b in zip(starts[at : at + PIECE], ends[at : at + PIECE], strict=True)]
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int32)
+        hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts[at : at + PIECE], ends[at : at + PIECE], strict=True)], np.uint64)
+        for lane in range(lanes):
+            bits = np.unpackbits(_mix(hashes, lane).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones[lane] += bits.sum(axis=0, dtype=np.int32)
         total += len(hashes)
-    return int.from_bytes(np.packbits(2 * ones > total, bitorder="little").tobytes(), "little")
+    return np.packbits(2 * ones > total, axis=1, bitorder="little").tobytes()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, lanes: int | None = None) -> DataFrame:
     """``(id, fp)`` of every document: A-Z lower-cased, whole text, repeated shingles counted.
 
     Fewer words than a shingle make one shingle; null, empty and blank texts have fingerprint
-    zero. ``fp`` is the unsigned fingerprint's bits as a long.
+    zero. ``fp`` is binary if ``lanes`` are given, else the bits of one lane as a long.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, "text"):
                 texts = pc.fill_null(piece.column("text"), "").cast(pa.binary()).to_pylist()
-                fps = np.array([simhash(t.lower().split(), shingle) for t in texts], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(fps)], names=["id", "fp"])
+                fps = [simhash(t.lower().split(), shingle, lanes or 1) for t in texts]
+                column = pa.array(fps, pa.binary()) if lanes else pa.array(np.frombuffer(b"".join(fps), "<i8"))
+                yield pa.RecordBatch.from_arrays([piece.column("id"), column], names=["id", "fp"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(tidy(run), f"id {id_type}, fp long")
+    return rows.mapInArrow(tidy(run), f"id {id_type}, fp {'binary' if lanes else 'long'}")
 
 
 def ring_keys(fp: Column | str = "fp") -> Column:
@@ -84,7 +100,7 @@ def ring_keys(fp: Column | str = "fp") -> Column:
     for start in range(SEGMENTS):
         for left_out in range(3):
             used = [start, start + 1] + [start + 2 + k for k in range(3) if k != left_out]
-            key = F.lit((start * 3 + left_out) << 32)
+            key = F.lit((start * 3 + left_out) << 32).cast("long")
             for place, s in enumerate(used):
                 key = key.bitwiseOR(F.shiftleft(seg(s), 8 * place))
             keys.append(key)
@@ -92,8 +108,8 @@ def ring_keys(fp: Column | str = "fp") -> Column:
 
 
 def _near(a: np.ndarray, b: np.ndarray, start: np.ndarray | int) -> np.ndarray:
-    """Chains of 3, 5 and 7 segments first, then the whole distance."""
-    x = np.bitwise_xor(a, b)
+    """Chains of 5 and 7 segments first, then the whole distance; fingerprints have a column a lane."""
+    x = np.bitwise_xor(a[..., 0], b[..., 0])
     down = np.uint64(8) * np.asarray(start, np.uint64)
     ring = np.right_shift(x, down) | np.left_shift(x, (np.uint64(64) - down) % np.uint64(64))
     ok = np.bitwise_count(ring & np.uint64((1 << 40) - 1)) <= DISTANCE * 5 // SEGMENTS
@@ -101,6 +117,18 @@ def _near(a: np.ndarray, b: np.ndarray, start: np.ndarray | int) -> np.ndarray:
     return ok & (np.bitwise_count(x) <= DISTANCE)
 
 
+def _near_wide(limit: int) -> Callable[[np.ndarray, np.ndarray, np.ndarray | int], np.ndarray]:
+    """The whole distance over all lanes, a lane at a time."""
+
+    def near(a: np.ndarray, b: np.ndarray, start: np.ndarray | int) -> np.ndarray:
+        total = np.zeros(np.broadcast_shapes(a.shape, b.shape)[:-1], np.uint16)
+        for lane in range(a.shape[-1]):
+            total += np.bitwise_count(a[..., lane] ^ b[..., lane])
+        return total <= limit
+
+    return near
+
+
 class _Stars:
     """Union-find over row numbers."""
 
@@ -122,8 +150,8 @@ class _Stars:
             label[:] = to[label]
 
 
-def _link_run(fp: np.ndarray, salt: np.ndarray, i: int, j: int, start: int, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-    """Star edges of one long run; two salts are compared with each other only."""
+def _link_run(fp: np.ndarray, salt: np.ndarray, i: int, j: int, start: int, near: Callable, block: int = 1024) -> np.ndarray:
+    """Root of each row of one long run; two salts are compared with each other only."""
     left, right = np.flatnonzero(salt == i), np.flatnonzero(salt == j)
     stars = _Stars(len(fp))
     for p in range(0, len(left), block):
@@ -132,19 +160,16 @@ def _link_run(fp: np.ndarray, salt: np.ndarray, i: int, j: int, start: int, bloc
             cols = right[q : q + block]
             if i == j and cols[-1] <= rows[0]:
                 continue
-            a, b = np.nonzero(_near(fp[rows][:, None], fp[cols][None, :], start))
+            a, b = np.nonzero(near(fp[rows][:, None], fp[cols][None, :], start))
             stars.link(rows[a], cols[b])
-    on = stars.label != np.arange(len(fp))
-    return fp[on], fp[stars.label[on]]
+    return stars.label
 
 
-def _link_sorted(fields: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of whole runs; fields are key, tile i, tile j, salt, fp, sorted by the first three."""
-    key, i, j, salt, fp = fields
-    fp = fp.view(np.uint64)
+def _link_sorted(key: np.ndarray, i: np.ndarray, j: np.ndarray, salt: np.ndarray, name: np.ndarray, fp: np.ndarray, near: Callable) -> tuple[np.ndarray, np.ndarray]:
+    """Edges between names, of whole runs of rows sorted by key and tiles; ``fp`` has a column a lane."""
     new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
     length = np.diff(np.append(new, len(key)))
-    start = (key >> 32) // 3
+    start = (key >> 32) // 3 % SEGMENTS
     src, dst = [], []
     last = np.repeat(new + length, length)  # end of each row's run
     short = np.repeat(length <= SHORT, length)
@@ -154,40 +179,46 @@ def _link_sorted(fields: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         if not len(at):
             break
         at = at[same[at] | (salt[at] != salt[at + d])]
-        hit = at[_near(fp[at], fp[at + d], start[at])]
-        src.append(fp[hit])
-        dst.append(fp[hit + d])
+        hit = at[near(fp[at], fp[at + d], start[at])]
+        src.append(name[hit])
+        dst.append(name[hit + d])
     for r in np.flatnonzero(length > SHORT):
-        a, b = new[r], new[r] + length[r]
-        s, t = _link_run(fp[a:b], salt[a:b], int(i[a]), int(j[a]), int(start[a]))
-        src.append(s)
-        dst.append(t)
+        own = slice(new[r], new[r] + length[r])
+        label = _link_run(fp[own], salt[own], int(i[new[r]]), int(j[new[r]]), int(start[new[r]]), near)
+        on = label != np.arange(len(label))
+        src.append(name[own][on])
+        dst.append(name[own][label[on]])
     if not src:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     pairs = np.unique(np.stack([np.concatenate(src), np.concatenate(dst)], axis=1), axis=0)
-    return pairs[:, 0].copy().view(np.int64), pairs[:, 1].copy().view(np.int64)
+    return pairs[:, 0].copy(), pairs[:, 1].copy()
 
 
-def fingerprint_links(fps: DataFrame, tile: int = TILE) -> DataFrame:
-    """``(src, dst)`` edges that join all fingerprints (distinct longs in ``fp``) within three bits."""
-    keys = fps.select("fp", F.explode(ring_keys("fp")).alias("k"))
+def _paired(keys: DataFrame, tile: int) -> DataFrame:
+    """``(k, i, j, salt, name)`` of the keys that several names have, a row for each pair of tiles a name is in."""
     full = keys.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    tiles = F.ceil(F.col("n") / F.lit(tile)).cast("int")
-    rows = keys.join(full, "k").select("k", "fp", tiles.alias("t")).select("k", "fp", "t", F.pmod(F.xxhash64("fp"), F.col("t")).cast("int").alias("salt"))
-    rows = rows.select("k", "fp", "salt", F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("other"))
-    rows = rows.select("k", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "salt", "fp")
-    names = ["k", "i", "j", "salt", "fp"]
+    rows = keys.join(full, "k").select("k", "name", F.ceil(F.col("n") / F.lit(tile)).cast("int").alias("t"))
+    rows = rows.select("k", "name", "t", F.pmod(F.xxhash64("name"), F.col("t")).cast("int").alias("salt"))
+    rows = rows.select("k", "name", "salt", F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("other"))
+    return rows.select("k", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "salt", "name")
+
+
+def _linked(rows: DataFrame, near: Callable) -> DataFrame:
+    """``(src, dst)`` edges between names of rows ``(k, i, j, salt, name, fp)`` that are near each other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: list[np.ndarray] | None = None
 
         def emit(fields: list[np.ndarray]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in _link_sorted(fields)], names=["src", "dst"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in _link_sorted(*fields, near)], names=["src", "dst"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            fields = [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
+            fields = [batch.column(n).to_numpy(zero_copy_only=False) for n in ("k", "i", "j", "salt", "name")]
+            fp = batch.column("fp")
+            flat = fp.to_numpy().view(np.uint64) if pa.types.is_int64(fp.type) else np.frombuffer(b"".join(fp.to_pylist()), "<u8")
+            fields.append(flat.reshape(batch.num_rows, -1))
             if left is not None:
                 fields = [np.concatenate(x) for x in zip(left, fields, strict=True)]
             k, i, j = (x != x[-1] for x in fields[:3])
@@ -202,29 +233,86 @@ def fingerprint_links(fps: DataFrame, tile: int = TILE) -> DataFrame:
     return rows.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").mapInArrow(tidy(run), "src long, dst long")
 
 
+def fingerprint_links(fps: DataFrame, tile: int = TILE) -> DataFrame:
+    """``(src, dst)`` edges that join all fingerprints (distinct longs in ``fp``) within three bits."""
+    rows = _paired(fps.select(F.col("fp").alias("name"), F.explode(ring_keys("fp")).alias("k")), tile)
+    return _linked(rows.withColumn("fp", F.col("name")), _near)
+
+
+def wide_links(classes: DataFrame, similarity: float, lanes: int, tile: int = TILE) -> DataFrame:
+    """``(src, dst)`` edges between names of ``(name, fp)`` whose wide fingerprints tell of that similarity.
+
+    Sets of shingles of one size with a Jaccard similarity of s have a cosine of ``2 s / (1 + s)``,
+    and a bit of their fingerprints differs with probability ``acos(cosine) / pi``; fingerprints
+    link at that share of differing bits, and a standard error over it, or less. Candidates agree on a chain of three
+    consecutive segments in some lane: ``8 * lanes`` keys of 24 bits, any of which suffices. With
+    8 lanes about 7 of 10 pairs at a similarity of 0.8 have one, 9 of 10 at 0.85, 99 of 100 at
+    0.9; and links chain.
+    """
+    cosine = 2 * similarity / (1 + similarity)
+    share = np.arccos(cosine) / np.pi
+    limit = int(64 * lanes * share + np.sqrt(64 * lanes * share * (1 - share)))
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column("name").to_numpy()
+            fp = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8).reshape(len(names), lanes, 8).astype(np.int64)
+            for lane in range(lanes):
+                for start in range(SEGMENTS):
+                    a, b, c = (fp[:, lane, (start + k) % SEGMENTS] for k in range(3))
+                    key = ((lane * SEGMENTS + start) * 3 << 32) | a << 16 | b << 8 | c
+                    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(key)], names=["name", "k"])
+
+    rows = _paired(classes.select("name", "fp").mapInArrow(tidy(keyed), "name long, k long"), tile)
+    return _linked(rows.join(classes.select("name", "fp"), "name"), _near_wide(limit))
+
+
+def _components(fps: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """``(id, fp, component)`` from ``(id, name, fp)``, ``(name, rep)`` and edges between names."""
+    forest = star_forest(links)
+    roots = classes.join(forest.select(F.col("v").alias("name"), F.col("u").alias("root")), "name", "left")
+    roots = roots.select("name", "rep", F.coalesce("root", "name").alias("root"))
+    named = roots.groupBy("root").agg(F.min("rep").alias("component"))
+    by_name = roots.join(named, "root").select("name", "component")
+    return fps.join(by_name, "name").select("id", "fp", "component")
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """``(id, fp, component)``: one row per document; component is the least id reachable over links.
 
-    Texts: see :func:`fingerprints`. Equal fingerprints are linked at distance zero, documents
-    without words among them. Repeated rows stay rows. A null id is never a component's name;
-    a component of null ids only is named null. Other columns are not looked at.
+    Fingerprints link at three or fewer differing bits. Equal fingerprints are linked at
+    distance zero, documents without words among them. Repeated rows stay rows. A null id is
+    never a component's name; a component of null ids only is named null. Other columns are not
+    looked at.
     """
-    fps = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    classes = materialize(fps.groupBy("fp").agg(F.min("id").alias("rep")), "classes")
-    forest = star_forest(fingerprint_links(classes.select("fp")))
-    roots = classes.join(forest.select(F.col("v").alias("fp"), F.col("u").alias("root")), "fp", "left")
-    roots = roots.withColumn("root", F.coalesce("root", "fp"))
-    named = roots.groupBy("root").agg(F.min("rep").alias("component"))
-    by_fp = roots.join(named, "root").select("fp", "component")
-    return fps.join(by_fp, "fp").select("id", "fp", "component")
+    fps = materialize(fingerprints(docs, id_col, text_col, shingle).withColumn("name", F.col("fp")), "fingerprints")
+    classes = materialize(fps.groupBy("name").agg(F.min("id").alias("rep")), "classes")
+    return _components(fps, classes, fingerprint_links(classes.select(F.col("name").alias("fp"))))
+
+
+def similar_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, lanes: int = LANES
+) -> DataFrame:
+    """``(id, fp, component)`` over the links of :func:`wide_links`; ``fp`` is binary.
+
+    Fingerprints are named by a 64-bit hash of theirs. For rows, nulls and repeats see
+    :func:`simhash_groups`.
+    """
+    fps = fingerprints(docs, id_col, text_col, shingle, lanes).withColumn("name", F.xxhash64("fp"))
+    fps = materialize(fps, "fingerprints")
+    classes = materialize(fps.groupBy("name").agg(F.min("id").alias("rep"), F.first("fp").alias("fp")), "classes")
+    return _components(fps, classes.select("name", "rep"), wide_links(classes, similarity, lanes))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+def drop_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, lanes: int = LANES
+) -> DataFrame:
     """``docs`` with one row per group of near-duplicates: the one with the least id.
 
     A repeated id keeps one row. Rows without an id cannot be named and are kept as they are.
+    Documents without words are one group.
     """
-    groups = simhash_groups(docs.where(F.col(id_col).isNotNull()), id_col, text_col, shingle)
+    groups = similar_groups(docs.where(F.col(id_col).isNotNull()), id_col, text_col, shingle, similarity, lanes)
     keep = groups.where("id = component").select(F.col("id").alias("__keep")).distinct()
     kept = docs.join(keep, F.col(id_col) == F.col("__keep"), "left_semi").dropDuplicates([id_col])
     return kept.unionByName(docs.where(F.col(id_col).isNull()))
