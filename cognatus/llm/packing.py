@@ -3,9 +3,10 @@
 A document is cut into whole windows, one main piece that is a multiple of ``step`` tokens and
 a tail shorter than ``step``. All combinations of up to ``depth`` main lengths that fill a
 window exactly are enumerated; non-negative least squares finds how often to repeat each so
-that together they use up the histogram of main lengths. Repeat counts are rounded down, and
-what they leave is packed greedily, pattern by pattern. Tails, whose ids travel with them, are
-laid end to end and cut at window borders.
+that together they use up the histogram of main lengths. Repeat counts are rounded down. What
+they leave is packed greedily: by the longest pieces first, as long as windows fill exactly,
+and the rest end to end, cut at window borders (say, where a third of all documents are copies
+of one length). Tails, whose ids travel with them, are laid end to end as well.
 
 Scale: the text is read and tokenized once, and never shuffled. Each scan task numbers its
 pieces per length; a small table of counts per task and length gives every piece its global
@@ -153,8 +154,8 @@ def token_rows(
 ) -> DataFrame:
     """One row per document: its length, its pieces' checksums, and its ranks within the task."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    names = ["doc", "part", "n", "fulls", "full_at", "cls", "rank", "tail", "tail_at", "crcs", "ids"]
-    schema = f"doc {id_type}, part int, n long, fulls long, full_at long, cls int, rank long, tail binary, tail_at long, crcs array<long>, ids binary"
+    names = ["doc", "part", "n", "fulls", "full_at", "cls", "rank", "tail", "tail_at", "crcs", "steps", "ids"]
+    schema = f"doc {id_type}, part int, n long, fulls long, full_at long, cls int, rank long, tail binary, tail_at long, crcs array<long>, steps array<long>, ids binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = WordIds(tokenizer_path)
@@ -176,12 +177,14 @@ def token_rows(
                     cuts = [*range(0, fulls * window + 1, window), fulls * window + cls * step]
                     crcs = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
                     tail = ids[cuts[-1] :]
-                    for k, v in zip(names[2:], (n, fulls, full_at, cls, ranks[cls], tail.tobytes(), tail_at, crcs, ids.tobytes() if keep_ids else None), strict=True):
+                    main = memoryview(ids[fulls * window : cuts[-1]].tobytes())
+                    steps = [zlib.crc32(main[a : a + 4 * step]) for a in range(0, len(main), 4 * step)]
+                    for k, v in zip(names[2:], (n, fulls, full_at, cls, ranks[cls], tail.tobytes(), tail_at, crcs, steps, ids.tobytes() if keep_ids else None), strict=True):
                         rows[k].append(v)
                     full_at += fulls
                     ranks[cls] += 1
                     tail_at += len(tail)
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
                 arrays = [piece.column("id"), pa.array(np.full(piece.num_rows, part, np.int32))]
                 yield pa.RecordBatch.from_arrays(arrays + [pa.array(rows[k], t) for k, t in zip(names[2:], types, strict=True)], names=names)
 
@@ -189,6 +192,18 @@ def token_rows(
     return rows.mapInArrow(tidy(run), schema)
 
 
+def join_crcs(parts: list[int], size: int) -> int:
+    """Checksum of parts of ``size`` bytes each, one after another, from theirs.
+
+    Going on from a checksum is linear in it: over zeros it tells what the bytes so far become.
+    """
+    zeros = bytes(size)
+    empty, out = zlib.crc32(zeros), parts[0]
+    for crc in parts[1:]:
+        out = zlib.crc32(zeros, out) ^ empty ^ crc
+    return out
+
+
 def combinations(width: int, depth: int, least: int = 1, most: int | None = None) -> list[tuple[int, ...]]:
     """All multisets of up to ``depth`` lengths, as non-increasing tuples, that add up to ``width``."""
     most = width if most is None else most
@@ -232,7 +247,10 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
 
 @dataclass
 class Slot:
-    """Pieces of one length from rank ``first`` on: ``each`` per sequence, from sequence ``sequence`` on."""
+    """Pieces of one length from rank ``first`` on: ``each`` per sequence, from sequence ``sequence`` on.
+
+    If ``each`` is 0 they lie end to end from step ``start`` on, counted from that sequence's beginning.
+    """
 
     cls: int
     first: int
@@ -245,8 +263,7 @@ class Slot:
 def plan_slots(histogram: dict[int, int], width: int, depth: int) -> tuple[list[Slot], int]:
     """Slots for all main pieces (lengths in steps, windows of ``width`` steps), and the sequences used.
 
-    Every sequence holds one pattern; patterns fill the window exactly but for greedy ones
-    that ran out of pieces.
+    A sequence holds one pattern, which fills it exactly, or a stretch of the rest.
     """
     left = {c: n for c, n in histogram.items() if c > 0 and n > 0}
     patterns: list[tuple[tuple[int, ...], int]] = []
@@ -266,11 +283,13 @@ def plan_slots(histogram: dict[int, int], width: int, depth: int) -> tuple[list[
                 for c, m in uses.items():
                     left[c] -= m * repeats
     while any(left.values()):
-        room, pattern, spare = width, [], dict(left)
-        for c in sorted(spare, reverse=True):
-            take = min(spare[c], room // c)
+        room, pattern = width, []
+        for c in sorted(left, reverse=True):
+            take = min(left[c], room // c)
             pattern += [c] * take
             room -= take * c
+        if room:
+            break
         uses = Counter(pattern)
         repeats = min(left[c] // m for c, m in uses.items())
         patterns.append((tuple(pattern), repeats))
@@ -284,7 +303,12 @@ def plan_slots(histogram: dict[int, int], width: int, depth: int) -> tuple[list[
             used[c] += m * repeats
             start += m * c
         sequence += repeats
-    return slots, sequence
+    start = 0
+    for c, n in sorted(left.items(), reverse=True):
+        if n:
+            slots.append(Slot(c, used[c], n, 0, sequence, start))
+            start += n * c
+    return slots, sequence - (-start // width)
 
 
 def pack(
@@ -328,7 +352,7 @@ def pack(
     part_from = per_part.select("part", F.coalesce(F.sum("fulls").over(before), F.lit(0)).alias("full_from"), F.coalesce(F.sum("tails").over(before), F.lit(0)).alias("tail_from"))
     placed = rows.join(class_from, ["part", "cls"]).join(part_from, "part").select(
         "doc", "n", "fulls", (F.col("full_at") + F.col("full_from")).alias("full_at"), "cls", (F.col("rank") + F.col("rank_from")).alias("rank"),
-        "tail", (F.col("tail_at") + F.col("tail_from")).alias("tail_at"), "crcs", "ids",
+        "tail", (F.col("tail_at") + F.col("tail_from")).alias("tail_at"), "crcs", "steps", "ids",
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,8 +371,17 @@ def pack(
                 at = r["fulls"] * window
                 if cls:
                     slot = by_class[cls][int(np.searchsorted(firsts[cls], r["rank"], side="right")) - 1]
-                    turn, place = divmod(r["rank"] - slot.first, slot.each)
-                    put(d, at, cls * step, crcs[-1], n, fulls + slot.sequence + turn, (slot.start + place * cls) * step, ids)
+                    if slot.each:
+                        turn, place = divmod(r["rank"] - slot.first, slot.each)
+                        put(d, at, cls * step, crcs[-1], n, fulls + slot.sequence + turn, (slot.start + place * cls) * step, ids)
+                    else:
+                        lies, done = slot.start + (r["rank"] - slot.first) * cls, 0
+                        while done < cls:
+                            sequence, offset = divmod(lies + done, width)
+                            take = min(cls - done, width - offset)
+                            crc = join_crcs(r["steps"][done : done + take], 4 * step)
+                            put(d, at + done * step, take * step, crc, n, fulls + slot.sequence + sequence, offset * step, ids)
+                            done += take
                     at += cls * step
                 tail, pos, done = r["tail"], r["tail_at"], 0
                 while done < len(tail) // 4:

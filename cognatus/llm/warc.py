@@ -36,6 +36,7 @@ from pyspark.sql.datasource import (
     Filter,
     In,
     InputPartition,
+    IsNotNull,
     StringStartsWith,
     WriterCommitMessage,
 )
@@ -228,9 +229,10 @@ class WarcReader(DataSourceReader):
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
             name = f.attribute[0] if getattr(f, "attribute", None) else None
-            if len(getattr(f, "attribute", ())) == 1 and name in HEADERS and isinstance(f, EqualTo | In | StringStartsWith):
-                kind = "prefix" if isinstance(f, StringStartsWith) else "in"
-                self.tests.append((HEADERS[name].lower(), kind, tuple(f.value) if isinstance(f, In) else (f.value,)))
+            if len(getattr(f, "attribute", ())) == 1 and name in HEADERS and isinstance(f, EqualTo | In | StringStartsWith | IsNotNull):
+                kind = "present" if isinstance(f, IsNotNull) else "prefix" if isinstance(f, StringStartsWith) else "in"
+                values = () if kind == "present" else tuple(f.value) if isinstance(f, In) else (f.value,)
+                self.tests.append((HEADERS[name].lower(), kind, values))
             else:
                 yield f
 
@@ -258,7 +260,7 @@ class WarcReader(DataSourceReader):
         def wanted(headers: dict[str, str]) -> bool:
             for header, kind, values in self.tests:
                 have = headers.get(header)
-                if have is None or not (have.startswith(values[0]) if kind == "prefix" else have in values):
+                if have is None or (kind == "prefix" and not have.startswith(values[0])) or (kind == "in" and have not in values):
                     return False
             return True
 
