@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cognatus.llm.vectors import matrix, norms, rotation, usable_vectors
+from cognatus.llm.vectors import dots, matrix, norms, rotation, usable_vectors
 from cognatus.session import materialize
 
 #: How many standard errors the error bound spans.
@@ -67,7 +67,7 @@ def _search(queries: pa.Table, block: pa.Table, k: int, bound: float) -> tuple[l
     out_q, out_x, out_s = [], [], []
 
     def exact(i: int, at: np.ndarray) -> np.ndarray:
-        return (x[at] * q[i]).sum(axis=1) / (x_norm[at] * q_norm[i])
+        return dots(x[at], q[i : i + 1]) / (x_norm[at] * q_norm[i])
 
     step = max(1, (8 << 20) // max(1, len(x)))
     for start in range(0, len(q), step):

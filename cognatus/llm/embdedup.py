@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cognatus.llm.simhash import _Stars
-from cognatus.llm.vectors import matrix, norms, rotation, usable_vectors
+from cognatus.llm.vectors import dots, matrix, norms, rotation, usable_vectors
 from cognatus.operators.graph import star_forest
 from cognatus.session import materialize
 
@@ -47,7 +47,7 @@ def _verify(ux: np.ndarray, uy: np.ndarray, x: np.ndarray, y: np.ndarray, nx: np
         sums = np.stack([square[:, p:q].sum(axis=1) for p, q in zip(edges, edges[1:], strict=False)], axis=1)
         first = np.argmax(sums <= share, axis=1)
         mine = (first == block) & (sums[np.arange(len(i)), first] <= share)
-        cosine = (x[i] * y[j]).sum(axis=1) / (nx[i] * ny[j])
+        cosine = dots(x[i], y[j]) / (nx[i] * ny[j])
         keep[at : at + (1 << 15)] = mine & (cosine >= threshold)
     return keep
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cognatus.functions.text import SPACE
 from cognatus.llm import ann, archive, boilerplate, embdedup, langid, maxent, mixing, packing, simhash, urllists
 from cognatus.session import shared_path
 
@@ -171,5 +172,38 @@ FROM r
 """
 
 
+VECTORS_SQL = """
+raw AS (
+    SELECT vec_id, min(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+          AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    GROUP BY vec_id
+), vectors AS (SELECT vec_id, v, sqrt(list_reduce(list_transform(v, lambda x: x * x), lambda a, b: a + b)) AS n FROM raw), pairs AS (
+    SELECT q.vec_id AS a, x.vec_id AS b, list_reduce(list_transform(list_zip(x.v, q.v), lambda z: z[1] * z[2]), lambda a, b: a + b) / (x.n * q.n) AS score
+    FROM vectors q JOIN vectors x ON q.vec_id <> x.vec_id AND len(q.v) = len(x.v) {only}
+)"""
+OP1_SQL = f"""
+WITH {VECTORS_SQL.replace("{only}", "AND q.vec_id % 50 = 0")}, r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS k FROM pairs)
+SELECT a AS query_id, CAST(k AS INT) AS rank, b AS vec_id, score FROM r WHERE k <= 5
+"""
+OP2_SQL = f"""
+WITH RECURSIVE {VECTORS_SQL.replace("{only}", "")}, near AS (SELECT a, b FROM pairs WHERE score >= 0.9), reach(a, b) AS (
+    SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, near.b FROM reach r JOIN near ON near.a = r.b
+), least AS (SELECT a, min(b) AS c FROM reach GROUP BY a), links AS (SELECT a, count(*) AS n FROM near GROUP BY a)
+SELECT least.a AS vec_id, coalesce(n, 0) AS n_links, c AS component_id, least.a = c AS kept FROM least LEFT JOIN links USING (a)
+"""
+#: For the pages of the tables at hand, which mark their article and use few character references.
+OP7_SQL = rf"""
+WITH a AS (
+    SELECT page_id, url, regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '</?(?:p|h1)>') AS parts FROM pages
+), b AS (
+    SELECT page_id, url, list_transform(parts, lambda x: regexp_replace(regexp_replace(replace(replace(replace(replace(
+        regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'),
+        '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '{SPACE}+', ' ', 'g'), '^ | $', '', 'g')) AS blocks FROM a
+), c AS (SELECT page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10)) AS text FROM b)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_urllists": OP4_SQL, "op8_warc": OP8_SQL}
+    return {"op1_ann": OP1_SQL, "op2_embdedup": OP2_SQL, "op4_urllists": OP4_SQL, "op7_html": OP7_SQL, "op8_warc": OP8_SQL}

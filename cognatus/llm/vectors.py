@@ -28,8 +28,16 @@ def matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, dim)
 
 
+def dots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products of the rows, added up from the first component on, as SQL would."""
+    out = np.zeros(np.broadcast_shapes(x.shape, y.shape)[0])
+    for k in range(x.shape[1]):
+        out += x[:, k] * y[:, k]
+    return out
+
+
 def norms(x: np.ndarray) -> np.ndarray:
-    return np.sqrt((x * x).sum(axis=1))
+    return np.sqrt(dots(x, x))
 
 
 def rotation(dim: int, seed: int = 11) -> np.ndarray:

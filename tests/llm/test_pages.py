@@ -71,7 +71,8 @@ def test_lists(spark):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_oracle(spark, name):
     duck = duckdb.connect()
-    duck.sql(f"CREATE VIEW pages AS SELECT * FROM '{SMALL}/pages.parquet'")
+    for view in ("pages", "embeddings", "documents"):
+        duck.sql(f"CREATE VIEW {view} AS SELECT * FROM '{SMALL}/{view}.parquet'")
     got = queries.queries()[name](spark, SMALL)
     columns = sorted(got.columns)
     want = duck.sql(f"SELECT {', '.join(columns)} FROM ({queries.oracle_sql()[name]})").fetchall()
