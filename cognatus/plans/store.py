@@ -268,9 +268,17 @@ class Store:
         except LookupFailed:
             return False
 
+    def size(self) -> int:
+        """Bytes of the version in force."""
+        fs, p = lists._file(self.spark, f"{self.path}/{self._version()}")
+        return int(fs.getContentSummary(p).getLength())
+
     def stats(self) -> dict[str, DataFrame]:
+        """Totals, checkpoint, size, types, group sizes and the largest groups, excluded hashes aside."""
         rows, out = self.hashes, self.excluded
+        about = self.spark.createDataFrame([(self.size(),)], "bytes long").select("bytes", text.human_size("bytes").alias("size"))
         return {
+            "store": about.withColumn("excluded", F.lit(out.count())),
             "totals": totals(rows, out),
             "state": self.state,
             "types": type_histogram(rows, out),

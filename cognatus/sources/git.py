@@ -202,6 +202,13 @@ def read_given(shas: DataFrame, repo: str, table: str, chunk: int = CHUNK) -> Da
     return shas.select("sha").distinct().mapInArrow(run, schema)
 
 
+def show(spark: SparkSession, repo: str, sha: str) -> DataFrame:
+    """``(sha, author_name, author_date, subject, body, files, diff)`` of one commit; no row if there is none."""
+    one = spark.createDataFrame([(sha.strip().lower(),)], "sha string")
+    head = read_given(one, repo, "commits").select("sha", "author_name", "author_date", "subject", "body", "files")
+    return head.join(read_given(one, repo, "diffs"), "sha", "left")
+
+
 def clean_commits(raw: DataFrame) -> DataFrame:
     """Commits as the tiers want them: stripped names, dates as numbers, the message cleaned."""
     return raw.select(

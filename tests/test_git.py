@@ -57,6 +57,8 @@ def test_tables(spark, repo):
     assert "+line 2" in diff and "index " not in diff
     ids = git.load(spark, repo.path, "patch_ids").collect()
     assert {r["sha"] for r in ids} == {one, two} and all(r["patch_id"] for r in ids)
+    assert [(r["subject"], "+line 2" in r["diff"]) for r in git.show(spark, repo.path, two.upper()).collect()] == [("Second commit", True)]
+    assert git.show(spark, repo.path, "0" * 40).count() == 0
     with pytest.raises(git.RepositoryError):
         git.revisions(repo.path + "/none")
 

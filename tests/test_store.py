@@ -95,6 +95,7 @@ def test_lookups(small):
 def test_reports(small, spark):
     stats = small.stats()
     assert tuple(stats["totals"].first()) == (4, 2)
+    assert stats["store"].first()["excluded"] == 1 and stats["store"].first()["size"].endswith("KB")
     assert [(r["code"], r["cnt"]) for r in stats["types"].orderBy("code").collect()] == [(1, 1), (2, 1), (3, 0), (4, 1), (5, 0), (9, 1)]
     assert tuple(stats["sizes"].first()) == (2, 2, 2.0)
     assert [tuple(r) for r in stats["top"].collect()] == [(5, 2), (8, 2)]
