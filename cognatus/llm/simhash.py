@@ -150,10 +150,10 @@ class _Stars:
             label[:] = to[label]
 
 
-def _link_run(fp: np.ndarray, salt: np.ndarray, i: int, j: int, start: int, near: Callable, block: int = 1024) -> np.ndarray:
-    """Root of each row of one long run; two salts are compared with each other only."""
+def _link_run(stars: _Stars, at: int, fp: np.ndarray, salt: np.ndarray, i: int, j: int, start: int, near: Callable, block: int = 1024) -> None:
+    """Link the rows of one long run, which begins at row ``at``; two salts are compared with each other only."""
     left, right = np.flatnonzero(salt == i), np.flatnonzero(salt == j)
-    stars = _Stars(len(fp))
+    own = _Stars(len(fp))
     for p in range(0, len(left), block):
         rows = left[p : p + block]
         for q in range(0, len(right), block):
@@ -161,36 +161,35 @@ def _link_run(fp: np.ndarray, salt: np.ndarray, i: int, j: int, start: int, near
             if i == j and cols[-1] <= rows[0]:
                 continue
             a, b = np.nonzero(near(fp[rows][:, None], fp[cols][None, :], start))
-            stars.link(rows[a], cols[b])
-    return stars.label
+            own.link(rows[a], cols[b])
+    stars.label[at : at + len(fp)] = own.label + at
 
 
 def _link_sorted(key: np.ndarray, i: np.ndarray, j: np.ndarray, salt: np.ndarray, name: np.ndarray, fp: np.ndarray, near: Callable) -> tuple[np.ndarray, np.ndarray]:
-    """Edges between names, of whole runs of rows sorted by key and tiles; ``fp`` has a column a lane."""
+    """A star per component of whole runs, on its least name; rows are sorted by key, tiles and name."""
     new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
     length = np.diff(np.append(new, len(key)))
     start = (key >> 32) // 3 % SEGMENTS
-    src, dst = [], []
+    stars = _Stars(len(key))
     last = np.repeat(new + length, length)  # end of each row's run
     short = np.repeat(length <= SHORT, length)
     same = i == j
+    src, dst = [], []
     for d in range(1, SHORT):
         at = np.flatnonzero(short & (np.arange(len(key)) + d < last))
         if not len(at):
             break
         at = at[same[at] | (salt[at] != salt[at + d])]
         hit = at[near(fp[at], fp[at + d], start[at])]
-        src.append(name[hit])
-        dst.append(name[hit + d])
+        src.append(hit)
+        dst.append(hit + d)
+    if src:
+        stars.link(np.concatenate(src), np.concatenate(dst))
     for r in np.flatnonzero(length > SHORT):
         own = slice(new[r], new[r] + length[r])
-        label = _link_run(fp[own], salt[own], int(i[new[r]]), int(j[new[r]]), int(start[new[r]]), near)
-        on = label != np.arange(len(label))
-        src.append(name[own][on])
-        dst.append(name[own][label[on]])
-    if not src:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    pairs = np.unique(np.stack([np.concatenate(src), np.concatenate(dst)], axis=1), axis=0)
+        _link_run(stars, int(new[r]), fp[own], salt[own], int(i[new[r]]), int(j[new[r]]), int(start[new[r]]), near)
+    on = np.flatnonzero(stars.label != np.arange(len(key)))
+    pairs = np.unique(np.stack([name[on], name[stars.label[on]]], axis=1), axis=0)
     return pairs[:, 0].copy(), pairs[:, 1].copy()
 
 
@@ -230,7 +229,7 @@ def _linked(rows: DataFrame, near: Callable) -> DataFrame:
         if left is not None and len(left[0]):
             yield emit(left)
 
-    return rows.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").mapInArrow(tidy(run), "src long, dst long")
+    return rows.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j", "name").mapInArrow(tidy(run), "src long, dst long")
 
 
 def fingerprint_links(fps: DataFrame, tile: int = TILE) -> DataFrame:
