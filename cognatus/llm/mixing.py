@@ -25,6 +25,8 @@ from cognatus.llm.text import WORD
 from cognatus.session import materialize
 
 BUCKETS = 64
+#: Up to so many sources, a row of four columns each, are broadcast.
+FEW_SOURCES = 10_000
 
 
 def word_count(text: Column | str) -> Column:
@@ -154,7 +156,7 @@ def mix_sources(
     fine = docs.groupBy(F.col(source_col).alias("source"), size.alias("size"), bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     fine = materialize(fine, "histogram")
     histogram = fine.groupBy("source", "size").agg(F.sum("n").alias("n"))
-    targets = source_targets(histogram, weights, share, cap)
+    targets = materialize(source_targets(histogram, weights, share, cap), "targets")
     same = F.col("source").eqNullSafe(F.col("of"))
     strata = histogram.join(targets.withColumnRenamed("source", "of"), same).select("rank", "target", "size", "n")
 
@@ -175,9 +177,9 @@ def mix_sources(
     named = targets.select(
         F.col("source").alias("__of"), F.col("rank").alias("__rank"), "source_size", "target"
     )
-    rows = docs.withColumns({"__size": size, "__bucket": bucket}).join(
-        named, F.col(source_col).eqNullSafe(F.col("__of"))
-    )
+    if targets.count() <= FEW_SOURCES:  # else each document would be shuffled by its source
+        named = F.broadcast(named)
+    rows = docs.withColumns({"__size": size, "__bucket": bucket}).join(named, F.col(source_col).eqNullSafe(F.col("__of")))
     rows = rows.join(plan, (F.col("__rank") == F.col("__r")) & (F.col("__size") == F.col("__s")) & (F.col("__bucket") == F.col("__b")))
     turn = F.row_number().over(Window.partitionBy("__rank", "__size", "__bucket").orderBy(F.xxhash64(F.col(id_col), F.lit("turn")), id_col))
     copies = F.col("__base") + (turn <= F.col("__ups")).cast("long")
