@@ -41,14 +41,14 @@ def block_edges(dim: int, blocks: int) -> list[int]:
 def _verify(ux: np.ndarray, uy: np.ndarray, x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, a: np.ndarray, b: np.ndarray, edges: list[int], share: float, block: int, threshold: float) -> np.ndarray:
     """Which candidate pairs belong to this block and reach the threshold on the original vectors."""
     keep = np.zeros(len(a), bool)
-    for at in range(0, len(a), 1 << 15):
-        i, j = a[at : at + (1 << 15)], b[at : at + (1 << 15)]
+    for at in range(0, len(a), 1 << 11):  # a chunk's rows stay in cache
+        i, j = a[at : at + (1 << 11)], b[at : at + (1 << 11)]
         square = (ux[i] - uy[j]) ** 2
         sums = np.stack([square[:, p:q].sum(axis=1) for p, q in zip(edges, edges[1:], strict=False)], axis=1)
         first = np.argmax(sums <= share, axis=1)
-        mine = (first == block) & (sums[np.arange(len(i)), first] <= share)
-        cosine = dots(x[i], y[j]) / (nx[i] * ny[j])
-        keep[at : at + (1 << 15)] = mine & (cosine >= threshold)
+        mine = np.flatnonzero((first == block) & (sums[:, block] <= share))
+        i, j = i[mine], j[mine]
+        keep[at + mine] = dots(x[i], y[j]) / (nx[i] * ny[j]) >= threshold
     return keep
 
 
@@ -66,14 +66,20 @@ def _join_tiles(left: pa.Table, right: pa.Table | None, dim: int, block: int, bl
     lo, hi = edges[block], edges[block + 1]
     x, y = units[0], units[-1]
     sx, sy = x[:, lo:hi].astype(np.float32), y[:, lo:hi].astype(np.float32)
-    qx, qy = (sx * sx).sum(axis=1), (sy * sy).sum(axis=1)
+    # one product gives squared distances: |x|^2 * 1 + 1 * |y|^2 - 2 x.y
+    one = lambda v: np.ones((len(v), 1), np.float32)
+    sq = lambda v: (v * v).sum(axis=1, keepdims=True)
+    sx, sy = np.hstack([sx, sq(sx), one(sx)]), np.ascontiguousarray(np.hstack([-2 * sy, one(sy), sq(sy)]).T)
+    limit = np.float32(share + 1e-4)
     shift = 0 if right is None else len(x)
     links = np.zeros(len(ids), np.int64)
     stars = _Stars(len(ids))
-    for p in range(0, len(x), 1024):
-        for q in range(p if right is None else 0, len(y), 4096):
-            d = qx[p : p + 1024, None] + qy[None, q : q + 4096] - 2 * (sx[p : p + 1024] @ sy[q : q + 4096].T)
-            i, j = np.nonzero(d <= share + 1e-4)
+    for p in range(0, len(x), 256):
+        for q in range(p if right is None else 0, len(y), 2048):
+            hit = sx[p : p + 256] @ sy[:, q : q + 2048] <= limit
+            if not hit.any():
+                continue
+            i, j = np.nonzero(hit)
             i, j = i + p, j + q
             if right is None:
                 i, j = i[i < j], j[i < j]
