@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cognatus.llm.text import give_back, ragged, slices, split_words, tidy
+from cognatus.llm.text import give_back, ragged, slices, small_batches, split_words, tidy
 
 UNKNOWN = "und"
 DIMS = 1 << 15
@@ -210,6 +210,7 @@ def train(
     epochs: int = 3,
 ) -> LanguageModel:
     """Fit on ``docs``; rows whose label is null or whose text has no letter are not learned from."""
+    small_batches(docs.sparkSession)
     rows = docs.where(F.col(label_col).isNotNull() & has_letter(text_col)).select(
         F.col(label_col).cast("string").alias("label"), F.xxhash64(id_col).alias("hash"), F.col(text_col).alias("text")
     )
@@ -229,12 +230,16 @@ def train(
     # the hashed values are spread over features: idf times a common scale keeps gradients near one
     idf = (np.log((1 + total) / (1 + df)) + 1) * 20
     at = [x.values.to_numpy() for x in sample.column("at")]
-    rows_ = [(a, t.values.to_numpy() * idf[a]) for a, t in zip(at, sample.column("tf"), strict=True)]
+    rows_ = [(a, (t.values.to_numpy() * idf[a]).astype(np.float32)) for a, t in zip(at, sample.column("tf"), strict=True)]
+    del sample, at
     held = np.arange(len(rows_)) % 5 == 4
     keep = np.flatnonzero(~held)
     w, bias = ftrl([rows_[i] for i in keep], y[keep], len(labels), dims, alpha=alpha, beta=beta, l1=l1, l2=l2, epochs=epochs)
     logits = np.array([x @ w[a] + bias for a, x in (rows_[i] for i in np.flatnonzero(held))]).reshape(-1, len(labels))
-    return LanguageModel(labels, w * idf[:, None], bias, fit_temperature(logits, y[held]))
+    model = LanguageModel(labels, w * idf[:, None], bias, fit_temperature(logits, y[held]))
+    del rows_, logits
+    give_back()
+    return model
 
 
 def predict(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
@@ -243,6 +248,7 @@ def predict(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", na
     ``und`` and 0 if the text is null or has no letter, or if nothing was learned. Ties go to
     the label first in order. Input columns named like the results are replaced.
     """
+    small_batches(docs.sparkSession)
     labels, temperature, bias = model.labels, model.temperature, model.bias
     dims, weights = len(model.weights), model.weights
     docs = docs.drop(*[c for c in names if c in docs.columns])

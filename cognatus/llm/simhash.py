@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cognatus.llm.text import slices, tidy
+from cognatus.llm.text import slices, small_batches, tidy
 from cognatus.operators.graph import star_forest
 from cognatus.session import materialize
 
@@ -84,6 +84,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 column = pa.array(fps, pa.binary()) if lanes else pa.array(np.frombuffer(b"".join(fps), "<i8"))
                 yield pa.RecordBatch.from_arrays([piece.column("id"), column], names=["id", "fp"])
 
+    small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(tidy(run), f"id {id_type}, fp {'binary' if lanes else 'long'}")

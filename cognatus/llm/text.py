@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 #: Fixed by the contract: a word is a run of anything but space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,6 +23,17 @@ def give_back() -> None:
         pass
 
 
+#: Arrow batches of texts stay below this; batches by row count alone have no bound in bytes.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the bytes of the session's Arrow batches, unless they are bounded more tightly."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(key).rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run``, giving memory back when a task ends."""
 
