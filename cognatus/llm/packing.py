@@ -31,11 +31,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cognatus.llm.text import ragged, slices, split_words, tidy
+from cognatus.llm.text import ragged, slices, small_batches, split_words, tidy
 from cognatus.session import materialize
 
 #: Words whose ids a worker remembers.
 CACHE = 500_000
+#: Scripts from here on may hold letters that one Unicode version knows and another does not.
+LATER = "\u0590"
 #: Bytes of text handled at a time.
 SLICE = 8 << 20
 
@@ -89,10 +91,10 @@ class WordIds:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _several(self, words: list[str], letters: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Concatenated ids of the words, and how many each has. ``letters``: they have nothing else."""
+        """Concatenated ids of the words, and how many each has. ``letters``: they are lower-case letters only."""
         if len(self.mark) == 1:
             text = f" {self.MARK} ".join(words)
-            if letters and self.lean and unicodedata.is_normalized("NFC", text) and text.lower() == text:
+            if letters and self.lean and unicodedata.is_normalized("NFC", text):
                 ids = np.array(self.lean.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
             else:
                 ids = self._encode([text])[0]
@@ -112,7 +114,7 @@ class WordIds:
             known, new = self.known, words
         alike = [[], []]
         for w in new:
-            alike[w.isalpha()].append(w)
+            alike[w.isalpha() and w.islower() and (w.isascii() or max(w) < LATER)].append(w)
         for some, letters in [(x[at : at + 1000], k) for k, x in enumerate(alike) for at in range(0, len(x), 1000)]:
             ids, lengths = self._several(some, bool(letters))
             end = self.used + len(ids)
@@ -153,6 +155,7 @@ def token_rows(
     docs: DataFrame, tokenizer_path: str, window: int, step: int, end_id: int, id_col: str, text_col: str, keep_ids: bool
 ) -> DataFrame:
     """One row per document: its length, its pieces' checksums, and its ranks within the task."""
+    small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     names = ["doc", "part", "n", "fulls", "full_at", "cls", "rank", "tail", "tail_at", "crcs", "steps", "ids"]
     schema = f"doc {id_type}, part int, n long, fulls long, full_at long, cls int, rank long, tail binary, tail_at long, crcs array<long>, steps array<long>, ids binary"
