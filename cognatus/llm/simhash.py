@@ -7,9 +7,8 @@ Candidates therefore agree exactly on the two first segments of a chain and on t
 three. These 24 keys of 32 bits each are the join keys; the longer chains prune what they
 bring together before the full Hamming check.
 
-Documents that are only similar differ in more bits than that. For a threshold on similarity
-:func:`drop_near_duplicates` therefore takes several lanes of 64 bits, where the share of differing
-bits tells the similarity apart, and chains of three equal segments of any lane as keys.
+Documents that are only similar differ in more bits than that: :func:`drop_near_duplicates` has a
+threshold on similarity and compares sets of shingles, see :mod:`cognatus.llm.jaccard`.
 
 Scale: equal fingerprints are merged first, so a group of copies is one row. Keys that occur
 once leave before any pairing. A bucket of more than ``TILE`` fingerprints is salted into
@@ -33,27 +32,17 @@ from cognatus.operators.graph import star_forest
 from cognatus.session import materialize
 
 SEGMENTS, DISTANCE = 8, 3
-LANES = 8
 TILE = 4096
 #: Runs up to this length are paired by offsets, longer ones by blocks.
 SHORT = 32
 PIECE = 1 << 16
 
 
-def _mix(h: np.ndarray, lane: int) -> np.ndarray:
-    """The hashes for a lane: as they are for lane 0, remixed for the others."""
-    if not lane:
-        return h
-    h = (h ^ np.uint64(lane * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(32))
-
-
-def simhash(words: list[bytes], shingle: int, lanes: int = 1, seed: int = 42) -> bytes:
-    """Fingerprint of one document's words, eight bytes a lane, least byte first; zeros if there are no words."""
+def simhash(words: list[bytes], shingle: int, seed: int = 42) -> bytes:
+    """Fingerprint of one document's words, least byte first; zeros if there are no words."""
     if not words:
-        return bytes(8 * lanes)
-    ones, total = np.zeros((lanes, 64), np.int64), 0
+        return bytes(8)
+    ones, total = np.zeros(64, np.int64), 0
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
@@ -62,32 +51,31 @@ def simhash(words: list[bytes], shingle: int, lanes: int = 1, seed: int = 42) ->
     digest = xxhash.xxh64_intdigest
     for at in range(0, len(starts), PIECE):
         hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts[at : at + PIECE], ends[at : at + PIECE], strict=True)], np.uint64)
-        for lane in range(lanes):
-            bits = np.unpackbits(_mix(hashes, lane).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones[lane] += bits.sum(axis=0, dtype=np.int32)
+        bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int32)
         total += len(hashes)
-    return np.packbits(2 * ones > total, axis=1, bitorder="little").tobytes()
+    return np.packbits(2 * ones > total, bitorder="little").tobytes()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, lanes: int | None = None) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """``(id, fp)`` of every document: A-Z lower-cased, whole text, repeated shingles counted.
 
     Fewer words than a shingle make one shingle; null, empty and blank texts have fingerprint
-    zero. ``fp`` is binary if ``lanes`` are given, else the bits of one lane as a long.
+    zero. ``fp`` is its bits as a long.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, "text"):
                 texts = pc.fill_null(piece.column("text"), "").cast(pa.binary()).to_pylist()
-                fps = [simhash(t.lower().split(), shingle, lanes or 1) for t in texts]
-                column = pa.array(fps, pa.binary()) if lanes else pa.array(np.frombuffer(b"".join(fps), "<i8"))
+                fps = [simhash(t.lower().split(), shingle) for t in texts]
+                column = pa.array(np.frombuffer(b"".join(fps), "<i8"))
                 yield pa.RecordBatch.from_arrays([piece.column("id"), column], names=["id", "fp"])
 
     small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(tidy(run), f"id {id_type}, fp {'binary' if lanes else 'long'}")
+    return rows.mapInArrow(tidy(run), f"id {id_type}, fp long")
 
 
 def ring_keys(fp: Column | str = "fp") -> Column:
@@ -118,18 +106,6 @@ def _near(a: np.ndarray, b: np.ndarray, start: np.ndarray | int) -> np.ndarray:
     return ok & (np.bitwise_count(x) <= DISTANCE)
 
 
-def _near_wide(limit: int) -> Callable[[np.ndarray, np.ndarray, np.ndarray | int], np.ndarray]:
-    """The whole distance over all lanes, a lane at a time."""
-
-    def near(a: np.ndarray, b: np.ndarray, start: np.ndarray | int) -> np.ndarray:
-        total = np.zeros(np.broadcast_shapes(a.shape, b.shape)[:-1], np.uint16)
-        for lane in range(a.shape[-1]):
-            total += np.bitwise_count(a[..., lane] ^ b[..., lane])
-        return total <= limit
-
-    return near
-
-
 class _Stars:
     """Union-find over row numbers."""
 
@@ -239,34 +215,6 @@ def fingerprint_links(fps: DataFrame, tile: int = TILE) -> DataFrame:
     return _linked(rows.withColumn("fp", F.col("name")), _near)
 
 
-def wide_links(classes: DataFrame, similarity: float, lanes: int, tile: int = TILE) -> DataFrame:
-    """``(src, dst)`` edges between names of ``(name, fp)`` whose wide fingerprints tell of that similarity.
-
-    Sets of shingles of one size with a Jaccard similarity of s have a cosine of ``2 s / (1 + s)``,
-    and a bit of their fingerprints differs with probability ``acos(cosine) / pi``; fingerprints
-    link at that share of differing bits, and a standard error over it, or less. Candidates agree on a chain of three
-    consecutive segments in some lane: ``8 * lanes`` keys of 24 bits, any of which suffices. With
-    8 lanes about 7 of 10 pairs at a similarity of 0.8 have one, 9 of 10 at 0.85, 99 of 100 at
-    0.9; and links chain.
-    """
-    cosine = 2 * similarity / (1 + similarity)
-    share = np.arccos(cosine) / np.pi
-    limit = int(64 * lanes * share + np.sqrt(64 * lanes * share * (1 - share)))
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = batch.column("name").to_numpy()
-            fp = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8).reshape(len(names), lanes, 8).astype(np.int64)
-            for lane in range(lanes):
-                for start in range(SEGMENTS):
-                    a, b, c = (fp[:, lane, (start + k) % SEGMENTS] for k in range(3))
-                    key = ((lane * SEGMENTS + start) * 3 << 32) | a << 16 | b << 8 | c
-                    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(key)], names=["name", "k"])
-
-    rows = _paired(classes.select("name", "fp").mapInArrow(tidy(keyed), "name long, k long"), tile)
-    return _linked(rows.join(classes.select("name", "fp"), "name"), _near_wide(limit))
-
-
 def _components(fps: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
     """``(id, fp, component)`` from ``(id, name, fp)``, ``(name, rep)`` and edges between names."""
     forest = star_forest(links)
@@ -290,29 +238,18 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return _components(fps, classes, fingerprint_links(classes.select(F.col("name").alias("fp"))))
 
 
-def similar_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, lanes: int = LANES
-) -> DataFrame:
-    """``(id, fp, component)`` over the links of :func:`wide_links`; ``fp`` is binary.
-
-    Fingerprints are named by a 64-bit hash of theirs. For rows, nulls and repeats see
-    :func:`simhash_groups`.
-    """
-    fps = fingerprints(docs, id_col, text_col, shingle, lanes).withColumn("name", F.xxhash64("fp"))
-    fps = materialize(fps, "fingerprints")
-    classes = materialize(fps.groupBy("name").agg(F.min("id").alias("rep"), F.first("fp").alias("fp")), "classes")
-    return _components(fps, classes.select("name", "rep"), wide_links(classes, similarity, lanes))
-
-
 def drop_near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, lanes: int = LANES
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8
 ) -> DataFrame:
     """``docs`` with one row per group of near-duplicates: the one with the least id.
 
-    A repeated id keeps one row. Rows without an id cannot be named and are kept as they are.
-    Documents without words are one group.
+    Groups are those of :func:`cognatus.llm.jaccard.similar_groups`: every pair of texts with a Jaccard similarity of
+    ``similarity`` or more is linked, and no other. A repeated id keeps one row. Rows without an id
+    cannot be named and are kept as they are. Documents without words are one group.
     """
-    groups = similar_groups(docs.where(F.col(id_col).isNotNull()), id_col, text_col, shingle, similarity, lanes)
+    from cognatus.llm.jaccard import similar_groups  # which pairs keys with this module
+
+    groups = similar_groups(docs.where(F.col(id_col).isNotNull()), id_col, text_col, shingle, similarity)
     keep = groups.where("id = component").select(F.col("id").alias("__keep")).distinct()
     kept = docs.join(keep, F.col(id_col) == F.col("__keep"), "left_semi").dropDuplicates([id_col])
     return kept.unionByName(docs.where(F.col(id_col).isNull()))
