@@ -42,17 +42,31 @@ FRAMES = set("container has layout no page with without wrapper wrap".split())
 OWN_HEADER = set("article entry post story".split())
 
 
+#: What a block is: outside the article or in a dropped region; open to doubt; of the article, as marked.
+OUTSIDE, OPEN, ARTICLE = 0, 1, 2
+
+
 @dataclass
 class Page:
-    """``main``: blocks of the article, if marked as such. ``rest``: blocks outside it, dropped regions included.
+    """A page's blocks in order, and what each is.
 
-    ``open_blocks`` are those of the rest that no dropped region holds.
+    With a marked article, its blocks are of it, and blocks of the main region beside it are open; without
+    one all blocks that no dropped region holds are open.
     """
 
-    main: list[str]
-    rest: list[str]
-    open_blocks: list[str]
-    marked: bool
+    blocks: list[str]
+    kinds: list[int]
+
+    def of(self, kind: int) -> list[str]:
+        return [b for b, k in zip(self.blocks, self.kinds, strict=True) if k == kind]
+
+    @property
+    def main(self) -> list[str]:
+        return self.of(ARTICLE)
+
+    @property
+    def open_blocks(self) -> list[str]:
+        return self.of(OPEN)
 
 
 def _judge(tag: str, attributes: str, inside: bool) -> tuple[bool, int]:
@@ -100,6 +114,7 @@ def read_page(source: str | None) -> Page:
     kept: list[tuple[int, bool, str]] = []  # rank of region, dropped, text
     # open elements that matter: tag, dropped, rank, and for a dropped inline element the text it interrupts
     stack: list[tuple[str, bool, int, list[str] | None]] = []
+    opened: dict[str, int] = {}  # how many of each tag are on the stack, which is searched for those alone
     dropped, rank = False, 0
     text: list[str] = []
     at, end = 0, len(source)
@@ -118,6 +133,8 @@ def read_page(source: str | None) -> Page:
         if saved is not None:
             flush()
             text = saved
+        for x in stack[i:]:
+            opened[x[0]] -= 1
         del stack[i:]
         dropped = stack[-1][1] if stack else False
         rank = stack[-1][2] if stack else 0
@@ -137,12 +154,13 @@ def read_page(source: str | None) -> Page:
         if m[1]:
             if tag in BLOCK:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    if stack[i][3] is None:
-                        flush()
-                    pop_to(i)
-                    break
+            if opened.get(tag):
+                i = len(stack) - 1
+                while stack[i][0] != tag:
+                    i -= 1
+                if stack[i][3] is None:
+                    flush()
+                pop_to(i)
             continue
         if tag in BLOCK:
             flush()
@@ -159,16 +177,16 @@ def read_page(source: str | None) -> Page:
         if m[3].endswith("/"):
             continue
         gone, own = _judge(tag, m[3], rank >= 2)
-        if gone or own > 0 or any(x[0] == tag for x in stack) or (tag in BLOCK and tag not in ("p", "li")):
+        if gone or own > 0 or opened.get(tag) or (tag in BLOCK and tag not in ("p", "li")):
             saved = None
             if gone and not dropped and tag not in BLOCK:
                 saved, text = text, []
             elif own > rank or (gone and not dropped):
                 flush()
             stack.append((tag, dropped or gone, max(rank, own), saved))
+            opened[tag] = opened.get(tag, 0) + 1
             dropped, rank = stack[-1][1], stack[-1][2]
     flush()
     best = max((r for r, d, _ in kept if not d), default=0)
-    main = [b for r, d, b in kept if not d and best and r >= best]
-    rest = [b for r, d, b in kept if d or not best or r < best]
-    return Page(main, rest, [b for r, d, b in kept if not d and not (best and r >= best)], bool(main))
+    kinds = [OUTSIDE if d else (ARTICLE if best else OPEN) if r == best else OPEN if r == 2 else OUTSIDE for r, d, _ in kept]
+    return Page([b for _, _, b in kept], kinds)
