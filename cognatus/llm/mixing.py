@@ -9,7 +9,8 @@ rounding errors of a source cancel.
 Scale: documents are first reduced to an exact histogram over (source, size, hash bucket).
 The dual separates by source, so each Newton solve is a task over one source's histogram of
 sizes, which has a row per distinct size, whatever the number of documents. Many documents of
-one source and size are spread over the hash buckets when copies are dealt out.
+one source and size are spread over the hash buckets when copies are dealt out; their number
+follows the documents.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 from cognatus.llm.text import WORD
 from cognatus.session import materialize
 
-BUCKETS = 64
+#: Documents are dealt to buckets by a hash of the row: so many at least, and a bucket's documents on average.
+BUCKETS, BUCKET_ROWS = 64, 1 << 14
 #: Up to so many sources, a row of four columns each, are broadcast.
 FEW_SOURCES = 10_000
 
@@ -140,19 +142,24 @@ def mix_sources(
     weights: Sequence[float] = (3, 1, 2),
     share: float = 1.5,
     cap: float = 2.0,
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """``docs`` with ``source_size``, ``target``, ``copies`` and ``taken`` (copies times size).
 
     ``size_col`` is a count of tokens; null counts as zero. Documents without tokens keep one
     copy and take nothing. A null source is a source; null or repeated ids are rows like any
-    other. Input columns named like the results are replaced. An empty table stays empty. The
-    result depends on the rows alone, so reruns agree.
+    other; very long documents are sizes like any other. Input columns named like the results are
+    replaced. An empty table stays empty. The result depends on the rows alone: extra copies go by a
+    hash of the whole row, and rows it cannot tell apart are equal, so reruns agree.
     """
     made = ("source_size", "target", "copies", "taken")
     docs = docs.drop(*[c for c in made if c in docs.columns])
     size = F.coalesce(F.col(size_col).cast("long"), F.lit(0).cast("long"))
-    bucket = F.pmod(F.xxhash64(id_col), F.lit(buckets)).cast("int")
+    if buckets is None:
+        buckets = max(BUCKETS, -(-docs.count() // BUCKET_ROWS))
+    whole = [f.name for f in docs.schema if f.dataType.typeName() not in ("map", "variant")]
+    turn = F.xxhash64(*[F.col(c) for c in [id_col, *sorted(set(whole) - {id_col})]])
+    bucket = F.pmod(turn, F.lit(buckets)).cast("int")
     fine = docs.groupBy(F.col(source_col).alias("source"), size.alias("size"), bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     fine = materialize(fine, "histogram")
     histogram = fine.groupBy("source", "size").agg(F.sum("n").alias("n"))
@@ -179,10 +186,10 @@ def mix_sources(
     )
     if targets.count() <= FEW_SOURCES:  # else each document would be shuffled by its source
         named = F.broadcast(named)
-    rows = docs.withColumns({"__size": size, "__bucket": bucket}).join(named, F.col(source_col).eqNullSafe(F.col("__of")))
+    rows = docs.withColumns({"__size": size, "__turn": turn}).withColumn("__bucket", F.pmod("__turn", F.lit(buckets)).cast("int")).join(named, F.col(source_col).eqNullSafe(F.col("__of")))
     rows = rows.join(plan, (F.col("__rank") == F.col("__r")) & (F.col("__size") == F.col("__s")) & (F.col("__bucket") == F.col("__b")))
-    turn = F.row_number().over(Window.partitionBy("__rank", "__size", "__bucket").orderBy(F.xxhash64(F.col(id_col), F.lit("turn")), id_col))
-    copies = F.col("__base") + (turn <= F.col("__ups")).cast("long")
+    place = F.row_number().over(Window.partitionBy("__rank", "__size", "__bucket").orderBy("__turn", id_col))
+    copies = F.col("__base") + (place <= F.col("__ups")).cast("long")
     return (
         rows.withColumn("copies", copies)
         .withColumn("taken", F.col("copies") * F.col("__size"))
