@@ -9,7 +9,8 @@ All of it is DataFrame expressions. Scale: a capture turns into one row per key
 (its URL, its host, the domains above, the path prefixes as deep as any listed one), and keys
 and a coarse time bucket are the join's equality, so an often re-listed pattern meets a capture
 in one bucket only. Neither side is broadcast by request; a hot host or domain is split by
-adaptive skew joins, as both sides are plain shuffles. The driver sees three scalars.
+adaptive skew joins, as both sides are plain shuffles. The driver sees two scalars and the buckets in
+which captures lie, of which all time has some 120,000; an entry has a row for each of those it is active in.
 """
 
 from __future__ import annotations
@@ -53,10 +54,14 @@ def intervals(entries: DataFrame) -> DataFrame:
     ``until`` is null while an entry holds. Of entries of one list and pattern at one time,
     block outweighs allow and allow outweighs remove. Rows with a null in kind, pattern, action
     or time are no entries; a null list is a list of its own. Removals end an interval and
-    begin none.
+    begin none. Hosts and domains in patterns are lower-cased, and so is the host of a prefix; whole
+    URLs are not.
     """
     weight = F.when(F.col("action") == "block", 2).when(F.col("action") == "allow", 1).when(F.col("action") == "remove", 0)
     told = entries.where(F.col("kind").isin(*KINDS) & F.col("pattern").isNotNull() & F.col("listed_at").isNotNull() & weight.isNotNull())
+    lowered = F.regexp_extract("pattern", "^([^/]*)", 1)
+    lowered = F.concat(F.lower(lowered), F.substring("pattern", F.length(lowered) + 1, F.length("pattern")))
+    told = told.withColumn("pattern", F.when(F.col("kind") == "url", F.col("pattern")).otherwise(lowered))
     told = told.groupBy("list", "kind", "pattern", "listed_at").agg(F.max(weight).alias("w"))
     after = Window.partitionBy("list", "kind", "pattern").orderBy("listed_at")
     return (
@@ -75,23 +80,24 @@ def judge(captures: DataFrame, entries: DataFrame, *, url_col: str = "url", time
     prefix over host over domain, then the longer pattern, then block over allow, then the
     later entry, then list and pattern by code point decide. A null or odd URL or a null time
     passes. Repeated captures are rows like any other; columns of ``captures`` named like the
-    results are replaced. Empty captures or entries are no error.
+    results are replaced, and any other name may be there. Empty captures or entries are no error.
     """
     made = ("verdict", "list", "pattern", "since")
     captures = captures.drop(*[c for c in made if c in captures.columns])
     valid = intervals(entries)
     seconds = lambda c: F.unix_timestamp(c)
-    edge = captures.agg(F.max(seconds(time_col)).alias("last")).first()["last"]
     depth = valid.agg(
         F.coalesce(F.max(F.when(F.col("kind") == "domain", F.size(F.split("pattern", r"\.")))), F.lit(0)).alias("labels"),
         F.coalesce(F.max(F.when(F.col("kind") == "prefix", F.size(F.split("pattern", "/")) - 1)), F.lit(0)).alias("segments"),
     ).first()
-    edge = 0 if edge is None else edge
     bucket = lambda c: F.floor(c / F.lit(BUCKET_SECONDS)).cast("long")
-    spans = valid.where(seconds("since") <= edge).withColumn(
-        "__bucket", F.explode(F.sequence(bucket(seconds("since")), bucket(F.least(F.coalesce(seconds("until"), F.lit(edge)), F.lit(edge)))))
-    )
-    spans = spans.select(F.col("kind").alias("__kind"), F.col("pattern").alias("__pattern"), "__bucket", F.col("list").alias("__list"), "action", F.col("since").alias("__since"), "until")
+    present = sorted(r[0] for r in captures.select(bucket(seconds(time_col))).distinct().collect() if r[0] is not None)
+    times = F.array(*[F.lit(t) for t in present]) if present else F.array().cast("array<bigint>")
+    held = F.filter(times, lambda t: (t >= bucket(seconds("since"))) & (F.col("until").isNull() | (t <= bucket(seconds("until")))))
+    spans = valid.withColumn("__bucket", F.explode(held)).select(
+        F.col("kind").alias("__kind"), F.col("pattern").alias("__pattern"), "__bucket", F.col("list").alias("__list"),
+        F.col("action").alias("__action"), F.col("since").alias("__since"), F.col("until").alias("__until"),
+    )
 
     name, way = host(url_col), path(url_col)
     key = lambda kind, patterns: F.transform(patterns, lambda p: F.struct(F.lit(kind).alias("kind"), p.alias("pattern")))
@@ -110,13 +116,13 @@ def judge(captures: DataFrame, entries: DataFrame, *, url_col: str = "url", time
         & (F.col("__p") == F.col("__pattern"))
         & (F.col("__b") == F.col("__bucket"))
         & (seconds("__since") <= F.col("__at"))
-        & (F.col("until").isNull() | (F.col("__at") < seconds("until")))
+        & (F.col("__until").isNull() | (F.col("__at") < seconds("__until")))
     )
     met = asked.join(spans, active, "left")
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("__kind"))
     best = F.when(
         F.col("__kind").isNotNull(),
-        F.struct(rank.alias("r"), F.length("__pattern").alias("n"), (F.col("action") == "block").alias("b"), F.col("__since").alias("since"), F.col("__list").alias("list"), F.col("__pattern").alias("pattern")),
+        F.struct(rank.alias("r"), F.length("__pattern").alias("n"), (F.col("__action") == "block").alias("b"), F.col("__since").alias("since"), F.col("__list").alias("list"), F.col("__pattern").alias("pattern")),
     )
     judged = met.groupBy("__row", *captures.columns).agg(F.max(best).alias("__best"))
     verdict = F.when(F.col("__best").isNull(), "pass").when(F.col("__best.b"), "block").otherwise("allow")
