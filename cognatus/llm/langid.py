@@ -28,7 +28,8 @@ from cognatus.llm.text import give_back, ragged, slices, small_batches, split_wo
 UNKNOWN = "und"
 DIMS = 1 << 15
 ORDERS = (1, 2, 3)
-PER_LABEL = 1500
+#: What bounds the driver: documents learned from per label, and labels; more labels than that are an error.
+PER_LABEL, MOST_LABELS = 1500, 400
 
 
 def word_ngrams(words: pa.Array, dims: int = DIMS) -> tuple[np.ndarray, np.ndarray]:
@@ -216,6 +217,8 @@ def train(
     )
     df, total = document_frequencies(rows, dims)
     edges = sample_edges(rows.select("label", "hash"), per_label)
+    if len(edges) > MOST_LABELS:
+        raise ValueError(f"{len(edges)} labels; there may be {MOST_LABELS}")
     if not edges:
         return LanguageModel([], np.zeros((dims, 0)), np.zeros(0), 1.0)
     chosen = F.lit(False)
@@ -250,7 +253,7 @@ def predict(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", na
     """
     small_batches(docs.sparkSession)
     labels, temperature, bias = model.labels, model.temperature, model.bias
-    dims, weights = len(model.weights), model.weights
+    dims, shared = len(model.weights), docs.sparkSession.sparkContext.broadcast(model.weights)
     docs = docs.drop(*[c for c in names if c in docs.columns])
     if not labels:
         return docs.withColumns({names[0]: F.lit(UNKNOWN), names[1]: F.lit(0.0)})
@@ -258,7 +261,7 @@ def predict(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", na
     @F.arrow_udf("struct<label: string, score: double>")
     def scored(texts: pa.Array) -> pa.Array:
         batch = pa.RecordBatch.from_arrays([texts], names=["text"])
-        out_label, out_score = [], []
+        weights, out_label, out_score = shared.value, [], []
         for piece in slices(batch, "text"):
             codes, words, offsets = split_words(piece.column("text"), "utf8")
             feats, counts = word_ngrams(words, dims)
@@ -290,7 +293,14 @@ def learns_from(id_col: str = "doc_id", folds: int = 5, fold: int = 0) -> Column
 
 
 def language_ids(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_label: int = PER_LABEL) -> DataFrame:
-    """``docs`` with ``held_out``, ``lang_pred`` and ``score``, learned from the documents not held out."""
+    """``docs`` with ``held_out``, ``lang_pred`` and ``score``, learned from the documents not held out.
+
+    A null text, or one without a letter, is ``und`` with a score of 0, and so is everything if nothing was
+    learned; a null label is not learned from, a null id neither. Repeated rows and documents of equal
+    hash are rows like any other; of a label's documents at the sample's edge those come first that their hash
+    puts first. Very long texts are read whole. Columns named like the results are replaced; an empty table
+    stays empty. Labels are not looked at in a prediction.
+    """
     model = train(docs.where(learns_from(id_col)), label_col=label_col, id_col=id_col, text_col=text_col, per_label=per_label)
     docs = docs.drop(*[c for c in ("held_out",) if c in docs.columns])
     return predict(docs.withColumn("held_out", ~learns_from(id_col)), model, text_col=text_col)
