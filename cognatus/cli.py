@@ -78,7 +78,7 @@ def _verify(spark, arguments) -> int:
     summary, failures = verification.verify(spark, arguments.folder, store.hashes, arguments.recursive)
     summary.show()
     for row in failures.toLocalIterator():
-        print(f"[FAIL] {row['path']}\n       Reason: {row['reason']}")
+        print(f"{row['path']}: {row['reason']}")
     return 0
 
 

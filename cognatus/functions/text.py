@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # These patterns and limits decide which records are linked and must stay as they are.
 #: White space, line borders and digits as Unicode text has them; both Java and RE2 read this.
 SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: The same white space, character by character.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x20\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 #: ASCII letters in any case, with the four others that fold to them, digits and hyphen.
 WORD = r"[A-Za-z\x{130}\x{131}\x{17f}\x{212a}0-9-]"
@@ -30,7 +32,7 @@ def _col(c: Column | str) -> Column:
 
 def strip_space(text: Column | str) -> Column:
     """Without white space at either end, Unicode's included."""
-    return F.regexp_replace(_col(text), rf"^{SPACE}+|{SPACE}+\z", "")
+    return F.trim(_col(text), F.lit(SPACES))
 
 
 def normalize_phrase(text: Column | str) -> Column:
@@ -44,14 +46,23 @@ def is_trailer(line: Column | str) -> Column:
 
 
 def strip_trailers(body: Column | str) -> Column:
-    """A message without the trailers and blank lines at its end, as a normalised phrase."""
+    """A message without the trailers and blank lines at its end, as a normalised phrase.
+
+    Lines are looked at from the last one up to the first that stays; those above are not.
+    """
     lines = F.split(strip_space(F.coalesce(_col(body), F.lit(""))), LINE_BREAK)
 
-    def place(line: Column, i: Column) -> Column:
+    def goes(line: Column) -> Column:
         line = strip_space(line)
-        return F.when((line == "") | is_trailer(line), 0).otherwise(i + 1)
+        return (line == "") | is_trailer(line)
+
+    # lines counted off at the end; negative once one has stayed
+    def step(found: Column, line: Column) -> Column:
+        return F.when(found < 0, found).when(goes(line), found + 1).otherwise(-found - 1)
 
-    return normalize_phrase(F.array_join(F.slice(lines, F.lit(1), F.array_max(F.transform(lines, place))), " "))
+    found = F.aggregate(F.reverse(lines), F.lit(0), step)
+    kept = F.when(found < 0, F.size(lines) + found + 1).otherwise(0)
+    return normalize_phrase(F.array_join(F.slice(lines, F.lit(1), kept), " "))
 
 
 def normalize_diff(diff: Column | str) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from cognatus.functions import similarity, text
 from cognatus.operators.graph import connected_components
 from cognatus.plans import scoring, store, tiers, verify
-from cognatus.session import materialize
+from cognatus.session import materialize, spread
 from cognatus.sources import lists
 
 
@@ -28,7 +28,7 @@ def sha_of(number) -> F.Column:
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as commits, with ``doc_id`` kept."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     t = F.coalesce("text", F.lit(""))
     at = F.instr(t, "\n")
     tag = F.concat(F.lit("\n\nSigned-off-by: A B <a@example.com>\n(cherry picked from commit "), sha_of(F.col("doc_id") - 1), F.lit(")"))
@@ -44,6 +44,11 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("cleaned_body", text.strip_trailers("body"))
 
 
+def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`commits` as a table, for queries that look at them several times: each text is cleaned once."""
+    return materialize(commits(spark, sf_dir), "commits")
+
+
 def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stored table: a group per subject, types 1 to 6, and similarities, some of them null."""
     rows = commits(spark, sf_dir).select("doc_id", "sha", "subject")
@@ -92,15 +97,15 @@ def tag_edges(spark, d):
 
 
 def tier2_timestamp_pairs(spark, d):
-    return tiers.timestamp_pairs(commits(spark, d)).select("src", "dst", "sim")
+    return tiers.timestamp_pairs(prepared(spark, d)).select("src", "dst", "sim")
 
 
 def tier3_message_pairs(spark, d):
-    return tiers.message_pairs(commits(spark, d)).select("src", "dst")
+    return tiers.message_pairs(prepared(spark, d)).select("src", "dst")
 
 
 def tier4_fuzzy_pairs(spark, d):
-    rows = commits(spark, d)
+    rows = prepared(spark, d)
     strict = materialize(tiers.timestamp_pairs(rows).unionByName(tiers.message_pairs(rows)), "strict")
     return tiers.fuzzy_pairs(rows, strict).select("src", "dst", "sim")
 
@@ -113,12 +118,51 @@ def indel_ratio_pairs(spark, d):
     return pairs.select("a", "b", F.round(similarity.ratio("a", "b") * whole).cast("long").alias("twice_lcs"), whole.cast("long").alias("total"))
 
 
+def short_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as commits with short messages, so that SQL can work out every ratio."""
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(
+        sha_of(k).alias("sha"),
+        F.concat(F.lit("a"), (k % 2).cast("string")).alias("author_name"),
+        (F.lit(1700000000) + k * 7 % 40 * 86400).alias("author_date"),
+        F.concat("c_mktsegment", F.lit(" "), F.col("c_nationkey").cast("string")).alias("subject"),
+        F.concat(F.lower("c_name"), F.lit(" "), F.substring(F.md5(k.cast("string")), F.lit(1), (k % 13).cast("int"))).alias("cleaned_body"),
+        F.array(F.concat(F.lit("f"), (k % 3 % 2).cast("string"))).alias("files"),
+    )
+
+
+def _twice_lcs(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+    """``(src, dst, twice_lcs)`` of scored pairs: the ratio times both lengths is a whole number."""
+    length = lambda end: bodies.select(F.col("sha").alias(end), F.length("cleaned_body").alias(f"n_{end}"))
+    whole = pairs.join(length("src"), "src").join(length("dst"), "dst")
+    return whole.select("src", "dst", F.round(F.col("sim") * (F.col("n_src") + F.col("n_dst"))).cast("long").alias("twice_lcs"))
+
+
+def tier2_short_messages(spark, d):
+    rows = short_commits(spark, d)
+    return _twice_lcs(tiers.timestamp_pairs(rows), rows)
+
+
+def tier4_short_messages(spark, d):
+    rows = short_commits(spark, d)
+    strict = materialize(tiers.timestamp_pairs(rows).unionByName(tiers.message_pairs(rows)), "strict")
+    return _twice_lcs(tiers.fuzzy_pairs(rows, strict), rows)
+
+
+def group_similarity_short(spark, d):
+    """The scores of customers, a group per subject, in ten thousandths."""
+    rows = short_commits(spark, d)
+    scores = scoring.group_similarity(rows.select("sha", F.col("subject").alias("component")), rows.select("sha", F.col("cleaned_body").alias("diff")))
+    return scores.select("sha", F.round(F.col("similarity") * 10000).cast("long").alias("score"))
+
+
 def file_guard_pairs(spark, d):
     return _pairs(commits(spark, d)).where(tiers.files_agree("files_a", "files_b")).select("sha_a", "sha_b")
 
 
 def time_band_pairs(spark, d):
-    return _pairs(commits(spark, d)).where(tiers.dates_agree("author_date_a", "author_date_b")).select("sha_a", "sha_b")
+    every = commits(spark, d).select("sha", "subject", "author_name", "author_date", F.array().cast("array<string>").alias("files"))
+    return tiers.subject_pairs(every, carry=(), banded=True).select("sha_a", "sha_b")
 
 
 def subject_buckets(spark, d):
@@ -131,7 +175,7 @@ def bucket_size_window(spark, d):
 
 
 def _linked(spark, d):
-    rows = commits(spark, d)
+    rows = prepared(spark, d)
     return rows, tiers.tag_edges(rows).unionByName(tiers.message_pairs(rows)).unionByName(tiers.patch_edges(patch_ids(rows), rows))
 
 
@@ -141,14 +185,14 @@ def components(spark, d):
 
 
 def ambiguous_subjects(spark, d):
-    rows = commits(spark, d)
+    rows = prepared(spark, d)
     edges = tiers.tag_edges(rows).unionByName(tiers.message_pairs(rows))
     labelled = connected_components(rows.select("sha", "subject"), edges, key="sha")
     return tiers.ambiguous_subjects(labelled)
 
 
 def patch_groups(spark, d):
-    rows = commits(spark, d)
+    rows = prepared(spark, d)
     return tiers.patch_groups(patch_ids(rows), rows).select("patch_id", "subject", "n")
 
 
@@ -258,7 +302,8 @@ def patch_compliance(spark, d):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        text_strip_trailers, text_normalize_diff, tag_edges, tier2_timestamp_pairs, tier3_message_pairs, tier4_fuzzy_pairs, indel_ratio_pairs,
+        text_strip_trailers, text_normalize_diff, tag_edges, tier2_timestamp_pairs, tier3_message_pairs, tier4_fuzzy_pairs, tier2_short_messages,
+        tier4_short_messages, group_similarity_short, indel_ratio_pairs,
         file_guard_pairs, time_band_pairs, subject_buckets, bucket_size_window, ambiguous_subjects, patch_groups, group_similarity,
         evidence_min_type, run_counters, assign_group_ids, upsert_hashes, stats_totals, type_histogram, group_size_stats, top5_groups, group_list,
         member_list, group_blacklist_state, prefix_lookup, siblings, same_group, message_search, blacklist_anti, distinct_union, toggle_blacklist,
@@ -323,6 +368,31 @@ reach(sha, other) AS (SELECT sha, sha FROM commits UNION SELECT r.sha, links.b F
 comp AS (SELECT sha, min(other) AS component FROM reach GROUP BY sha)"""
 
 
+def _lcs(pairs: str) -> str:
+    """``done`` (columns of the pairs, twice_lcs) from rows with texts a and b, by the table of their common subsequences, row by row."""
+    return f"""
+lcs AS (
+    SELECT a, b, 0 AS i, list_transform(range(length(b) + 1), lambda x: CAST(0 AS BIGINT)) AS row FROM (SELECT DISTINCT a, b FROM {pairs})
+    UNION ALL
+    SELECT a, b, i + 1, list_reduce(list_concat([[CAST(0 AS BIGINT)]], list_transform(range(1, length(b) + 1), lambda j: [j])),
+        lambda acc, e: list_append(acc, CASE WHEN substr(a, i + 1, 1) = substr(b, e[1], 1) THEN row[e[1]] + 1 ELSE greatest(row[e[1] + 1], acc[len(acc)]) END))
+    FROM lcs WHERE i < length(a)
+), done AS (SELECT p.*, CAST(2 * row[len(row)] AS BIGINT) AS twice_lcs FROM {pairs} p JOIN lcs ON lcs.a = p.a AND lcs.b = p.b AND i = length(p.a))"""
+
+
+SHORT = f"""
+short AS (
+    SELECT sha1(CAST(c_custkey AS VARCHAR)) AS sha, 'a' || CAST(c_custkey % 2 AS VARCHAR) AS author_name, 1700000000 + c_custkey * 7 % 40 * 86400 AS author_date,
+           c_mktsegment || ' ' || CAST(c_nationkey AS VARCHAR) AS subject, lower(c_name) || ' ' || substr(md5(CAST(c_custkey AS VARCHAR)), 1, c_custkey % 13) AS body,
+           c_custkey % 3 % 2 AS file
+    FROM customer
+), mates AS (
+    SELECT x.sha AS src, y.sha AS dst, x.body AS a, y.body AS b, x.author_name AS author_a, y.author_name AS author_b, x.author_date AS date_a, y.author_date AS date_b,
+           x.subject, x.file = y.file AND abs(x.author_date - y.author_date) <= 6480000 AS fits
+    FROM short x JOIN short y ON x.subject = y.subject AND x.sha < y.sha
+), {_lcs("mates")}, strict AS (
+    SELECT src, dst, twice_lcs FROM done WHERE fits AND date_a = date_b AND twice_lcs >= 0.75 * (length(a) + length(b))
+)"""
 BASE = f"WITH RECURSIVE {COMMITS}, {PAIRS}, {TAGS}, {TIER3}, {TIER5}"
 EDGES = "edges AS (SELECT src, dst, 1 AS k FROM tags UNION ALL SELECT src, dst, 3 FROM tier3 UNION ALL SELECT src, dst, 5 FROM tier5)"
 LABELS = ", ".join(f"({k}, '{name}', '{label}')" for k, (name, label) in store.LABELS.items())
@@ -345,6 +415,15 @@ ORACLE: dict[str, str] = {
               || '@@ -1,2 +1,3 @@ ctx' || chr(10) || coalesce(text, '') || chr(10) || '@@ -9 +9 @@ ' || chr(10) AS x FROM documents)""",
     "tag_edges": f"WITH {COMMITS}, {TAGS} SELECT src, dst FROM tags",
     "tier3_message_pairs": f"WITH {COMMITS}, {PAIRS}, {TIER3} SELECT src, dst FROM tier3",
+    "tier2_short_messages": f"WITH RECURSIVE {SHORT} SELECT src, dst, twice_lcs FROM strict",
+    "tier4_short_messages": f"""WITH RECURSIVE {SHORT}, free AS (
+            SELECT sha, count(*) OVER (PARTITION BY subject) AS n FROM short WHERE sha NOT IN (SELECT src FROM strict UNION SELECT dst FROM strict))
+        SELECT src, dst, twice_lcs FROM done JOIN free f ON f.sha = src AND f.n <= 50 JOIN free g ON g.sha = dst
+        WHERE fits AND least(length(a), length(b)) >= 0.70 * greatest(length(a), length(b))
+              AND twice_lcs >= CASE WHEN author_a = author_b THEN 0.85 ELSE 0.90 END * (length(a) + length(b))""",
+    "group_similarity_short": f"""WITH RECURSIVE {SHORT}, ends AS (
+            SELECT src AS sha, twice_lcs / (length(a) + length(b)) AS r FROM done UNION ALL SELECT dst, twice_lcs / (length(a) + length(b)) FROM done)
+        SELECT sha, CAST(round(avg(r) * 10000) AS BIGINT) AS score FROM ends GROUP BY sha""",
     "indel_ratio_pairs": """
         WITH RECURSIVE p AS (
             SELECT x.n_name AS a, y.n_name AS b FROM nation x JOIN nation y ON x.n_regionkey = y.n_regionkey AND x.n_name < y.n_name

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from cognatus.functions import similarity
+from cognatus.session import materialize
 
 
 def peer_pairs(members: DataFrame) -> DataFrame:
@@ -23,28 +24,54 @@ def _rounded_mean(total: pa.Array, count: pa.Array) -> pa.Array:
     return pa.array([round(t / n, 4) for t, n in zip(total.to_pylist(), count.to_pylist(), strict=True)], pa.float64())
 
 
-def group_similarity(members: DataFrame, diffs: DataFrame) -> DataFrame:
+#: Distinct diffs of a component that a task holds twice at most, of 10,000 characters each.
+TILE = 256
+
+
+def _tile_sums(left: list[tuple], right: list[tuple] | None) -> dict[str, float]:
+    """Per key, the ratios to the other diffs of two tiles (or within one), weighted by how many members have each.
+
+    A row is ``(key, diff, n)``; sums go from the least key to the greatest.
+    """
+    terms: dict[str, list[tuple[str, float]]] = {}
+    for at, (key, diff, n) in enumerate(left):
+        for other, text, m in right if right is not None else left[at + 1 :]:
+            ratio = similarity.indel_ratio(diff, text) if diff and text else float(diff == text)
+            terms.setdefault(key, []).append((other, ratio * m))
+            terms.setdefault(other, []).append((key, ratio * n))
+    return {key: sum(x for _, x in sorted(own)) for key, own in terms.items()}
+
+
+def group_similarity(members: DataFrame, diffs: DataFrame, tile: int = TILE) -> DataFrame:
     """``(sha, similarity)`` for the members of components of two or more.
 
     The mean ratio of the member's diff to its peers', to four places. Members with equal
-    diffs are compared once: pairs are formed between a component's distinct diffs, weighted
-    by how many members have each, so a component of copies costs one row and no pair.
+    diffs are compared once: a component's distinct diffs are compared, weighted by how many
+    members have each, so a component of copies costs one row and no pair. A component of more
+    than ``tile`` distinct diffs is dealt to tiles; a diff travels once to each pair of tiles
+    it is in, never once a pair of diffs.
     """
     diff = F.coalesce(F.substring("diff", 1, similarity.DIFF_PREFIX), F.lit(""))
     rows = members.join(diffs.select("sha", "diff"), "sha", "left").select("sha", "component", diff.alias("diff"))
-    rows = rows.withColumn("key", F.sha2("diff", 256))
+    rows = materialize(rows.withColumn("key", F.sha2("diff", 256)), "diffs")
     kinds = rows.groupBy("component", "key").agg(F.count(F.lit(1)).alias("n"), F.first("diff").alias("diff"))
-    sizes = kinds.groupBy("component").agg(F.sum("n").alias("size")).where("size > 1")
+    sizes = rows.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.count_distinct("key").alias("kinds")).where("size > 1")
     kinds = kinds.join(sizes, "component")
-    a = kinds.select("component", F.col("key").alias("key_a"), F.col("diff").alias("diff_a"), F.col("n").alias("n_a"))
-    b = kinds.select(F.col("component").alias("__c"), F.col("key").alias("key_b"), F.col("diff").alias("diff_b"), F.col("n").alias("n_b"))
-    pairs = a.join(b, (F.col("component") == F.col("__c")) & (F.col("key_a") < F.col("key_b")))
-    pairs = pairs.withColumn("sim", similarity.diff_ratio("diff_a", "diff_b"))
-    sums = pairs.select("component", F.col("key_a").alias("key"), (F.col("sim") * F.col("n_b")).alias("s")).union(
-        pairs.select("component", F.col("key_b").alias("key"), (F.col("sim") * F.col("n_a")).alias("s"))
-    )
+    dealt = kinds.where("kinds > 1").withColumn("t", F.ceil(F.col("kinds") / F.lit(tile)).cast("int"))
+    dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("key"), F.col("t")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
+    dealt = dealt.select("component", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "salt", "key", "diff", "n")
+
+    def compare(table: pa.Table) -> pa.Table:
+        i, j, component = (table.column(c)[0].as_py() for c in ("i", "j", "component"))
+        some = sorted(zip(*(table.column(c).to_pylist() for c in ("key", "diff", "n", "salt")), strict=True))
+        left = [row[:3] for row in some if row[3] == i]
+        right = [row[:3] for row in some if row[3] == j] if i != j else None
+        sums = _tile_sums(left, right)
+        return pa.table({"component": pa.array([component] * len(sums), pa.string()), "key": pa.array(list(sums), pa.string()), "s": pa.array(list(sums.values()), pa.float64())})
+
+    sums = dealt.groupBy("component", "i", "j").applyInArrow(compare, "component string, key string, s double")
     sums = sums.groupBy("component", "key").agg(F.sum("s").alias("s"))
-    scored = kinds.join(sums, ["component", "key"], "left")
+    scored = kinds.select("component", "key", "n", "size").join(sums, ["component", "key"], "left")
     mean = _rounded_mean(F.coalesce("s", F.lit(0.0)) + (F.col("n") - 1).cast("double"), F.col("size") - 1)
     scored = scored.select("component", "key", mean.alias("similarity"))
     return rows.select("sha", "component", "key").join(scored, ["component", "key"]).select("sha", "similarity")

@@ -50,14 +50,26 @@ def dates_agree(a: Column | str, b: Column | str) -> Column:
     return (a != 0) & (b != 0) & (F.abs(a - b) <= MAX_GAP_SECONDS)
 
 
-def subject_pairs(commits: DataFrame, *equal: str) -> DataFrame:
-    """Pairs of rows with one non-empty subject, equal ``equal`` columns, and both guards passed."""
-    rows = commits.where("subject <> ''").select("sha", "subject", "author_name", "author_date", "cleaned_body", "files")
+LEAN = ("sha", "subject", "author_name", "author_date", "files")
+
+
+def subject_pairs(commits: DataFrame, *equal: str, carry: tuple[str, ...] = ("cleaned_body",), banded: bool = False) -> DataFrame:
+    """Pairs of rows with one non-empty subject, equal ``equal`` columns, and both guards passed.
+
+    ``banded`` puts a bucket of 75 days into the key, so that a common subject is many keys: rows
+    within the gap lie in one bucket or in two neighbours.
+    """
+    rows = commits.where("subject <> ''").select(*dict.fromkeys([*LEAN, *carry, *equal]))
     a, b = (rows.select([F.col(c).alias(c + s) for c in rows.columns]) for s in ("_a", "_b"))
-    keys = [F.col(f"{c}_a") == F.col(f"{c}_b") for c in ("subject", *equal)]
-    on = keys[0]
-    for k in [*keys[1:], F.col("sha_a") < F.col("sha_b"), files_agree("files_a", "files_b"), dates_agree("author_date_a", "author_date_b")]:
-        on = on & k
+    keys = ["subject", *equal]
+    if banded:
+        bucket = lambda c: F.floor(F.col(c) / F.lit(MAX_GAP_SECONDS)).cast("long")
+        near = F.array(*[bucket("author_date_a") + F.lit(k) for k in (-1, 0, 1)])
+        a, b = a.withColumn("bucket_a", F.explode(near)), b.withColumn("bucket_b", bucket("author_date_b"))
+        keys.append("bucket")
+    on = (F.col("sha_a") < F.col("sha_b")) & files_agree("files_a", "files_b") & dates_agree("author_date_a", "author_date_b")
+    for k in keys:
+        on = on & (F.col(f"{k}_a") == F.col(f"{k}_b"))
     return a.join(b, on)
 
 
@@ -74,8 +86,10 @@ def message_pairs(commits: DataFrame) -> DataFrame:
     """Tier 3: same subject and message of over 30 characters, unless tier 2 has the pair.
 
     Equal messages have a ratio of one, so tier 2 has it exactly if the dates are equal and positive.
+    Messages are told apart by their SHA-256, so none is shuffled or sorted.
     """
-    pairs = subject_pairs(commits.where(F.length("cleaned_body") > MIN_BODY), "cleaned_body")
+    digested = commits.where(F.length("cleaned_body") > MIN_BODY).withColumn("digest", F.sha2("cleaned_body", 256))
+    pairs = subject_pairs(digested, "digest", carry=(), banded=True)
     pairs = pairs.where("NOT (author_date_a > 0 AND author_date_a = author_date_b)")
     return edges_of(pairs, "sha_a", "sha_b", MESSAGE)
 

@@ -46,19 +46,25 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/cognatus/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+def materialize(df: DataFrame, name: str = "table", **options: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a re-read, not a recomputation.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cognatus_path = path
     return out
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table as read, dealt out to all cores if it has fewer partitions than there are; only small tables have."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+
+
 def discard(table: DataFrame) -> None:
     """Delete a materialized table that nothing will read again."""
     _delete(table.sparkSession, table._cognatus_path)
