@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 
 def usable_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """``(id, vec array<double>, dim)``, one row per id.
+    """``(id, vec, dim)``, one row per id; vec is an array of floats if it was one, else of doubles.
 
     Left out: null ids, and vectors that are null, empty, all zero, or hold a null or
     non-finite component. Rows that repeat an id are one vector, the least of them.
     """
-    vec = F.col(vec_col).cast("array<double>")
+    kind = "array<float>" if df.schema[vec_col].dataType.simpleString() == "array<float>" else "array<double>"
+    vec = F.col(vec_col).cast(kind)
     finite = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     fit = F.col(id_col).isNotNull() & vec.isNotNull() & finite & F.exists(vec, lambda x: x != 0)
     rows = df.where(F.coalesce(fit, F.lit(False))).groupBy(F.col(id_col).alias("id")).agg(F.min(vec).alias("vec"))

@@ -95,6 +95,39 @@ def test_join(spark, tile, blocks):
     assert near.sum() > 300
 
 
+def test_planted_links_at_64_dimensions(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((1500, 64)).astype(np.float32)
+    for k in range(100):
+        x[2 * k + 1] = x[2 * k] + rng.normal(0, 0.3 if k % 2 else 0.6, 64)
+    near = cosines(x) >= 0.9
+    np.fill_diagonal(near, False)
+    assert 80 <= near.sum() <= 150
+    for kind in ({}, {"tile": 400}):
+        got = groups(spark, rows_of(x), **kind)
+        assert [got[i][0] for i in range(len(x))] == near.sum(axis=1).tolist()
+
+
+def compared(x, threshold=0.9):
+    """Pairs compared over all pairs, of all blocks together; bands aside."""
+    unit = x / np.sqrt((x * x).sum(1, keepdims=True))
+    split = embdedup.split_of(unit[:1000], x.shape[1], 4, threshold)
+    total = 0
+    for block, share in enumerate(split.shares):
+        own = (unit @ split.turn)[:, split.edges[block] : split.edges[block + 1]]
+        total += sum(len(p) * len(q) for p, q in embdedup.leaf_pairs(own, None, share))
+    return total / (len(x) * (len(x) - 1) / 2), len(split.shares)
+
+
+def test_spread_vectors_are_pruned():
+    rng = np.random.default_rng(4)
+    low = rng.standard_normal((40_000, 4)) @ rng.standard_normal((4, 64)) + rng.normal(0, 0.01, (40_000, 64))
+    share, blocks = compared(low)
+    assert blocks == 1 and share < 0.1
+    share, blocks = compared(rng.standard_normal((4000, 64)))
+    assert blocks == 4 and share < 4.6  # no range join prunes these: each block meets nearly all
+
+
 def test_join_empty_and_repeats(spark):
     assert groups(spark, []) == {}
     assert groups(spark, [(5, [1.0, 0.0], 1), (5, [1.0, 0.0], 1), (3, [2.0, 0.0], 1), (4, [1.0, 0.0, 0.0], 1)]) == {5: (1, 3, False), 3: (1, 3, True), 4: (0, 4, True)}
