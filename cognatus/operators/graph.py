@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from cognatus.session import materialize
+from cognatus.session import discard, materialize
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-    return tuple(row)
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """``edges`` as a table, and a fingerprint taken while they are written."""
+    seen = Observation()
+    table = materialize(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")), "edges")
+    return table, (seen.get["n"], seen.get["x"])
 
 
 def star_forest(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -19,7 +21,7 @@ def star_forest(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds
     Alternates the large-star and small-star steps until the edge set stands still, so
     a path of n vertices needs O(log n) rounds in practice. Each step is an aggregate with
     map-side combine and an equi-join that AQE can split at a hub; each round is written to
-    the shared folder. Self-loops, repeated and null edges count for nothing. The root
+    the shared folder and the one before deleted. Self-loops, repeated and null edges count for nothing. The root
     itself has no row.
     """
     now = (
@@ -27,8 +29,7 @@ def star_forest(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds
         .where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col("u") != F.col("v")))
         .distinct()
     )
-    now = materialize(now, "edges")
-    before = _fingerprint(now)
+    now, before = _written(now)
     for _ in range(max_rounds):
         if before[0] == 0:
             break
@@ -41,8 +42,9 @@ def star_forest(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds
         # small star: a vertex and its smaller neighbours move to the least of them
         parent = large.groupBy("v").agg(F.min("u").alias("m"))
         moved = large.join(parent, "v").where("u <> m").select(F.col("m").alias("u"), F.col("u").alias("v"))
-        now = materialize(moved.union(parent.select(F.col("m").alias("u"), "v")).distinct(), "edges")
-        after = _fingerprint(now)
+        last = now
+        now, after = _written(moved.union(parent.select(F.col("m").alias("u"), "v")).distinct())
+        discard(last)
         if after == before:
             break
         before = after
