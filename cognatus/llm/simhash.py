@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cognatus.llm.text import slices, small_batches, tidy
@@ -244,12 +244,22 @@ def drop_near_duplicates(
     """``docs`` with one row per group of near-duplicates: the one with the least id.
 
     Groups are those of :func:`cognatus.llm.jaccard.similar_groups`: every pair of texts with a Jaccard similarity of
-    ``similarity`` or more is linked, and no other. A repeated id keeps one row. Rows without an id
-    cannot be named and are kept as they are. Documents without words are one group.
+    ``similarity`` or more is linked, and no other. A repeated id keeps one row, the first by a hash of
+    the whole row. Rows without an id cannot be named and are kept as they are. Documents without words,
+    null texts among them, are one group; very long texts are compared whole. Other columns stay as they
+    are, whatever their names; an empty table stays empty.
     """
     from cognatus.llm.jaccard import similar_groups  # which pairs keys with this module
 
     groups = similar_groups(docs.where(F.col(id_col).isNotNull()), id_col, text_col, shingle, similarity)
-    keep = groups.where("id = component").select(F.col("id").alias("__keep")).distinct()
-    kept = docs.join(keep, F.col(id_col) == F.col("__keep"), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    told = groups.groupBy("id").agg(F.bool_or(F.col("id") == F.col("component")).alias("keep"), F.count(F.lit(1)).alias("n"))
+    # only ids that go or are repeated; the planner broadcasts them while the table's files are small
+    odd = materialize(told.where("NOT keep OR n > 1").select(F.col("id").alias("__odd"), "keep"), "odd")
+    kept = docs.join(odd, F.col(id_col) == F.col("__odd"), "left_anti")
+    again = odd.where("keep")
+    if again.isEmpty():
+        return kept
+    whole = [f.name for f in docs.schema if f.dataType.typeName() not in ("map", "variant")]
+    first = Window.partitionBy(id_col).orderBy(F.xxhash64(*whole))
+    repeated = docs.join(again, F.col(id_col) == F.col("__odd"), "left_semi").withColumn("__k", F.row_number().over(first))
+    return kept.unionByName(repeated.where("__k = 1").drop("__k"))
