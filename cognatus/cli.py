@@ -27,6 +27,7 @@ def parser() -> argparse.ArgumentParser:
     three.add_argument("-r", "--recursive", action="store_true")
     for p in (one, two, three):
         p.add_argument("--store", default="cognatus-store")
+        p.add_argument("--shared", help="folder that all executors see, for tables in between")
     return top
 
 
@@ -35,7 +36,8 @@ def main(argv: list[str] | None = None) -> int:
     if not arguments.command:
         parser().print_help()
         return 0
-    spark = session(master=f"local[{getattr(arguments, 'jobs', '*')}]")
+    shared = {"spark.checkpoint.dir": arguments.shared} if arguments.shared else {}
+    spark = session(master=f"local[{getattr(arguments, 'jobs', '*')}]", **shared)
     try:
         return {"scan": _scan, "lookup": _lookup, "verify": _verify}[arguments.command](spark, arguments)
     except (LookupFailed, ValueError) as problem:
@@ -44,12 +46,13 @@ def main(argv: list[str] | None = None) -> int:
 
 
 def _scan(spark, arguments) -> int:
-    edges = scan(spark, arguments.repo, Store.create(spark, arguments.store), full_history=arguments.full_history)
-    if edges is None:
+    report = scan(spark, arguments.repo, Store.create(spark, arguments.store), full_history=arguments.full_history)
+    if report is None:
         print("Nothing new.")
         return 0
-    for row in edges.groupBy("detection_type").count().orderBy("detection_type").collect():
-        print(f"type {row['detection_type']}: {row['count']} links")
+    for row in report.counters.orderBy("detection_type").collect():
+        print(f"type {row['detection_type']}: {row['groups']} new links, {row['commits']} new ends")
+    print(f"{report.filtered} members below the threshold")
     return 0
 
 

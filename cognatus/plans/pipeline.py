@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cognatus.operators.graph import connected_components, star_forest
 from cognatus.plans import scoring, tiers
-from cognatus.plans.store import LAST_COMMIT, Store, assign_group_ids, new_records, retained, upsert
+from cognatus.plans.store import LAST_COMMIT, MIN_SIMILARITY, Store, assign_group_ids, new_records, put_state, retained, upsert
 from cognatus.session import materialize
 from cognatus.sources import git
 
@@ -23,6 +24,30 @@ def seed_edges(stored: DataFrame) -> DataFrame:
     return stored.join(centre, "group_id").where("sha <> src").select("src", F.col("sha").alias("dst"))
 
 
+def patch_links(members: DataFrame, subjects: DataFrame, patch_ids: Fetch) -> tuple[DataFrame, DataFrame]:
+    """Tier 5 on what the other tiers left: ``(edges, members)``, the latter with the merged components.
+
+    Patch ids are read of the subjects alone that still lie in more than one component, and the edges are
+    solved between components, not commits. ``subjects`` has sha and subject.
+    """
+    labelled = subjects.select("sha", "subject").join(members, "sha")
+    open_shas = labelled.join(tiers.ambiguous_subjects(labelled), "subject", "left_semi").select("sha")
+    late = materialize(tiers.patch_edges(patch_ids(open_shas), subjects), "patches")
+    of = members.select(F.col("sha").alias("__sha"), F.col("component").alias("__c"))
+    ends = late.join(of, F.col("src") == F.col("__sha")).select(F.col("__c").alias("a"), "dst")
+    ends = ends.join(of, F.col("dst") == F.col("__sha")).select(F.col("a").alias("src"), F.col("__c").alias("dst"))
+    merged = star_forest(ends).select(F.col("v").alias("component"), F.col("u").alias("__root"))
+    return late, members.join(merged, "component", "left").select("sha", F.coalesce("__root", "component").alias("component"))
+
+
+def save_plan(members: DataFrame, scores: DataFrame, types: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(hashes, records)``: the stored table after the save, and the rows written; ``members`` are grouped or stored."""
+    kept = materialize(retained(members, scores, stored), "kept")
+    top = stored.agg(F.coalesce(F.max("group_id"), F.lit(0)).alias("m")).first()["m"]
+    records = new_records(kept, assign_group_ids(kept, int(top)), types)
+    return upsert(stored, records), records
+
+
 def link(commits: DataFrame, patch_ids: Fetch, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(edges, members)``: all tiers' edges, and ``(sha, component)`` of every vertex.
 
@@ -36,19 +61,21 @@ def link(commits: DataFrame, patch_ids: Fetch, stored: DataFrame) -> tuple[DataF
     joins = early.select("src", "dst").union(seed_edges(stored))
     vertices = commits.select("sha").union(stored.select("sha")).union(early.select(F.col("src").alias("sha"))).union(early.select(F.col("dst").alias("sha"))).distinct()
     members = materialize(connected_components(vertices, joins, key="sha"), "members")
-    labelled = commits.select("sha", "subject").join(members, "sha")
-    open_shas = labelled.join(tiers.ambiguous_subjects(labelled), "subject", "left_semi").select("sha")
-    late = materialize(tiers.patch_edges(patch_ids(open_shas), commits), "patches")
-    of = members.select(F.col("sha").alias("__sha"), F.col("component").alias("__c"))
-    ends = late.join(of, F.col("src") == F.col("__sha")).select(F.col("__c").alias("a"), "dst")
-    ends = ends.join(of, F.col("dst") == F.col("__sha")).select(F.col("a").alias("src"), F.col("__c").alias("dst"))
-    merged = star_forest(ends).select(F.col("v").alias("component"), F.col("u").alias("__root"))
-    members = members.join(merged, "component", "left").select("sha", F.coalesce("__root", "component").alias("component"))
+    late, members = patch_links(members, commits, patch_ids)
     return early.unionByName(late), members
 
 
-def run(commits: DataFrame, patch_ids: Fetch, diffs: Fetch, store: Store, last: str | None, *, strict: bool = False) -> DataFrame:
-    """Link ``commits`` with the stored groups, score and save; returns the edges.
+@dataclass
+class Report:
+    """What a run found: all edges; per tier the links that have a new commit and their new ends; members below the threshold."""
+
+    edges: DataFrame
+    counters: DataFrame
+    filtered: int
+
+
+def run(commits: DataFrame, patch_ids: Fetch, diffs: Fetch, store: Store, last: str | None, *, new: DataFrame | None = None, strict: bool = False) -> Report:
+    """Link ``commits`` with the stored groups, score and save; ``new`` are the hashes that count as new, all by default.
 
     ``strict`` drops a stored row whose member scored below the threshold this time; by default
     such a row stays as it was, which repeats what earlier runs of this kind of store did.
@@ -58,22 +85,21 @@ def run(commits: DataFrame, patch_ids: Fetch, diffs: Fetch, store: Store, last:
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
     grouped = materialize(members.join(sizes, "component", "left_semi"), "grouped")
     scores = materialize(scoring.group_similarity(grouped, diffs(grouped.select("sha"))), "scores")
-    kept = materialize(retained(members.join(stored.select("sha"), "sha", "left_semi").union(grouped.select(members.columns)).distinct(), scores, stored), "kept")
-    top = stored.agg(F.coalesce(F.max("group_id"), F.lit(0)).alias("m")).first()["m"]
-    records = new_records(kept, assign_group_ids(kept, int(top)), tiers.evidence(edges, stored))
-    hashes = upsert(stored, records)
+    every = members.join(stored.select("sha"), "sha", "left_semi").union(grouped.select(members.columns)).distinct()
+    hashes, records = save_plan(every, scores, tiers.evidence(edges, stored), stored)
     if strict:
-        low = scores.where(F.col("similarity") < 0.75).select("sha")
-        hashes = hashes.join(low.join(records.select("sha"), "sha", "left_anti"), "sha", "left_anti")
+        below = scores.where(F.col("similarity") < MIN_SIMILARITY).select("sha")
+        hashes = hashes.join(below.join(records.select("sha"), "sha", "left_anti"), "sha", "left_anti")
     state = store.state
     if last and len(last) == 40:
-        fresh = state.sparkSession.createDataFrame([(LAST_COMMIT, last)], state.schema)
-        state = state.where(F.col("key") != LAST_COMMIT).unionByName(fresh)
+        state = put_state(state, LAST_COMMIT, F.lit(last))
+    edges = materialize(edges, "edges")  # before the tables they come from change
+    low = scores.where(F.col("similarity") < MIN_SIMILARITY).count()
     store.save(hashes, state)
-    return edges
+    return Report(edges, tiers.counters(edges, commits.select("sha") if new is None else new), low)
 
 
-def scan(spark: SparkSession, repo: str, store: Store, *, full_history: bool = False, strict: bool = False) -> DataFrame | None:
+def scan(spark: SparkSession, repo: str, store: Store, *, full_history: bool = False, strict: bool = False) -> Report | None:
     """Bring the store up to a repository's head; None if nothing is new.
 
     New commits are linked with each other and with stored ones. A commit that was seen before
@@ -94,5 +120,6 @@ def scan(spark: SparkSession, repo: str, store: Store, *, full_history: bool = F
         lambda shas: git.clean_diffs(git.read_given(shas, repo, "diffs")),
         store,
         newest,
+        new=news.select("sha"),
         strict=strict,
     )

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cognatus.functions import similarity, text
 from cognatus.operators.graph import connected_components
-from cognatus.plans import scoring, store, tiers, verify
+from cognatus.plans import pipeline, scoring, store, tiers, verify
 from cognatus.session import materialize, spread
 from cognatus.sources import lists
 
@@ -299,6 +299,90 @@ def patch_compliance(spark, d):
     return verify.judge_patches(lists.parse_patches(patches(spark, d)), hashes(spark, d))
 
 
+def stored_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two customers of three as a stored table, seven to a group."""
+    k = F.col("c_custkey")
+    similar = F.when(k % 11 != 0, (k * 37 % 101).cast("double") / 100)
+    rows = table(spark, sf_dir, "customer").where(k % 3 != 0)
+    return rows.select(sha_of(k).alias("sha"), F.floor(k / 7).cast("long").alias("group_id"), (1 + k % 6).cast("int").alias("detection_type"), similar.alias("similarity"))
+
+
+def full_save(spark, d):
+    """A save: scores, the threshold, group ids old and new, evidence, stale rows that stay."""
+    k, stored = F.col("c_custkey"), stored_short(spark, d)
+    rows = table(spark, d, "customer").where(k % 4 != 0)
+    members = rows.select(sha_of(k).alias("sha"), F.concat("c_mktsegment", F.lit(" "), (k % 97).cast("string")).alias("component"))
+    scores = rows.where(k % 5 != 0).select(sha_of(k).alias("sha"), ((k * 53 % 101).cast("double") / 100).alias("similarity"))
+    fresh = rows.select(sha_of(k).alias("src"), sha_of(k).alias("dst"), (1 + k % 5).cast("int").alias("detection_type"))
+    return pipeline.save_plan(members, scores, tiers.evidence(fresh, stored), stored)[0]
+
+
+def patch_contraction(spark, d):
+    """Tier 5 behind its gate: patches of subjects that tags and messages leave apart, components merged."""
+    rows = prepared(spark, d)
+    edges = tiers.tag_edges(rows).unionByName(tiers.message_pairs(rows))
+    members = materialize(connected_components(rows.select("sha"), edges, key="sha"), "members")
+    return pipeline.patch_links(members, rows, lambda shas: patch_ids(rows.join(shas, "sha", "left_semi")))[1]
+
+
+def seed_stars(spark, d):
+    return pipeline.seed_edges(hashes(spark, d))
+
+
+def rescan_set(spark, d):
+    """What a scan looks at: revisions after the checkpoint, here every third document, and what is stored."""
+    news = commits(spark, d).where(F.col("doc_id") % 3 == 0).select("sha")
+    return news.union(hashes(spark, d).where("similarity >= 0.75").select("sha")).distinct()
+
+
+def checkpoint_upsert(spark, d):
+    """The state after a scan: the last revision in place of the former one."""
+    state = spark.createDataFrame([("last_commit", "0" * 40), ("layout", "1")], store.STATE_SCHEMA)
+    last = table(spark, d, "documents").agg(F.max_by(sha_of(F.col("doc_id")), "doc_id").alias("sha")).first()["sha"]
+    return store.put_state(state, store.LAST_COMMIT, F.lit(last))
+
+
+def compliance_totals(spark, d):
+    files = lists.parse_patches(patches(spark, d))
+    return verify.totals(files, verify.judge_patches(files, hashes(spark, d)))
+
+
+def point_lookup(spark, d):
+    return store.visible(hashes(spark, d).where(F.col("sha") == F.sha1(F.lit("5"))), excluded(spark, d)).select("sha", "group_id")
+
+
+def lookup_targets(spark, d):
+    """Every document asks for something: a group by its id in three spellings, or a hash by its beginning."""
+    n = F.col("doc_id")
+    asked = F.when(n % 4 == 0, F.concat(F.lit(" G"), n.cast("string"))).when(n % 4 == 1, F.concat(F.lit("#"), n.cast("string"))).when(n % 4 == 2, n.cast("string"))
+    asked = table(spark, d, "documents").select(F.coalesce(asked, F.upper(F.substring(sha_of(n), 1, 7))).alias("target"))
+    return store.resolve_targets(asked, hashes(spark, d), excluded(spark, d))
+
+
+def first_match(spark, d):
+    return store.first_match(hashes(spark, d), "c", excluded(spark, d))
+
+
+def message_search_counts(spark, d):
+    found = store.search_messages(commits(spark, d), "license|copyright")
+    return store.search_counts(found, hashes(spark, d).where("detection_type < 4"))
+
+
+def text_fields(spark, d):
+    """Small functions of text on all documents: whole numbers, sizes, hashes and their bytes, stripped names."""
+    n = F.col("doc_id")
+    said = F.when(n % 3 == 0, F.concat(F.lit(" "), n.cast("string"))).otherwise(F.concat(n.cast("string"), F.lit("x")))
+    return table(spark, d, "documents").select(
+        "doc_id",
+        text.safe_long(text.strip_space(said)).alias("number"),
+        text.human_size(F.coalesce("n_chars", F.lit(0)) * F.coalesce("n_chars", F.lit(0)) * 64).alias("size"),
+        text.short_sha(sha_of(n)).alias("short"),
+        text.is_sha(sha_of(n)).alias("whole"),
+        text.sha_text(text.sha_bytes(sha_of(n))).alias("again"),
+        text.normalize_phrase(F.coalesce("source", F.lit(" A  b "))).alias("phrase"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -307,7 +391,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         file_guard_pairs, time_band_pairs, subject_buckets, bucket_size_window, ambiguous_subjects, patch_groups, group_similarity,
         evidence_min_type, run_counters, assign_group_ids, upsert_hashes, stats_totals, type_histogram, group_size_stats, top5_groups, group_list,
         member_list, group_blacklist_state, prefix_lookup, siblings, same_group, message_search, blacklist_anti, distinct_union, toggle_blacklist,
-        patch_header_extract, patch_compliance,
+        patch_header_extract, patch_compliance, full_save, patch_contraction, seed_stars, rescan_set, checkpoint_upsert, compliance_totals,
+        point_lookup, lookup_targets, first_match, message_search_counts, text_fields,
     )
 } | {"connected_components": components}
 
@@ -407,6 +492,17 @@ files AS (
     FROM files
 )"""
 
+JUDGED = f"""
+        {HASHES}, {PATCHES}, u AS (
+            SELECT path, unnest(list_concat(git_shas, alt_shas)) AS sha, unnest(range(len(git_shas) + len(alt_shas))) AS pos FROM heads WHERE len(alt_shas) > 0
+        ), f AS (SELECT path, sha, min(pos) AS pos FROM u GROUP BY ALL), j AS (SELECT f.*, group_id FROM f LEFT JOIN hashes USING (sha)), r AS (
+            SELECT path, count(*) FILTER (group_id IS NULL) AS missing, count(DISTINCT group_id) AS groups,
+                   array_to_string(list(sha ORDER BY pos) FILTER (group_id IS NULL)[1:3], ', ') AS first3,
+                   array_to_string(list(substr(sha, 1, 10) || '->GID:' || CAST(group_id AS VARCHAR) ORDER BY pos), ', ') AS details
+            FROM j GROUP BY path), t AS (
+            SELECT path, CASE WHEN missing > 0 THEN 'Missing from DB: ' || first3 || CASE WHEN missing > 3 THEN ' (+' || CAST(missing - 3 AS VARCHAR) || ' more)' ELSE '' END
+                              WHEN groups > 1 THEN 'Split across multiple groups (' || details || ')' END AS reason FROM r)"""
+
 ORACLE: dict[str, str] = {
     "text_strip_trailers": f"WITH {COMMITS} SELECT sha, cleaned_body FROM commits",
     "text_normalize_diff": f"""
@@ -480,14 +576,49 @@ ORACLE: dict[str, str] = {
     "toggle_blacklist": f"""WITH {HASHES}, m AS (SELECT sha FROM hashes WHERE group_id = 0), whole AS (SELECT bool_and(sha IN (SELECT sha FROM excluded)) AS yes FROM m)
         SELECT sha FROM excluded WHERE NOT ((SELECT yes FROM whole) AND sha IN (SELECT sha FROM m)) UNION SELECT sha FROM m WHERE NOT (SELECT yes FROM whole)""",
     "patch_header_extract": f"WITH {PATCHES} SELECT path, array_to_string(git_shas, ',') AS git_shas, array_to_string(alt_shas, ',') AS alt_shas FROM heads",
-    "patch_compliance": f"""WITH {HASHES}, {PATCHES}, u AS (
-            SELECT path, unnest(list_concat(git_shas, alt_shas)) AS sha, unnest(range(len(git_shas) + len(alt_shas))) AS pos FROM heads WHERE len(alt_shas) > 0
-        ), f AS (SELECT path, sha, min(pos) AS pos FROM u GROUP BY ALL), j AS (SELECT f.*, group_id FROM f LEFT JOIN hashes USING (sha)), r AS (
-            SELECT path, count(*) FILTER (group_id IS NULL) AS missing, count(DISTINCT group_id) AS groups,
-                   array_to_string(list(sha ORDER BY pos) FILTER (group_id IS NULL)[1:3], ', ') AS first3,
-                   array_to_string(list(substr(sha, 1, 10) || '->GID:' || CAST(group_id AS VARCHAR) ORDER BY pos), ', ') AS details
-            FROM j GROUP BY path), t AS (
-            SELECT path, CASE WHEN missing > 0 THEN 'Missing from DB: ' || first3 || CASE WHEN missing > 3 THEN ' (+' || CAST(missing - 3 AS VARCHAR) || ' more)' ELSE '' END
-                              WHEN groups > 1 THEN 'Split across multiple groups (' || details || ')' END AS reason FROM r)
-        SELECT path, reason IS NULL AS compliant, reason FROM t""",
+    "patch_compliance": f"WITH {JUDGED} SELECT path, reason IS NULL AS compliant, reason FROM t",
+    "compliance_totals": f"""WITH {JUDGED}
+        SELECT (SELECT count(*) FROM heads) AS files, count(*) AS alt_tagged, count(*) FILTER (reason IS NULL) AS compliant, count(*) FILTER (reason IS NOT NULL) AS non_compliant FROM t""",
+    "full_save": """WITH stored AS (
+            SELECT sha1(CAST(c_custkey AS VARCHAR)) AS sha, c_custkey // 7 AS group_id, CAST(1 + c_custkey % 6 AS INT) AS detection_type,
+                   CASE WHEN c_custkey % 11 <> 0 THEN CAST(c_custkey * 37 % 101 AS DOUBLE) / 100 END AS similarity FROM customer WHERE c_custkey % 3 <> 0
+        ), m AS (
+            SELECT sha1(CAST(c_custkey AS VARCHAR)) AS sha, c_mktsegment || ' ' || CAST(c_custkey % 97 AS VARCHAR) AS component, 1 + c_custkey % 5 AS kind,
+                   CASE WHEN c_custkey % 5 <> 0 THEN CAST(c_custkey * 53 % 101 AS DOUBLE) / 100 END AS fresh FROM customer WHERE c_custkey % 4 <> 0
+        ), kept AS (
+            SELECT m.sha, component, coalesce(fresh, similarity, 1.0) AS score, group_id AS old, CAST(least(kind, coalesce(detection_type, 9)) AS INT) AS kind
+            FROM m LEFT JOIN stored USING (sha) WHERE coalesce(fresh, similarity, 1.0) >= 0.75
+        ), g AS (
+            SELECT component, min(old) AS old, min(sha) AS first FROM kept GROUP BY component HAVING count(*) >= 2 OR min(old) IS NOT NULL
+        ), ids AS (
+            SELECT component, coalesce(old, (SELECT max(group_id) FROM stored) + row_number() OVER (PARTITION BY old IS NULL ORDER BY first)) AS group_id FROM g
+        ), written AS (SELECT sha, group_id, kind AS detection_type, score AS similarity FROM kept JOIN ids USING (component))
+        SELECT * FROM (SELECT * FROM stored WHERE sha NOT IN (SELECT sha FROM written) UNION ALL SELECT * FROM written) WHERE similarity IS NULL OR similarity >= 0.75""",
+    "patch_contraction": f"""{BASE}, {_closure("tags", "tier3")}, split AS (
+            SELECT subject FROM commits JOIN comp USING (sha) WHERE subject <> '' GROUP BY subject HAVING count(*) >= 2 AND count(DISTINCT component) > 1
+        ), gated AS (SELECT sha, min(sha) OVER (PARTITION BY patch_id, subject) AS m FROM patch WHERE subject IN (SELECT subject FROM split)),
+        ties AS (SELECT DISTINCT a.component AS a, b.component AS b FROM gated JOIN comp a ON a.sha = gated.sha JOIN comp b ON b.sha = m WHERE a.component <> b.component),
+        both_ways AS (SELECT a, b FROM ties UNION SELECT b, a FROM ties),
+        far(a, b) AS (SELECT DISTINCT component, component FROM comp UNION SELECT far.a, both_ways.b FROM far JOIN both_ways ON both_ways.a = far.b),
+        roots AS (SELECT a, min(b) AS root FROM far GROUP BY a)
+        SELECT sha, root AS component FROM comp JOIN roots ON a = component""",
+    "seed_stars": f"WITH {HASHES}, c AS (SELECT sha AS dst, min(sha) OVER (PARTITION BY group_id) AS src FROM hashes) SELECT src, dst FROM c WHERE src <> dst",
+    "rescan_set": f"WITH {HASHES} SELECT sha FROM named WHERE doc_id % 3 = 0 UNION SELECT sha FROM hashes WHERE similarity >= 0.75",
+    "checkpoint_upsert": "SELECT 'layout' AS key, '1' AS value UNION ALL SELECT 'last_commit', sha1(CAST(max(doc_id) AS VARCHAR)) FROM documents",
+    "point_lookup": f"WITH {HASHES} SELECT sha, group_id FROM seen WHERE sha = sha1('5')",
+    "lookup_targets": f"""WITH {HASHES}, asked AS (
+            SELECT CASE doc_id % 4 WHEN 0 THEN ' G' || CAST(doc_id AS VARCHAR) WHEN 1 THEN '#' || CAST(doc_id AS VARCHAR) WHEN 2 THEN CAST(doc_id AS VARCHAR)
+                   ELSE upper(substr(sha1(CAST(doc_id AS VARCHAR)), 1, 7)) END AS target FROM documents
+        ), clean AS (SELECT target, lower(regexp_replace(trim(target), '^#', '')) AS c FROM asked), told AS (
+            SELECT target, c, TRY_CAST(regexp_extract(c, '^g?([0-9]{{1,18}})$', 1) AS BIGINT) AS gid FROM clean
+        ), k AS (SELECT target, gid, gid IS NOT NULL AND (c LIKE 'g%' OR gid IN (SELECT group_id FROM seen)) AS is_group FROM told)
+        SELECT target, CASE WHEN is_group THEN 'group' ELSE 'hash' END AS kind, CASE WHEN is_group THEN gid END AS gid FROM k""",
+    "first_match": f"WITH {HASHES} SELECT group_id, sha FROM seen WHERE sha LIKE 'c%' ORDER BY sha LIMIT 1",
+    "message_search_counts": f"""WITH {COMMITS}, {HASHES}, hit AS (SELECT sha FROM commits WHERE regexp_matches(subject || chr(10) || chr(10) || body, '(?im)license|copyright'))
+        SELECT (SELECT count(*) FROM hit) AS matches, (SELECT count(*) FROM hashes WHERE detection_type < 4 AND sha IN (SELECT sha FROM hit)) AS stored""",
+    "text_fields": """WITH b AS (SELECT doc_id, sha1(CAST(doc_id AS VARCHAR)) AS sha, source, CAST(coalesce(n_chars, 0) * coalesce(n_chars, 0) * 64 AS DOUBLE) AS bytes FROM documents)
+        SELECT doc_id, CAST(CASE WHEN doc_id % 3 = 0 THEN doc_id ELSE 0 END AS BIGINT) AS number,
+               CASE WHEN bytes < 1024 THEN printf('%.2f B', bytes) WHEN bytes < 1048576 THEN printf('%.2f KB', bytes / 1024) WHEN bytes < 1073741824 THEN printf('%.2f MB', bytes / 1048576)
+                    WHEN bytes < 1099511627776 THEN printf('%.2f GB', bytes / 1073741824) ELSE printf('%.2f TB', bytes / 1099511627776) END AS size,
+               substr(sha, 1, 10) AS short, true AS whole, sha AS again, trim(regexp_replace(lower(coalesce(source, ' A  b ')), ' +', ' ', 'g')) AS phrase FROM b""",
 }

@@ -165,6 +165,37 @@ def sibling_rows(hashes: DataFrame, gid: int | Column, asked: str | Column, excl
     return visible(hashes.where((F.col("group_id") == gid) & ~F.col("sha").startswith(asked)), excluded).select("sha")
 
 
+def first_match(hashes: DataFrame, prefix: str | Column, excluded: DataFrame) -> DataFrame:
+    """``(group_id, sha)`` of the least visible hash that begins so."""
+    return visible(prefix_rows(hashes, prefix), excluded).orderBy("sha").limit(1).select("group_id", "sha")
+
+
+def targets(asked: Column | str) -> tuple[Column, Column]:
+    """``(clean, gid)`` of what a lookup is asked for: stripped, without a leading ``#``, in lower case; gid is null unless it can name a group."""
+    clean = F.lower(F.regexp_replace(text.strip_space(asked), "^#", ""))
+    return clean, F.regexp_extract(clean, "^g?([0-9]{1,18})$", 1).try_cast("long")
+
+
+def resolve_targets(asked: DataFrame, hashes: DataFrame, excluded: DataFrame) -> DataFrame:
+    """``(target, kind, gid)`` for a column of targets: ``g5`` is a group; ``5`` is one if it has visible rows; all else is a hash."""
+    clean, gid = targets("target")
+    groups = visible(hashes, excluded).select(F.col("group_id").alias("__g")).distinct()
+    rows = asked.select("target", clean.alias("clean"), gid.alias("gid")).join(groups, F.col("gid") == F.col("__g"), "left")
+    group = F.col("gid").isNotNull() & (F.col("clean").startswith("g") | F.col("__g").isNotNull())
+    return rows.select("target", F.when(group, "group").otherwise("hash").alias("kind"), F.when(group, F.col("gid")).alias("gid"))
+
+
+def put_state(state: DataFrame, key: str, value: Column) -> DataFrame:
+    """``state`` with the key at ``value``, whatever it was before."""
+    fresh = state.sparkSession.range(1).select(F.lit(key).alias("key"), value.alias("value"))
+    return state.where(F.col("key") != key).unionByName(fresh)
+
+
+def search_counts(found: DataFrame, hashes: DataFrame) -> DataFrame:
+    """``(matches, stored)``: how many hashes a message search found, and how many of them are stored."""
+    return found.agg(F.countDistinct("sha").alias("matches")).crossJoin(hashes.join(found, "sha", "left_semi").agg(F.countDistinct("sha").alias("stored")))  # one row by one row
+
+
 def search_messages(commits: DataFrame, pattern: str) -> DataFrame:
     """Hashes of the commits whose message has a line that matches, case aside."""
     return commits.where(F.concat_ws("\n\n", "subject", "body").rlike(f"(?im){pattern}")).select("sha").distinct()
@@ -226,12 +257,7 @@ class Store:
         stream = fs.create(fresh, True)
         stream.write(bytearray(version.encode()))
         stream.close()
-        jvm = self.spark.sparkContext._jvm
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fresh.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        overwrite = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        fs2, current = lists._file(self.spark, f"{self.path}/CURRENT")
-        context.rename(fs2.makeQualified(fresh), fs2.makeQualified(current), overwrite)
+        lists.replace(self.spark, fresh.toString(), f"{self.path}/CURRENT")
 
     # -- lookups
 
@@ -300,7 +326,14 @@ class Store:
         if not pattern.strip():
             return None, 0, 0
         found = search_messages(commits, pattern.strip())
-        return found, found.count(), found.join(self.hashes, "sha", "left_semi").count()
+        counts = search_counts(found, self.hashes).first()
+        return found, counts["matches"], counts["stored"]
+
+    def find(self, asked: str) -> tuple[int, str] | None:
+        """Group and hash of the least visible hash that begins so; none for nothing."""
+        clean = asked.strip().lower()
+        row = first_match(self.hashes, clean, self.excluded).first() if clean else None
+        return (row["group_id"], row["sha"]) if row else None
 
     def toggle(self, *, gid: int | None = None, sha: str | None = None) -> DataFrame:
         """Exclude a group or hash, or take it back if all of it is excluded; saves and returns the list."""

@@ -9,9 +9,12 @@ where every executor can reach it.
 
 from __future__ import annotations
 
+import re
 import subprocess
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +31,8 @@ TABLES = {
     "diffs": "sha string, diff string",
     "patch_ids": "patch_id string, sha string",
 }
-COMMIT, FIELD, END = "\x01", "\x02", "\x03"
+#: Bytes read from git at a time.
+READ_BYTES = 1 << 16
 
 
 class RepositoryError(ValueError):
@@ -57,38 +61,92 @@ def has_commit(repo: str, sha: str) -> bool:
     return True
 
 
-def revisions(repo: str, span: str = "HEAD") -> list[str]:
-    """Commits that are no merges, oldest first."""
-    return [x for x in run_git(repo, "rev-list", "--reverse", "--topo-order", "--no-merges", span).split() if len(x) == 40]
-
-
-def read_commits(repo: str, shas: list[str]) -> Iterator[tuple]:
-    form = COMMIT + FIELD.join(["%H", "%an", "%at", "%ct", "%s", "%b"]) + END
-    out = run_git(repo, "log", "--no-walk=unsorted", "--no-merges", "--ignore-missing", "--name-only", "-z", f"--format={form}", "--stdin", stdin="\n".join(shas))
-    for record in out.split(COMMIT)[1:]:
-        head, _, names = record.partition(END)
-        fields = head.split(FIELD, 5)
-        if len(fields) == 6 and len(fields[0]) == 40:
-            yield (*fields, sorted({n for n in (x.strip("\n") for x in names.split("\0")) if n}))
-
-
-def read_diffs(repo: str, shas: list[str]) -> Iterator[tuple]:
-    out = run_git(repo, "log", "--no-walk=unsorted", "--no-merges", "--ignore-missing", "-p", "--no-renames", "--no-color", f"--format={COMMIT}%H", "--stdin", stdin="\n".join(shas))
-    for record in ("\n" + out).split("\n" + COMMIT)[1:]:
-        sha, _, diff = record.partition("\n")
-        yield sha, diff
-
-
-def read_patch_ids(repo: str, shas: list[str]) -> Iterator[tuple]:
-    log = ["git", "-C", repo, "log", "--no-walk=unsorted", "--no-merges", "--ignore-missing", "-p", "--no-renames", "--no-color", "--stdin"]
-    with subprocess.Popen(log, stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL) as first:
-        ids = subprocess.Popen(["git", "-C", repo, "patch-id", "--stable"], stdin=first.stdout, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL)
-        first.stdout.close()
-        first.stdin.write("\n".join(shas).encode())
-        first.stdin.close()
-        out = ids.communicate()[0].decode()
-    for line in out.splitlines():
-        parts = line.split()
+def revisions(repo: str, span: str = "HEAD", merges: bool = False) -> list[str]:
+    """Commits, by default those that are no merges, oldest first; the span ``--all`` covers every ref."""
+    return [x for x in run_git(repo, "rev-list", "--reverse", "--topo-order", *([] if merges else ["--no-merges"]), span).split() if len(x) == 40]
+
+
+def _records(out: BinaryIO, end: bytes) -> Iterator[bytes]:
+    """What stands before each ``end``, one byte, and what is left after the last; read piece by piece."""
+    pieces: list[bytes] = []  # of the record under way
+    while piece := out.read(READ_BYTES):
+        *whole, rest = piece.split(end)
+        for record in whole:
+            yield b"".join([*pieces, record])
+            pieces = []
+        pieces.append(rest)
+    if last := b"".join(pieces):
+        yield last
+
+
+def stream_git(repo: str, args: list[str], shas: list[str], end: bytes, into: list[str] | None = None) -> Iterator[bytes]:
+    """Records of a git command that reads commits from its input, as they come; ``into`` is a second command fed with the first's output.
+
+    Output is never held as a whole. A command that fails raises, whatever it has put out before.
+    """
+    with tempfile.TemporaryFile() as asked, tempfile.TemporaryFile() as said:
+        asked.write("\n".join(shas).encode())
+        asked.seek(0)
+        running = [subprocess.Popen(["git", "-C", repo, *args], stdin=asked, stdout=subprocess.PIPE, stderr=said)]
+        if into:
+            running.append(subprocess.Popen(["git", "-C", repo, *into], stdin=running[0].stdout, stdout=subprocess.PIPE, stderr=said))
+            running[0].stdout.close()
+        try:
+            yield from _records(running[-1].stdout, end)
+            failed = [p for p in running if p.wait()]
+        finally:
+            for p in running:
+                p.kill()
+                p.wait()
+            running[-1].stdout.close()
+        if failed:
+            said.seek(0)
+            raise RepositoryError(f"git {args[0]}: {said.read().decode(errors='replace').strip()}")
+
+
+def _log(merges: bool) -> list[str]:
+    return ["log", "--no-walk=unsorted", *([] if merges else ["--no-merges"]), "--ignore-missing", "--stdin", "--no-color", "--no-renames"]
+
+
+def read_commits(repo: str, shas: list[str], merges: bool = False) -> Iterator[tuple]:
+    """Null bytes end fields and names, for neither can hold one; an empty name is the start of the next commit."""
+    form = "%x00%H%x00%an%x00%at%x00%ct%x00%s%x00%b%x00"
+    fields: list[str] = []
+    for token in stream_git(repo, [*_log(merges), "--name-only", "-z", f"--format={form}"], shas, b"\0"):
+        text_ = token.decode(errors="replace")
+        if len(fields) > 7 and not text_:  # after the fields, and the empty one that ends them, come names
+            yield _commit_of(fields)
+            fields = []
+        fields.append(text_)
+    if len(fields) > 6:
+        yield _commit_of(fields)
+
+
+def _commit_of(fields: list[str]) -> tuple:
+    return (*fields[1:7], sorted({n for n in (x.strip("\n") for x in fields[7:]) if n}))
+
+
+def read_diffs(repo: str, shas: list[str], merges: bool = False) -> Iterator[tuple]:
+    """A hash between null bytes starts a record; a diff of what git was told is text may hold null bytes itself."""
+    sha, diff = None, []
+    for token in stream_git(repo, [*_log(merges), "-p", "--format=%x00%H%x00"], shas, b"\0"):
+        if re.fullmatch(rb"[0-9a-f]{40}", token):
+            if sha:
+                yield sha, _diff_of(diff)
+            sha, diff = token.decode(), []
+        else:
+            diff.append(token)
+    if sha:
+        yield sha, _diff_of(diff)
+
+
+def _diff_of(pieces: list[bytes]) -> str:
+    return b"\0".join(pieces).decode(errors="replace").lstrip("\n")
+
+
+def read_patch_ids(repo: str, shas: list[str], merges: bool = False) -> Iterator[tuple]:
+    for line in stream_git(repo, [*_log(merges), "-p"], shas, b"\n", into=["patch-id", "--stable"]):
+        parts = line.decode(errors="replace").split()
         if len(parts) == 2 and len(parts[1]) == 40:
             yield parts[0], parts[1]
 
@@ -103,8 +161,8 @@ class Chunk(InputPartition):
 
 
 class GitReader(DataSourceReader):
-    def __init__(self, repo: str, table: str, span: str, chunk: int) -> None:
-        self.repo, self.table, self.span, self.chunk, self.only = check_repository(repo), table, span, chunk, None
+    def __init__(self, repo: str, table: str, span: str, chunk: int, merges: bool) -> None:
+        self.repo, self.table, self.span, self.chunk, self.only, self.merges = check_repository(repo), table, span, chunk, None, merges
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
@@ -115,7 +173,7 @@ class GitReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[Chunk]:
-        shas = revisions(self.repo, self.span)
+        shas = revisions(self.repo, self.span, self.merges)
         rows = [(i, s) for i, s in enumerate(shas) if self.only is None or s in self.only]
         parts = [rows[i : i + self.chunk] for i in range(0, len(rows), self.chunk)]
         return [Chunk(p[0][0], [s for _, s in p]) for p in parts] or [Chunk(0, [])]
@@ -124,7 +182,7 @@ class GitReader(DataSourceReader):
         if self.table == "revisions":
             yield from ((partition.start + i, s) for i, s in enumerate(partition.shas))
         elif partition.shas:
-            yield from READERS[self.table](self.repo, partition.shas)
+            yield from READERS[self.table](self.repo, partition.shas, self.merges)
 
 
 class GitStream(SimpleDataSourceStreamReader):
@@ -151,7 +209,7 @@ class GitStream(SimpleDataSourceStreamReader):
 
 
 class GitDataSource(DataSource):
-    """Options: ``repo``, ``table`` (commits), ``range`` (HEAD), ``chunk`` (2000); streams have the table revisions and ``start``."""
+    """Options: ``repo``, ``table`` (commits), ``range`` (HEAD), ``chunk`` (2000), ``merges`` (false); streams have the table revisions and ``start``."""
 
     @classmethod
     def name(cls) -> str:
@@ -167,7 +225,7 @@ class GitDataSource(DataSource):
         return TABLES[self._table()]
 
     def reader(self, schema: StructType) -> GitReader:
-        return GitReader(self.options["repo"], self._table(), self.options.get("range", "HEAD"), int(self.options.get("chunk", CHUNK)))
+        return GitReader(self.options["repo"], self._table(), self.options.get("range", "HEAD"), int(self.options.get("chunk", CHUNK)), self.options.get("merges", "false").lower() == "true")
 
     def simpleStreamReader(self, schema: StructType) -> GitStream:
         if self._table() != "revisions":
@@ -176,13 +234,19 @@ class GitDataSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Make the source known; filters are pushed into Python sources from then on, in all of the session."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(GitDataSource)
 
 
-def load(spark: SparkSession, repo: str, table: str, span: str = "HEAD", chunk: int = CHUNK) -> DataFrame:
+def load(spark: SparkSession, repo: str, table: str, span: str = "HEAD", chunk: int = CHUNK, merges: bool = False) -> DataFrame:
     register(spark)
-    return spark.read.format("gitlog").options(repo=repo, table=table, range=span, chunk=chunk).load()
+    return spark.read.format("gitlog").options(repo=repo, table=table, range=span, chunk=chunk, merges=merges).load()
+
+
+def every_message(spark: SparkSession, repo: str) -> DataFrame:
+    """``(sha, subject, body)`` of the commits of all refs, merges included: what a message search looks at."""
+    return load(spark, repo, "commits", "--all", merges=True).select("sha", "subject", "body")
 
 
 def read_given(shas: DataFrame, repo: str, table: str, chunk: int = CHUNK) -> DataFrame:
@@ -209,6 +273,11 @@ def show(spark: SparkSession, repo: str, sha: str) -> DataFrame:
     return head.join(read_given(one, repo, "diffs"), "sha", "left")
 
 
+def show_text(repo: str, sha: str) -> str:
+    """A commit as git shows it, with the summary of its files and the diff; merges too."""
+    return run_git(repo, "show", "--no-color", "--stat", "-p", sha.strip().lower(), "--")
+
+
 def clean_commits(raw: DataFrame) -> DataFrame:
     """Commits as the tiers want them: stripped names, dates as numbers, the message cleaned."""
     return raw.select(

@@ -14,6 +14,23 @@ def _file(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` as files found below it are named."""
+    fs, p = _file(spark, path)
+    name = fs.makeQualified(p).toString()
+    return name.replace("file:/", "file:///", 1) if name.startswith("file:/") and not name.startswith("file://") else name
+
+
+def replace(spark: SparkSession, fresh: str, path: str) -> None:
+    """Put a complete file in another's place in one step; there is no moment without either."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    fs, new = _file(spark, fresh)
+    _, old = _file(spark, path)
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), conf).rename(fs.makeQualified(new), fs.makeQualified(old), overwrite)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, p = _file(spark, path)
     return fs.exists(p)
@@ -28,15 +45,17 @@ def read_exclusions(spark: SparkSession, path: str | None) -> DataFrame:
 
 
 def write_exclusions(shas: DataFrame, path: str) -> None:
-    """Sorted, one a line. The new list is complete before it takes the old one's place."""
+    """Sorted, one a line, in one file. The new list is complete before it takes the old one's place, in one step."""
     spark = shas.sparkSession
-    fresh = path.rstrip("/") + ".new"
-    shas.select("sha").distinct().orderBy("sha").coalesce(1).write.mode("overwrite").text(fresh)
-    fs, new = _file(spark, fresh)
+    path = path.rstrip("/")
+    shas.select("sha").distinct().orderBy("sha").coalesce(1).write.mode("overwrite").text(path + ".new")
+    fs, folder = _file(spark, path + ".new")
+    part = next(f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-"))
     _, old = _file(spark, path)
-    if fs.exists(old):
-        fs.delete(old, True)
-    fs.rename(new, old)
+    if fs.exists(old) and fs.getFileStatus(old).isDirectory():  # as lists were kept once
+        fs.rename(old, _file(spark, path + ".old")[1])
+    replace(spark, part.toString(), path)
+    fs.delete(folder, True)
 
 
 def toggle(excluded: DataFrame, members: DataFrame) -> DataFrame:

@@ -63,6 +63,48 @@ def test_tables(spark, repo):
         git.revisions(repo.path + "/none")
 
 
+def test_odd_commits(spark, repo):
+    one = repo.commit("a.txt", "x", "Title \x01 with \x02 marks\n\nbody \x03 and\n\nmore")
+    repo.run("commit", "-q", "--allow-empty", "-m", "Nothing")
+    two = repo.run("rev-parse", "HEAD")
+    with open(f"{repo.path}/{'ab' * 20}", "w") as f:
+        f.write("line\n")
+    with open(f"{repo.path}/null.bin", "wb") as f:
+        f.write(b"a\0b\n" * 3)
+    with open(f"{repo.path}/.gitattributes", "w") as f:
+        f.write("*.bin diff\n")
+    repo.run("add", ".")
+    repo.run("commit", "-q", "-m", "Names and nulls")
+    three = repo.run("rev-parse", "HEAD")
+    got = {r[0]: r for r in git.read_commits(repo.path, [one, two, three])}
+    assert got[one][4:] == ("Title \x01 with \x02 marks", "body \x03 and\n\nmore\n", ["a.txt"])
+    assert got[two][4:] == ("Nothing", "", [])
+    assert got[three][6] == [".gitattributes", "ab" * 20, "null.bin"]
+    diffs = dict(git.read_diffs(repo.path, [one, two, three]))
+    assert "+x" in diffs[one] and diffs[two] == "" and "+a\0b" in diffs[three]
+    with pytest.raises(git.RepositoryError):
+        list(git.stream_git(repo.path, ["log", "--no-such-option"], [one], b"\0"))
+    with pytest.raises(git.RepositoryError):
+        list(git.stream_git(repo.path, ["log", "-p", "--stdin"], [one], b"\n", into=["no-such-command"]))
+
+
+def test_all_refs_and_merges(spark, repo):
+    base = repo.commit("a.txt", "x", "Base")
+    repo.run("checkout", "-q", "-b", "side")
+    side = repo.commit("b.txt", "y", "Side work")
+    repo.run("checkout", "-q", "main")
+    repo.commit("c.txt", "z", "Main work")
+    repo.run("merge", "-q", "--no-ff", "-m", "Join the side", "side")
+    merge = repo.run("rev-parse", "HEAD")
+    repo.run("checkout", "-q", "-b", "other", base)
+    other = repo.commit("d.txt", "w", "Elsewhere")
+    repo.run("checkout", "-q", "main")
+    rows = {r["sha"]: r["subject"] for r in git.every_message(spark, repo.path).collect()}
+    assert rows[merge] == "Join the side" and rows[other] == "Elsewhere" and len(rows) == 5
+    assert other not in git.revisions(repo.path) and merge not in git.revisions(repo.path)
+    assert "b.txt | 1 +" in git.show_text(repo.path, side) and "Join the side" in git.show_text(repo.path, merge)
+
+
 def groups(store):
     return {r["sha"]: r["group_id"] for r in store.hashes.collect()}
 

@@ -11,7 +11,7 @@ SMALL = "/root/testdata/sf0.001"
 
 
 def normal(rows):
-    return sorted(tuple(x if x is None or isinstance(x, str | bool) else round(float(x), 9) for x in r) for r in rows)
+    return sorted((tuple(x if x is None or isinstance(x, str | bool) else round(float(x), 9) for x in r) for r in rows), key=str)
 
 
 @pytest.fixture(scope="module")
