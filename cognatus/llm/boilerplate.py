@@ -190,7 +190,7 @@ def _by_size(batch: pa.RecordBatch, most: int = 1 << 16) -> Iterator[pa.RecordBa
 
 
 def _anchors(parsed: DataFrame, least: int) -> DataFrame:
-    """``(anchor)`` of stretches that may cost a page something: on two pages, with an open block or an article and furniture among them."""
+    """``(anchor)`` of stretches that may cost a page something: on two pages, in an open block or both in an article and outside one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,9 +205,9 @@ def _anchors(parsed: DataFrame, least: int) -> DataFrame:
 
     found = parsed.select("host", "page", "blocks", "kinds").mapInArrow(tidy(run), "anchor long, page long, flag int")
     flags = F.bit_or("flag").alias("flag")
-    found = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("page").alias("low"), F.max("page").alias("high"), flags).where("low <> high")
+    found = found.groupBy("anchor").agg(F.min("page").alias("low"), F.max("page").alias("high"), flags).where("low <> high")
     has = lambda kind: F.col("flag").bitwiseAND(F.lit(1 << kind)) != 0
-    return found.where(has(OPEN) | (has(ARTICLE) & has(OUTSIDE) & (F.col("n") >= FURNITURE))).select("anchor")
+    return found.where(has(OPEN) | (has(ARTICLE) & has(OUTSIDE))).select("anchor")
 
 
 def _occurrences(parsed: DataFrame, least: int) -> DataFrame:
