@@ -7,8 +7,14 @@ probability. In each block the best estimates are reranked exactly first; then e
 whose upper bound reaches the k-th exact score so far.
 
 Scale: codes are built once, in a scan. Queries and vectors meet in pairs of hash blocks of
-bounded size, each pair a task of its own; a pair returns at most k rows per query, and a
+bounded rows and bytes, each pair a task of its own; a pair returns at most k rows per query, and a
 partial top-k precedes the last shuffle. Neither side is broadcast or collected.
+
+A vector travels with its code, once for each block of queries. Sending codes alone and fetching
+the vectors of all candidates afterwards moves more: a pair that the bound lets through costs a vector of
+its own then, and one vector to a block of 16384 queries is less than that as soon as the bound lets through one
+pair in 16384. Estimates are a product of signs and rotated queries in single precision, which a
+matrix library does faster than numpy counts bits.
 """
 
 from __future__ import annotations
@@ -25,7 +31,8 @@ from cognatus.session import materialize
 
 #: How many standard errors the error bound spans.
 BOUND = 2.5
-QUERY_BLOCK, VECTOR_BLOCK = 4096, 16384
+#: Rows of a block, and bytes that its vectors may hold in double precision.
+QUERY_BLOCK, VECTOR_BLOCK, BLOCK_BYTES = 16384, 32768, 64 << 20
 
 
 def encode(x: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,13 +115,15 @@ def nearest(
     ``is_query`` is a condition on column ``id``. A query's own id is no candidate; fewer
     candidates than k are all returned. Vectors of another length than the query's are none.
     Scores are exact cosines in double precision, ties go to the smaller id. See
-    :func:`usable_vectors` for rows that take no part and for repeated ids. An empty table, or
-    one without queries, gives no rows.
+    :func:`usable_vectors` for rows that take no part and for repeated ids. Long vectors make smaller
+    blocks. Other columns are not looked at, whatever their names. An empty table, or one without
+    queries, gives no rows.
     """
     index = materialize(build_index(usable_vectors(vectors, id_col, vec_col)), "codes")
     queries = index.where(is_query).select("id", "vec", "dim")
-    rows, asked = index.count(), queries.count()
-    xs, qs = max(1, -(-rows // vector_block)), max(1, -(-asked // query_block))
+    rows, asked, longest = index.agg(F.count(F.lit(1)), F.count(F.when(is_query, 1)), F.coalesce(F.max("dim"), F.lit(1))).first()
+    most = max(1, BLOCK_BYTES // (8 * longest))
+    xs, qs = max(1, -(-rows // min(vector_block, most))), max(1, -(-asked // min(query_block, most)))
     left = queries.withColumn("qb", F.pmod(F.xxhash64("id", F.lit("q")), F.lit(qs)).cast("int"))
     left = left.withColumn("xb", F.explode(F.sequence(F.lit(0), F.lit(xs - 1))))
     right = index.withColumn("xb", F.pmod(F.xxhash64("id"), F.lit(xs)).cast("int"))

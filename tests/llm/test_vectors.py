@@ -64,6 +64,20 @@ def test_search_few_and_none(spark):
     assert ann.nearest(df, F.col("id") == 77).count() == 0
 
 
+def test_long_vectors_and_other_columns(spark, monkeypatch):
+    x = vectors(7, 260, 300)
+    df = spark.createDataFrame(rows_of(x), SCHEMA)
+    for name in ("id", "vec", "dim", "code", "a", "rank", "score", "n", "kept", "component"):
+        df = df.withColumn(name, F.lit("clash"))
+    c = cosines(x)
+    np.fill_diagonal(c, -2)
+    monkeypatch.setattr(ann, "BLOCK_BYTES", 8 * 300 * 16)
+    monkeypatch.setattr(embdedup, "TILE_BYTES", 16 * 300 * 16)
+    got = {r["query_id"]: r["neighbour_id"] for r in ann.nearest(df, F.col("id") % 50 == 0).where("rank = 1").collect()}
+    assert got == {q: int(np.argmax(c[q])) for q in range(0, 260, 50)}
+    assert sum(r["n_links"] for r in embdedup.embedding_groups(df).collect()) == (c >= 0.9).sum()
+
+
 def test_error_bound_holds():
     x = vectors(5, 2000, 64)
     bits, a = ann.encode(x.astype(float), 64)
