@@ -6,9 +6,11 @@ exponentially in the document's size, ``min(cap, exp(lambda * size / mean))``, a
 variable is found by Newton steps. Rates are then rounded into whole copies such that the
 rounding errors of a source cancel.
 
-Scale: documents are first reduced to an exact histogram over (source, size, hash bucket).
-The dual separates by source, so each Newton solve is a task over one source's histogram of
-sizes, which has a row per distinct size, whatever the number of documents. Many documents of
+Scale: documents are first reduced to an exact histogram over (source, size, hash bucket). A Newton
+iteration is an aggregate of that histogram, with map-side sums: gradient and slope of every source at once,
+for the dual separates by source. Rounding sees a source's histogram of sizes in one task; it has a row
+per distinct size, whatever the number of documents, at most as many as the longest document has
+words. Many documents of
 one source and size are spread over the hash buckets when copies are dealt out; their number
 follows the documents.
 """
@@ -23,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cognatus.llm.text import WORD
-from cognatus.session import materialize
+from cognatus.session import discard, materialize
 
 #: Documents are dealt to buckets by a hash of the row: so many at least, and a bucket's documents on average.
 BUCKETS, BUCKET_ROWS = 64, 1 << 14
@@ -70,45 +72,49 @@ def source_targets(
     )
 
 
-def newton_rates(size: np.ndarray, n: np.ndarray, target: float, cap: float, rounds: int = 200) -> np.ndarray:
-    """Rates ``min(cap, exp(lambda * size / mean))`` whose tokens add up to ``target``.
+def newton_duals(strata: DataFrame, cap: float, rounds: int = 200) -> DataFrame:
+    """``(rank, lam, mean)``: dual variables with which the rates of :func:`tilted` meet the targets.
 
-    Newton on the dual's derivative, kept inside a bracket that bisects where a step leaves it.
-    Sizes of zero carry no tokens and get rate one.
+    ``strata`` has rank, target, size and n. Newton on the dual's derivative, kept inside a bracket that
+    bisects where a step leaves it; all sources step together until each has settled. A target that no rate
+    reaches has an infinite variable; sizes of zero carry no tokens and play no part.
     """
-    tokens = float((n * size).sum())
-    rate = np.ones(len(size))
-    live = size > 0
-    if tokens <= 0:
-        return rate
-    if target <= 0 or target >= cap * tokens * (1 - 1e-12):
-        rate[live] = 0.0 if target <= 0 else cap
-        return rate
-    x = size[live] / (tokens / float(n[live].sum()))
-    mass = (n * size)[live].astype(float)
-    lam, low, high = 0.0, -np.inf, np.inf
+    strata = strata.where("size > 0").withColumn("mass", F.col("n") * F.col("size"))
+    inf = float("inf")
+    state = strata.groupBy("rank", "target").agg(F.sum("mass").alias("tokens"), F.sum("n").alias("live"))
+    full = F.col("target") >= F.lit(cap) * F.col("tokens") * F.lit(1 - 1e-12)
+    lam = F.when(F.col("target") <= 0, -inf).when(full, inf).otherwise(0.0)
+    state = state.select("rank", "target", (F.col("tokens") / F.col("live")).alias("mean"), lam.alias("lam"), F.lit(-inf).alias("low"), F.lit(inf).alias("high"))
+    state = materialize(state.withColumn("open", F.col("lam") == 0), "duals")
+    x = F.col("size") / F.col("mean")
+    tilt = F.exp(F.least(F.col("lam") * x, F.lit(700.0)))
     for _ in range(rounds):
-        with np.errstate(over="ignore"):
-            tilt = np.exp(np.minimum(lam * x, 700.0))
-        capped = tilt >= cap
-        tilt = np.where(capped, cap, tilt)
-        gradient = float(mass @ tilt) - target
-        if abs(gradient) <= 1e-9 * target:
-            break
-        low, high = (lam, high) if gradient < 0 else (low, lam)
-        slope = float((mass * x * tilt)[~capped].sum())
-        step = lam - gradient / slope if slope > 0 else np.inf
-        if not low < step < high:
-            if np.isinf(high):
-                step = 2 * lam + 1
-            elif np.isinf(low):
-                step = 2 * lam - 1
-            else:
-                step = (low + high) / 2
-        if step == lam:
+        if state.where("open").isEmpty():
             break
-        lam = step
-    rate[live] = tilt
+        at = strata.drop("target").join(state.where("open").select("rank", "mean", "lam"), "rank")
+        sums = at.groupBy("rank").agg(F.sum(F.col("mass") * F.least(tilt, F.lit(cap))).alias("got"), F.sum(F.when(tilt < cap, F.col("mass") * x * tilt).otherwise(0.0)).alias("slope"))
+        told = state.join(sums, "rank", "left").withColumn("gradient", F.col("got") - F.col("target"))
+        told = told.withColumns({"low": F.when(F.col("gradient") < 0, F.col("lam")).otherwise(F.col("low")), "high": F.when(F.col("gradient") >= 0, F.col("lam")).otherwise(F.col("high"))})
+        newton = F.when(F.col("slope") > 0, F.col("lam") - F.col("gradient") / F.col("slope"))
+        step = (
+            F.when((newton > F.col("low")) & (newton < F.col("high")), newton)
+            .when(F.col("high") == inf, 2 * F.col("lam") + 1)
+            .when(F.col("low") == -inf, 2 * F.col("lam") - 1)
+            .otherwise((F.col("low") + F.col("high")) / 2)
+        )
+        told = told.withColumn("step", step)
+        goes = F.col("open") & (F.abs("gradient") > F.lit(1e-9) * F.col("target")) & (F.col("step") != F.col("lam"))
+        told = told.select("rank", "target", "mean", F.when(goes, F.col("step")).otherwise(F.col("lam")).alias("lam"), "low", "high", F.coalesce(goes, F.lit(False)).alias("open"))
+        last, state = state, materialize(told, "duals")
+        discard(last)
+    return state.select("rank", "lam", "mean")
+
+
+def tilted(size: np.ndarray, lam: float, mean: float, cap: float) -> np.ndarray:
+    """Rates ``min(cap, exp(lam * size / mean))``; sizes of zero get rate one."""
+    rate = np.ones(len(size))
+    live = size > 0
+    rate[live] = np.minimum(cap, np.exp(np.minimum(lam * (size[live] / mean), 700.0)))
     return rate
 
 
@@ -165,16 +171,16 @@ def mix_sources(
     histogram = fine.groupBy("source", "size").agg(F.sum("n").alias("n"))
     targets = materialize(source_targets(histogram, weights, share, cap), "targets")
     same = F.col("source").eqNullSafe(F.col("of"))
-    strata = histogram.join(targets.withColumnRenamed("source", "of"), same).select("rank", "target", "size", "n")
+    strata = materialize(histogram.join(targets.withColumnRenamed("source", "of"), same).select("rank", "target", "size", "n"), "strata")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("size", ascending=False)
         size, n = pdf["size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
-        rate = newton_rates(size, n, float(pdf["target"].iloc[0]), cap)
+        rate = tilted(size, float(pdf["lam"].iloc[0]), float(pdf["mean"].iloc[0]), cap)
         base, ups = round_strata(size, n, rate)
         return pd.DataFrame({"__r": pdf["rank"], "__s": size, "__base": base, "ups": ups})
 
-    solved = strata.groupBy("rank").applyInPandas(solve, "__r int, __s long, __base long, ups long")
+    solved = strata.join(newton_duals(strata, cap), "rank", "left").fillna({"lam": 0.0, "mean": 1.0}).groupBy("rank").applyInPandas(solve, "__r int, __s long, __base long, ups long")
     # the extra copies of a stratum go to its buckets in turn, and within a bucket to its first documents
     before = Window.partitionBy("__r", "__s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     plan = fine.join(targets.select(F.col("source").alias("of"), "rank"), same)

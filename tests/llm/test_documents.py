@@ -95,13 +95,17 @@ def test_mixing_empty(empty):
     assert mixing.mix_sources(empty.withColumn("size", F.lit(1))).count() == 0
 
 
-def test_newton_meets_target():
+def test_newton_meets_targets(spark):
     rng = np.random.default_rng(2)
     size, n = rng.integers(0, 5000, 400), rng.integers(1, 9, 400)
     total = float((size * n).sum())
-    for share in (0.01, 0.5, 1.0, 1.7, 1.999, 2.0):
-        rate = mixing.newton_rates(size, n, share * total, 2.0)
-        assert (n * size * rate).sum() == pytest.approx(share * total, rel=1e-6)
+    shares = (0.0, 0.01, 0.5, 1.0, 1.7, 1.999, 2.0)
+    strata = [(k, share * total, int(s), int(c)) for k, share in enumerate(shares) for s, c in zip(size, n, strict=True)]
+    found = mixing.newton_duals(spark.createDataFrame(strata, "rank int, target double, size long, n long"), 2.0).collect()
+    assert sorted(r["rank"] for r in found) == list(range(len(shares)))
+    for r in found:
+        rate = mixing.tilted(size, r["lam"], r["mean"], 2.0)
+        assert (n * size * rate).sum() == pytest.approx(shares[r["rank"]] * total, rel=1e-6)
         assert rate.min() >= 0 and rate.max() <= 2
 
 
