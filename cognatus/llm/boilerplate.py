@@ -190,7 +190,7 @@ def _by_size(batch: pa.RecordBatch, most: int = 1 << 16) -> Iterator[pa.RecordBa
 
 
 def _anchors(parsed: DataFrame, least: int) -> DataFrame:
-    """``(anchor)`` of stretches that may cost a page something: on two pages, in an open block or both in an article and outside one."""
+    """``(anchor)`` of stretches that may cost a page something: on two rows, in an open block or both in an article and outside one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,12 +200,13 @@ def _anchors(parsed: DataFrame, least: int) -> DataFrame:
                 page, anchor, flag = page[order], anchor[order], np.left_shift(1, kind[order].astype(np.int32))
                 first = np.flatnonzero(np.concatenate(([True], (page[1:] != page[:-1]) | (anchor[1:] != anchor[:-1])))) if len(page) else order
                 flag = np.bitwise_or.reduceat(flag, first) if len(first) else flag
-                pages = piece.column("page").to_numpy()[page[first]]
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[first].view(np.int64)), pa.array(pages), pa.array(flag.astype(np.int32))], names=["anchor", "page", "flag"])
+                rows = piece.column("row").to_numpy()[page[first]]
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[first].view(np.int64)), pa.array(rows), pa.array(flag.astype(np.int32))], names=["anchor", "row", "flag"])
 
-    found = parsed.select("host", "page", "blocks", "kinds").mapInArrow(tidy(run), "anchor long, page long, flag int")
+    # rows, not pages: copies pass here and are told later, and numbers of rows travel in fewer bytes than hashes
+    found = parsed.select("row", "host", "blocks", "kinds").mapInArrow(tidy(run), "anchor long, row long, flag int")
     flags = F.bit_or("flag").alias("flag")
-    found = found.groupBy("anchor").agg(F.min("page").alias("low"), F.max("page").alias("high"), flags).where("low <> high")
+    found = found.groupBy("anchor").agg(F.min("row").alias("low"), F.max("row").alias("high"), flags).where("low <> high")
     has = lambda kind: F.col("flag").bitwiseAND(F.lit(1 << kind)) != 0
     return found.where(has(OPEN) | (has(ARTICLE) & has(OUTSIDE))).select("anchor")
 
