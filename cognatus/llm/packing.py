@@ -331,7 +331,8 @@ def pack(
     Columns: ``id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` and, with
     ``keep_ids``, ``ids array<int>``. Each id of a document, the end id included, lies in one
     piece; a sequence's pieces lie gapless from offset 0. A null or empty text is its end id
-    alone. Repeated rows and null ids are rows like any other; an empty table gives no pieces.
+    alone. Repeated rows and null ids are rows like any other; a very long text is cut into whole windows
+    and a rest. Other columns are not looked at, whatever their names; an empty table gives no pieces.
     The tokenizer must drop white space, for its ids are looked up word by word.
     """
     if window % step:

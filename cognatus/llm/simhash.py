@@ -230,8 +230,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Fingerprints link at three or fewer differing bits. Equal fingerprints are linked at
     distance zero, documents without words among them. Repeated rows stay rows. A null id is
-    never a component's name; a component of null ids only is named null. Other columns are not
-    looked at.
+    never a component's name; a component of null ids only is named null. Very long texts are read
+    whole. Other columns are not looked at, whatever their names; an empty table gives no rows.
     """
     fps = materialize(fingerprints(docs, id_col, text_col, shingle).withColumn("name", F.col("fp")), "fingerprints")
     classes = materialize(fps.groupBy("name").agg(F.min("id").alias("rep")), "classes")
