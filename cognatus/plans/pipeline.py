@@ -80,7 +80,7 @@ def run(commits: DataFrame, patch_ids: Fetch, diffs: Fetch, store: Store, last:
     ``strict`` drops a stored row whose member scored below the threshold this time; by default
     such a row stays as it was, which repeats what earlier runs of this kind of store did.
     """
-    stored = store.hashes
+    base, stored = store.version(), store.hashes
     edges, members = link(commits, patch_ids, stored)
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
     grouped = materialize(members.join(sizes, "component", "left_semi"), "grouped")
@@ -95,7 +95,7 @@ def run(commits: DataFrame, patch_ids: Fetch, diffs: Fetch, store: Store, last:
         state = put_state(state, LAST_COMMIT, F.lit(last))
     edges = materialize(edges, "edges")  # before the tables they come from change
     low = scores.where(F.col("similarity") < MIN_SIMILARITY).count()
-    store.save(hashes, state)
+    store.save(hashes, state, base)
     return Report(edges, tiers.counters(edges, commits.select("sha") if new is None else new), low)
 
 

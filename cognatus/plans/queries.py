@@ -111,6 +111,7 @@ def tier4_fuzzy_pairs(spark, d):
 
 
 def indel_ratio_pairs(spark, d):
+    """The ratio itself on names of nations, a fixture for the SQL; the tiers and scores run it on whole messages and diffs."""
     n = table(spark, d, "nation").select("n_name", "n_regionkey")
     a, b = n.select(F.col("n_name").alias("a"), "n_regionkey"), n.select(F.col("n_name").alias("b"), F.col("n_regionkey").alias("r"))
     pairs = a.join(b, (F.col("n_regionkey") == F.col("r")) & (F.col("a") < F.col("b")))

@@ -36,6 +36,10 @@ class LookupFailed(ValueError):
     """No store, no such commit, an ambiguous prefix, or a malformed query."""
 
 
+class Conflict(ValueError):
+    """Another save came between."""
+
+
 def detection_dim(spark: SparkSession) -> DataFrame:
     rows = [(code, name, label, code) for code, (name, label) in LABELS.items()]
     return spark.createDataFrame(rows, "code int, name string, label string, priority int")
@@ -248,16 +252,33 @@ class Store:
         row = self.state.where(F.col("key") == LAST_COMMIT).first()
         return row["value"] if row else None
 
-    def save(self, hashes: DataFrame, state: DataFrame) -> None:
-        """Write both tables as a new version, then point to it."""
-        version = f"v-{uuid.uuid4().hex}"
+    def version(self) -> str | None:
+        """The version in force; None before the first save."""
+        return self._version() if lists.exists(self.spark, f"{self.path}/CURRENT") else None
+
+    def save(self, hashes: DataFrame, state: DataFrame, base: str | None = None) -> None:
+        """Write both tables as a new version, point to it, and delete all versions but it and the one before.
+
+        ``base`` is the version that the tables were made from; if another is in force by now nothing is saved
+        and :class:`Conflict` is raised. Readers of the version before can finish.
+        """
+        before, version = self.version(), f"v-{uuid.uuid4().hex}"
         hashes.select("sha", "group_id", "detection_type", "similarity").repartitionByRange("sha").sortWithinPartitions("sha").write.parquet(f"{self.path}/{version}/hashes")
         state.select("key", "value").coalesce(1).write.parquet(f"{self.path}/{version}/state")
+        if base is not None and self.version() != base:
+            fs, own = lists._file(self.spark, f"{self.path}/{version}")
+            fs.delete(own, True)
+            raise Conflict(f"the store at {self.path} has changed since {base}")
         fs, fresh = lists._file(self.spark, f"{self.path}/CURRENT.{version}")
         stream = fs.create(fresh, True)
         stream.write(bytearray(version.encode()))
         stream.close()
         lists.replace(self.spark, fresh.toString(), f"{self.path}/CURRENT")
+        _, folder = lists._file(self.spark, self.path)
+        for entry in fs.listStatus(folder):
+            name = entry.getPath().getName()
+            if name.startswith("v-") and name not in (version, before):
+                fs.delete(entry.getPath(), True)
 
     # -- lookups
 

@@ -7,7 +7,7 @@ inside the join; the similarity function runs last, on what is left.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cognatus.functions import similarity, text
@@ -146,9 +146,9 @@ def evidence(edges: DataFrame, stored: DataFrame | None = None) -> DataFrame:
 
 
 def bucket_sizes(commits: DataFrame) -> DataFrame:
-    """``(sha, subject, bucket_size)`` for commits with a subject."""
-    every = Window.partitionBy("subject")
-    return commits.where("subject <> ''").select("sha", "subject", F.count(F.lit(1)).over(every).alias("bucket_size"))
+    """``(sha, subject, bucket_size)`` for commits with a subject; counted with map-side combine, so a common subject is no single task."""
+    rows = commits.where("subject <> ''").select("sha", "subject")
+    return rows.join(rows.groupBy("subject").agg(F.count(F.lit(1)).alias("bucket_size")), "subject").select("sha", "subject", "bucket_size")
 
 
 def counters(edges: DataFrame, new: DataFrame) -> DataFrame:

@@ -151,3 +151,26 @@ def test_verify(spark, tmp_path):
     assert reasons["missing.patch"] == f"Missing from DB: {', '.join(SHA[8:11])} (+2 more)"
     assert reasons["split.patch"] == f"Split across multiple groups ({SHA[1][:10]}->GID:5, {SHA[4][:10]}->GID:6)"
     assert verify.verify(spark, f"file://{tmp_path}", known, recursive=True)[0].first()["files"] == 6
+
+
+def test_saves_do_not_lose_each_other(spark, tmp_path):
+    s = Store.create(spark, f"file://{tmp_path}/s")
+    rows = [spark.createDataFrame([(c * 40, 1, 1, 1.0)], store.HASHES_SCHEMA) for c in "abc"]
+    base = s.version()
+    s.save(rows[0], s.state, base)
+    with pytest.raises(store.Conflict):
+        s.save(rows[1], s.state, base)
+    assert [r["sha"] for r in s.hashes.collect()] == ["a" * 40]
+    for row in rows[1:]:
+        s.save(row, s.state, s.version())
+    assert [r["sha"] for r in s.hashes.collect()] == ["c" * 40]
+    assert len(list((tmp_path / "s").glob("v-*"))) == 2
+
+
+def test_scores_are_the_same_for_any_tile(spark):
+    members = [(SHA[i], "c" if i < 12 else "d") for i in range(16)]
+    diffs = [(SHA[i], "abcdefgh"[: i % 5 + 2] * (i % 3 + 1)) for i in range(15)]
+    m = spark.createDataFrame(members, "sha string, component string")
+    d = spark.createDataFrame(diffs, "sha string, diff string")
+    one, two = ({r["sha"]: r["similarity"] for r in scoring.group_similarity(m, d, **kind).collect()} for kind in ({}, {"tile": 2}))
+    assert one == two and len(one) == 16 and 0 < min(one.values()) < 1
