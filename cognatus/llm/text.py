@@ -28,7 +28,7 @@ BATCH_BYTES = 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the bytes of the session's Arrow batches, unless they are bounded more tightly."""
+    """Bound the bytes of the session's Arrow batches, from now on and for all, unless they are bounded more tightly."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if not 0 < int(spark.conf.get(key).rstrip("b")) <= BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
