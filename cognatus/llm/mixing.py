@@ -20,7 +20,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -173,14 +173,13 @@ def mix_sources(
     same = F.col("source").eqNullSafe(F.col("of"))
     strata = materialize(histogram.join(targets.withColumnRenamed("source", "of"), same).select("rank", "target", "size", "n"), "strata")
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("size", ascending=False)
-        size, n = pdf["size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
-        rate = tilted(size, float(pdf["lam"].iloc[0]), float(pdf["mean"].iloc[0]), cap)
+    def solve(table: pa.Table) -> pa.Table:
+        size, n = (table.column(c).to_numpy() for c in ("size", "n"))
+        rate = tilted(size, table.column("lam")[0].as_py(), table.column("mean")[0].as_py(), cap)
         base, ups = round_strata(size, n, rate)
-        return pd.DataFrame({"__r": pdf["rank"], "__s": size, "__base": base, "ups": ups})
+        return pa.table([table.column("rank"), table.column("size"), pa.array(base), pa.array(ups)], names=["__r", "__s", "__base", "ups"])
 
-    solved = strata.join(newton_duals(strata, cap), "rank", "left").fillna({"lam": 0.0, "mean": 1.0}).groupBy("rank").applyInPandas(solve, "__r int, __s long, __base long, ups long")
+    solved = strata.join(newton_duals(strata, cap), "rank", "left").fillna({"lam": 0.0, "mean": 1.0}).groupBy("rank").applyInArrow(solve, "__r int, __s long, __base long, ups long")
     # the extra copies of a stratum go to its buckets in turn, and within a bucket to its first documents
     before = Window.partitionBy("__r", "__s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     plan = fine.join(targets.select(F.col("source").alias("of"), "rank"), same)
