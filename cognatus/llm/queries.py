@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cognatus.functions.text import SPACE
-from cognatus.llm import ann, archive, boilerplate, embdedup, langid, maxent, mixing, packing, simhash, urllists
+from cognatus.llm import ann, archive, boilerplate, changepoints, embdedup, filteraudit, langid, maxent, mixing, packing, simhash, urllists
 from cognatus.session import shared_path
 
 
@@ -135,6 +135,14 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_ids(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_changepoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changepoints.change_points(table(spark, sf_dir, "sale_lines"), key="vendor_id", value="quantity", at="shipped_at")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -153,6 +161,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": op8_warc,
         "op9_packing": op9_packing,
         "op10_langid": op10_langid,
+        "op11_changepoints": op11_changepoints,
+        "op13_filter_audit": op13_filter_audit,
         "pipeline": pipeline,
     }
 
@@ -205,5 +215,83 @@ SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM c
 """
 
 
+#: Day by day: b is a list of (cost, segments, start), the best way to each day so far, or null.
+OP11_SQL = """
+WITH RECURSIVE daily AS (
+    SELECT vendor_id, datediff('day', DATE '1970-01-01', CAST(shipped_at AS DATE)) AS d, CAST(sum(quantity) AS HUGEINT) AS s
+    FROM sale_lines WHERE quantity IS NOT NULL AND shipped_at IS NOT NULL GROUP BY ALL
+), spans AS (SELECT vendor_id, min(d) AS first, max(d) - min(d) + 1 AS n FROM daily GROUP BY vendor_id
+), filled AS (
+    SELECT p.vendor_id, p.first, p.n, u.k, coalesce(daily.s, 0) AS s FROM spans p, unnest(range(p.n)) AS u(k)
+    LEFT JOIN daily ON daily.vendor_id IS NOT DISTINCT FROM p.vendor_id AND daily.d = p.first + u.k
+), sums AS (
+    SELECT vendor_id, first, n, k, sum(s) OVER w AS s, sum(s * s) OVER w AS q FROM filled WINDOW w AS (PARTITION BY vendor_id ORDER BY k)
+), series AS (
+    SELECT vendor_id, first, n, list_prepend(0::HUGEINT, list(s::HUGEINT ORDER BY k)) AS s, list_prepend(0::HUGEINT, list(q::HUGEINT ORDER BY k)) AS q
+    FROM sums GROUP BY vendor_id, first, n
+), edges AS (
+    SELECT vendor_id, i, j, (n * q - s * s) // (n * n) + 1 AS v, n, s AS total FROM (
+        SELECT vendor_id, i.i, j.j, (j.j - i.i)::HUGEINT AS n, x.s[j.j + 1] - x.s[i.i + 1] AS s, x.q[j.j + 1] - x.q[i.i + 1] AS q
+        FROM series x, unnest(range(x.n)) AS i(i), unnest(range(x.n + 1)) AS j(j)
+        WHERE (j.j - i.i >= 14 OR i.i = 0 AND j.j = x.n) AND (i.i = 0 OR i.i >= 14) AND (j.j = x.n OR j.j <= x.n - 14))
+), costs AS (SELECT *, CAST(n * floor(1000 * ln(v::DOUBLE)) AS BIGINT) AS cost FROM edges
+), into_day AS (SELECT vendor_id, j, list({'i': i, 'cost': cost} ORDER BY i) AS e FROM costs GROUP BY vendor_id, j
+), ways AS (
+    SELECT vendor_id, n, 0 AS j, [{'cost': 0::BIGINT, 'k': 0, 'i': -1}] AS b FROM series
+    UNION ALL
+    SELECT w.vendor_id, w.n, w.j + 1, list_append(w.b, CASE WHEN e.e IS NOT NULL THEN list_sort(list_transform(
+        list_filter(e.e, lambda x: w.b[x.i + 1] IS NOT NULL),
+        lambda x: {'cost': w.b[x.i + 1].cost + x.cost + CASE WHEN x.i > 0 THEN 40000 ELSE 0 END, 'k': w.b[x.i + 1].k + 1, 'i': x.i::INTEGER}))[1] END)
+    FROM ways w LEFT JOIN into_day e ON e.vendor_id IS NOT DISTINCT FROM w.vendor_id AND e.j = w.j + 1 WHERE w.j < w.n
+), done AS (SELECT vendor_id, n, b, b[n + 1].cost AS best_cost, b[n + 1].k AS n_segments FROM ways WHERE j = n
+), cuts AS (
+    SELECT vendor_id, b, best_cost, n_segments, n_segments AS no, b[n + 1].i AS i, n AS j FROM done
+    UNION ALL SELECT vendor_id, b, best_cost, n_segments, no - 1, b[i + 1].i, i FROM cuts WHERE i > 0
+)
+SELECT c.vendor_id, CAST(c.no AS INT) AS segment_no, CAST(p.first + c.i AS BIGINT) AS first_day, CAST(e.n AS BIGINT) AS n_days,
+       CAST(e.total AS BIGINT) AS total, CAST(e.v AS BIGINT) AS spread, e.cost, CAST(c.n_segments AS BIGINT) AS n_segments, c.best_cost
+FROM cuts c JOIN costs e ON e.vendor_id IS NOT DISTINCT FROM c.vendor_id AND e.i = c.i AND e.j = c.j
+JOIN spans p ON p.vendor_id IS NOT DISTINCT FROM c.vendor_id
+"""
+OP13_SQL = r"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), f AS (
+    SELECT part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+           100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+           coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e,
+           EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1) AS good,
+           EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.toxic = 1) AS toxic
+    FROM d
+), m AS (SELECT part, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS m, count(*) AS n, sum(good::INT) AS good, sum(toxic::INT) AS toxic FROM f GROUP BY ALL
+), o(o) AS (
+    SELECT '' UNION ALL SELECT o || x FROM o, unnest(['A', 'B', 'C', 'D', 'E']) AS l(x) WHERE NOT contains(o, x)
+), s AS (
+    SELECT o AS filter_order, k AS step, substr(o, k, 1) AS x, list_sum(list_transform(range(1, k), lambda i: 1 << (ord(substr(o, i, 1)) - 65)))::INT AS before,
+           1 << (ord(substr(o, k, 1)) - 65) AS own FROM o, range(1, 6) AS r(k) WHERE length(o) = 5
+), z AS (
+    SELECT part, filter_order, step, x, sum(CASE WHEN m & own = 0 AND m & coalesce(before, 0) = 0 THEN n ELSE 0 END) AS kept,
+           sum(CASE WHEN m & own > 0 AND m & coalesce(before, 0) = 0 THEN n ELSE 0 END) AS removed,
+           sum(CASE WHEN m & own > 0 AND m & coalesce(before, 0) > 0 THEN n ELSE 0 END) AS redundant,
+           sum(CASE WHEN m = own THEN n ELSE 0 END) AS unique_fails,
+           sum(CASE WHEN m & own > 0 AND m & coalesce(before, 0) = 0 THEN good ELSE 0 END) AS good_lost,
+           sum(CASE WHEN m & own > 0 AND m & coalesce(before, 0) = 0 THEN toxic ELSE 0 END) AS toxic_lost
+    FROM m, s GROUP BY part, filter_order, step, x
+)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
+FROM z
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ann": OP1_SQL, "op2_embdedup": OP2_SQL, "op4_urllists": OP4_SQL, "op7_html": OP7_SQL, "op8_warc": OP8_SQL}
+    return {
+        "op1_ann": OP1_SQL,
+        "op2_embdedup": OP2_SQL,
+        "op4_urllists": OP4_SQL,
+        "op7_html": OP7_SQL,
+        "op8_warc": OP8_SQL,
+        "op11_changepoints": OP11_SQL,
+        "op13_filter_audit": OP13_SQL,
+    }
