@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cognatus.functions.text import SPACE
-from cognatus.llm import ann, archive, boilerplate, changepoints, embdedup, filteraudit, langid, maxent, mixing, packing, simhash, urllists
+from cognatus.llm import ann, archive, boilerplate, changepoints, embdedup, filteraudit, langid, maxent, mixing, packing, simhash, suffixdedup, urllists
 from cognatus.session import shared_path
 
 
@@ -139,6 +139,12 @@ def op11_changepoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changepoints.change_points(table(spark, sf_dir, "sale_lines"), key="vendor_id", value="quantity", at="shipped_at")
 
 
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixdedup.repeated_strings(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["length"])
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -162,6 +168,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_packing": op9_packing,
         "op10_langid": op10_langid,
         "op11_changepoints": op11_changepoints,
+        "op12_repeats": op12_repeats,
         "op13_filter_audit": op13_filter_audit,
         "pipeline": pipeline,
     }
@@ -253,6 +260,28 @@ SELECT c.vendor_id, CAST(c.no AS INT) AS segment_no, CAST(p.first + c.i AS BIGIN
 FROM cuts c JOIN costs e ON e.vendor_id IS NOT DISTINCT FROM c.vendor_id AND e.i = c.i AND e.j = c.j
 JOIN spans p ON p.vendor_id IS NOT DISTINCT FROM c.vendor_id
 """
+#: Bytes as pairs of hexadecimal digits.
+OP12_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), c AS (SELECT doc_id, base, substr(h, 2 * base + 1, 498) AS h FROM d, unnest(range(0, CAST(length(h) // 2 - 49 AS BIGINT), 200)) AS u(base)
+), g AS (
+    SELECT doc_id, base + p AS p, min(doc_id) OVER (PARTITION BY substr(h, 2 * p + 1, 100)) AS first
+    FROM c, unnest(range(CAST(length(h) // 2 - 49 AS BIGINT))) AS u(p)
+), r AS (
+    SELECT doc_id, p, p > coalesce(max(p + 50) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS new
+    FROM g WHERE doc_id > first
+), n AS (SELECT doc_id, p, sum(CAST(new AS INT)) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM r
+), spans AS (SELECT doc_id, k, min(p) AS a, max(p) + 50 AS b FROM n GROUP BY doc_id, k
+), pieces AS (
+    SELECT doc_id, k, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY k), 0) AS start FROM spans
+), left_over AS (
+    SELECT doc_id, string_agg(substr(h, 2 * start + 1, 2 * (a - start)), '' ORDER BY k) AS kept, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS tail
+    FROM pieces JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN kept IS NULL THEN h ELSE kept || substr(h, 2 * tail + 1) END)) AS kept_sha256
+FROM d LEFT JOIN left_over USING (doc_id)
+"""
 OP13_SQL = r"""
 WITH RECURSIVE d AS (
     SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -293,5 +322,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_html": OP7_SQL,
         "op8_warc": OP8_SQL,
         "op11_changepoints": OP11_SQL,
+        "op12_repeats": OP12_SQL,
         "op13_filter_audit": OP13_SQL,
     }
