@@ -28,11 +28,12 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cognatus.llm.text import give_back, ragged, small_batches
@@ -358,6 +359,18 @@ def _results(table: pa.Table, known: Known, plan: Plan) -> pa.Table:
 # -- the whole ----------------------------------------------------------------------------------
 
 
+@contextmanager
+def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Within, Spark deletes a query's shuffle files as soon as its table is written, instead of some time later."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def _bucketed(docs: DataFrame, id_col: str, text_col: str, part_bytes: int) -> tuple[DataFrame, str]:
     """Distinct texts ``(m, text, digest, part)`` with their least ids, bucketed by part; and the table's name."""
     spark = docs.sparkSession
@@ -405,12 +418,13 @@ def repeated_strings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     small_batches(spark)
     plan = Plan(width)
-    texts, name = _bucketed(docs, id_col, text_col, part_bytes)
-    back, tables = None, []
-    for number, send in enumerate((seeds, cores, windows), 1):
-        tables.append(materialize(judge(_round(send, texts, back, plan, SENT), number), "ranks", compression="zstd"))
-        back = tables[-1] if back is None else back.unionByName(tables[-1])
-    found = materialize(_round(_results, texts, back, plan, RESULT), "repeats")
+    with shuffles_deleted(spark):
+        texts, name = _bucketed(docs, id_col, text_col, part_bytes)
+        back, tables = None, []
+        for number, send in enumerate((seeds, cores, windows), 1):
+            tables.append(materialize(judge(_round(send, texts, back, plan, SENT), number), "ranks", compression="zstd"))
+            back = tables[-1] if back is None else back.unionByName(tables[-1])
+        found = materialize(_round(_results, texts, back, plan, RESULT), "repeats")
     for table in tables:
         discard(table)
     spark.sql(f"DROP TABLE {name}")
