@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from cognatus.functions import similarity, text
 from cognatus.operators.graph import connected_components
-from cognatus.plans import pipeline, scoring, store, tiers, verify
-from cognatus.session import materialize, spread
+from cognatus.plans import incremental, pipeline, scoring, store, tiers, verify
+from cognatus.session import materialize, shared_path, spread
 from cognatus.sources import lists
 
 
@@ -369,6 +369,26 @@ def message_search_counts(spark, d):
     return store.search_counts(found, hashes(spark, d).where("detection_type < 4"))
 
 
+def incremental_components(spark, d):
+    """New links over stored groups, which count as single vertices: here the commits of types 1 to 3, a group per subject."""
+    rows, edges = _linked(spark, d)
+    stored = materialize(hashes(spark, d).where("detection_type < 4"), "stored")
+    found = incremental.incremental_components(rows.select("sha"), materialize(edges.select("src", "dst"), "edges"), stored)
+    return found.join(rows.select("sha"), "sha", "left_semi")
+
+
+def store_appends(spark, d):
+    """A store on disk after a whole save and three appends: rows put over others, rows deleted, and some of these put again."""
+    old = hashes(spark, d)
+    kept = store.Store.create(spark, shared_path(spark, "store"))
+    kept.save(old, spark.createDataFrame([], store.STATE_SCHEMA))
+    kept.append(old.where("group_id % 2 = 0").select("sha", (F.col("group_id") + 1).alias("group_id"), F.lit(1).alias("detection_type"), F.lit(0.9).alias("similarity")))
+    gone = old.where("detection_type = 5")
+    kept.append(old.limit(0), gone.select("sha"))
+    kept.append(gone.where("group_id % 3 = 0").select("sha", F.lit(7).cast("long").alias("group_id"), "detection_type", F.lit(None).cast("double").alias("similarity")))
+    return kept.hashes
+
+
 def text_fields(spark, d):
     """Small functions of text on all documents: whole numbers, sizes, hashes and their bytes, stripped names."""
     n = F.col("doc_id")
@@ -393,7 +413,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         evidence_min_type, run_counters, assign_group_ids, upsert_hashes, stats_totals, type_histogram, group_size_stats, top5_groups, group_list,
         member_list, group_blacklist_state, prefix_lookup, siblings, same_group, message_search, blacklist_anti, distinct_union, toggle_blacklist,
         patch_header_extract, patch_compliance, full_save, patch_contraction, seed_stars, rescan_set, checkpoint_upsert, compliance_totals,
-        point_lookup, lookup_targets, first_match, message_search_counts, text_fields,
+        point_lookup, lookup_targets, first_match, message_search_counts, text_fields, incremental_components, store_appends,
     )
 } | {"connected_components": components}
 
@@ -617,6 +637,13 @@ ORACLE: dict[str, str] = {
     "first_match": f"WITH {HASHES} SELECT group_id, sha FROM seen WHERE sha LIKE 'c%' ORDER BY sha LIMIT 1",
     "message_search_counts": f"""WITH {COMMITS}, {HASHES}, hit AS (SELECT sha FROM commits WHERE regexp_matches(subject || chr(10) || chr(10) || body, '(?im)license|copyright'))
         SELECT (SELECT count(*) FROM hit) AS matches, (SELECT count(*) FROM hashes WHERE detection_type < 4 AND sha IN (SELECT sha FROM hit)) AS stored""",
+    "incremental_components": f"""{BASE}, {HASHES}, kept AS (SELECT sha, group_id FROM hashes WHERE detection_type < 4),
+        seeds AS (SELECT min(sha) OVER (PARTITION BY group_id) AS src, sha AS dst FROM kept), {_closure("tags", "tier3", "tier5", "seeds")}
+        SELECT sha, component FROM comp""",
+    "store_appends": f"""WITH {HASHES}
+        SELECT sha, 7 AS group_id, detection_type, CAST(NULL AS DOUBLE) AS similarity FROM hashes WHERE detection_type = 5 AND group_id % 3 = 0
+        UNION ALL SELECT sha, CASE WHEN group_id % 2 = 0 THEN group_id + 1 ELSE group_id END, CASE WHEN group_id % 2 = 0 THEN 1 ELSE detection_type END,
+                  CASE WHEN group_id % 2 = 0 THEN 0.9 ELSE similarity END FROM hashes WHERE detection_type <> 5""",
     "text_fields": """WITH b AS (SELECT doc_id, sha1(CAST(doc_id AS VARCHAR)) AS sha, source, CAST(coalesce(n_chars, 0) * coalesce(n_chars, 0) * 64 AS DOUBLE) AS bytes FROM documents)
         SELECT doc_id, CAST(CASE WHEN doc_id % 3 = 0 THEN doc_id ELSE 0 END AS BIGINT) AS number,
                CASE WHEN bytes < 1024 THEN printf('%.2f B', bytes) WHEN bytes < 1048576 THEN printf('%.2f KB', bytes / 1024) WHEN bytes < 1073741824 THEN printf('%.2f MB', bytes / 1048576)

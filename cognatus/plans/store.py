@@ -1,17 +1,23 @@
-"""The stored clusters: versioned Parquet tables behind one pointer, and all queries on them.
-
-A store is a folder of version folders, each with ``hashes`` and ``state``, and a file ``CURRENT``
-that names the version in force. A save writes a whole version first and replaces the pointer
-last, so readers see the old tables or the new ones. ``hashes`` is laid out by hash, for point and
-prefix lookups by row-group statistics.
+"""The stored clusters: runs of Parquet files behind numbered manifests, and all queries on them.
+
+A store is a folder of runs and manifests. A run holds rows by hash, each put or deleted; a
+manifest names the runs in force, oldest first, and the state. A newer run's row takes the place
+of an older one's. A save writes its own rows as a run and then a manifest with the next number, which only one writer
+can, so readers see the old rows or the new ones and of two writers one learns of the other. Small runs at the
+end are merged into one when a save makes them a fourth of the run before, so bytes written follow
+the records, times the logarithm of how many there are. Runs are laid out by hash, for point and prefix
+lookups by row-group statistics.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +26,10 @@ from cognatus.sources import lists
 
 HASHES_SCHEMA = "sha string, group_id long, detection_type int, similarity double"
 STATE_SCHEMA = "key string, value string"
+#: A run's rows: with a fingerprint of the commit's subject, by which a scan finds what new commits may link with.
+RUN_SCHEMA = f"{HASHES_SCHEMA}, subject_key long, deleted boolean"
+#: Runs are merged unless each is so many times as large as all after it.
+GROWTH = 4
 # The threshold, the checkpoint's key, and the tiers' two vocabularies.
 MIN_SIMILARITY = 0.75
 LAST_COMMIT = "last_commit"
@@ -205,6 +215,39 @@ def search_messages(commits: DataFrame, pattern: str) -> DataFrame:
     return commits.where(F.concat_ws("\n\n", "subject", "body").rlike(f"(?im){pattern}")).select("sha").distinct()
 
 
+def subject_key(subject: Column | str) -> Column:
+    """What stands for a subject in a run; equal subjects have equal keys."""
+    return F.xxhash64(F.col(subject) if isinstance(subject, str) else subject)
+
+
+def merged(runs: list[DataFrame]) -> DataFrame:
+    """Rows of runs given oldest first, each hash with its newest row, deleted ones among them.
+
+    The oldest run, by far the largest, is only read past the hashes of the newer ones; it is not shuffled
+    while those are few enough for the planner to broadcast them.
+    """
+    if len(runs) == 1:
+        return runs[0]
+    columns = runs[0].columns
+    newer = runs[1].withColumn("__at", F.lit(1))
+    for k, run in enumerate(runs[2:], 2):
+        newer = newer.unionByName(run.withColumn("__at", F.lit(k)))
+    if len(runs) > 2:
+        last = newer.groupBy("sha").agg(F.max_by(F.struct(*columns[1:]), "__at").alias("__row"))
+        newer = last.select("sha", "__row.*")
+    return runs[0].join(newer.select("sha"), "sha", "left_anti").select(columns).unionByName(newer.select(columns))
+
+
+def first_to_merge(sizes: list[int]) -> int:
+    """Place of the oldest run, of runs of these bytes, that is to be merged with all after it; the last one's if none is."""
+    after, first = sizes[-1], len(sizes) - 1
+    for k in range(len(sizes) - 2, -1, -1):
+        if sizes[k] < GROWTH * after:
+            first = k
+        after += sizes[k]
+    return first
+
+
 @dataclass
 class Store:
     """A store in force. ``exclusions`` is the path of the exclusion list, if any."""
@@ -216,69 +259,133 @@ class Store:
     @classmethod
     def open(cls, spark: SparkSession, path: str, exclusions: str | None = None) -> Store:
         """An existing store; raises :class:`LookupFailed` if there is none."""
-        if not lists.exists(spark, f"{path}/CURRENT"):
+        store = cls(spark, path, exclusions)
+        if store.version() is None:
             raise LookupFailed(f"no store at {path}")
-        return cls(spark, path, exclusions)
+        return store
 
     @classmethod
     def create(cls, spark: SparkSession, path: str, exclusions: str | None = None) -> Store:
         """The store at ``path``, made empty if there is none."""
         store = cls(spark, path, exclusions)
-        if not lists.exists(spark, f"{path}/CURRENT"):
-            store.save(spark.createDataFrame([], HASHES_SCHEMA), spark.createDataFrame([], STATE_SCHEMA))
+        if store.version() is None:
+            store._commit(1, [], {})
         return store
 
-    def _version(self) -> str:
-        fs, p = lists._file(self.spark, f"{self.path}/CURRENT")
-        stream = fs.open(p)
+    # -- manifests
+
+    def _versions(self) -> list[int]:
+        found = [re.fullmatch(r"m-(\d+)\.json", name) for name in lists.names(self.spark, self.path)]
+        return sorted(int(m[1]) for m in found if m)
+
+    def version(self) -> int | None:
+        """Number of the manifest in force; None before the first save."""
+        return max(self._versions(), default=None)
+
+    def _manifest(self, version: int | None = None) -> dict:
+        version = version or self.version()
+        return json.loads(lists.read_text(self.spark, f"{self.path}/m-{version:012d}.json"))
+
+    def _commit(self, version: int, runs: list[dict], state: dict[str, str]) -> None:
+        """Put a manifest in force, or raise :class:`Conflict` if its number is taken; then delete what the last two do not name.
+
+        Runs are named by the version they are written for, so those of a later one under way are left alone.
+        """
+        if not lists.write_new(self.spark, f"{self.path}/m-{version:012d}.json", json.dumps({"runs": runs, "state": state})):
+            for run in runs:
+                if run["name"].startswith(f"v-{version:012d}-"):
+                    lists.delete(self.spark, f"{self.path}/{run['name']}")
+            raise Conflict(f"the store at {self.path} has changed since version {version - 1}")
+        kept = {run["name"] for run in runs}
+        for old in self._versions():
+            if old == version - 1:
+                kept |= {run["name"] for run in self._manifest(old)["runs"]}
+            elif old < version:
+                lists.delete(self.spark, f"{self.path}/m-{old:012d}.json")
+        for name in lists.names(self.spark, self.path):
+            made = re.match(r"v-(\d+)-", name)
+            if made and int(made[1]) <= version and name not in kept:
+                lists.delete(self.spark, f"{self.path}/{name}")
+
+    def _write_run(self, rows: DataFrame, version: int) -> dict:
+        name = f"v-{version:012d}-{uuid.uuid4().hex}"
+        columns = [f.split()[0] for f in RUN_SCHEMA.split(", ")]
         try:
-            return bytes(stream.readAllBytes()).decode().strip()
-        finally:
-            stream.close()
+            rows.select(columns).repartitionByRange("sha").sortWithinPartitions("sha").write.parquet(f"{self.path}/{name}")
+            return {"name": name, "bytes": lists.size(self.spark, f"{self.path}/{name}")}
+        except (PySparkException, Py4JJavaError) as failed:
+            lists.delete(self.spark, f"{self.path}/{name}")
+            if (self.version() or 0) >= version:  # the writer who was first has deleted what was under way for this version
+                raise Conflict(f"the store at {self.path} has changed since version {version - 1}") from failed
+            raise
+
+    def _runs(self, runs: list[dict]) -> list[DataFrame]:
+        return [self.spark.read.schema(RUN_SCHEMA).parquet(f"{self.path}/{run['name']}") for run in runs]
+
+    # -- tables
+
+    @property
+    def indexed(self) -> DataFrame:
+        """``(sha, group_id, detection_type, similarity, subject_key)``; the key is null where the subject is not known."""
+        runs = self._runs(self._manifest()["runs"])
+        if not runs:
+            return self.spark.createDataFrame([], RUN_SCHEMA).drop("deleted")
+        return merged(runs).where(~F.col("deleted")).drop("deleted")
 
     @property
     def hashes(self) -> DataFrame:
-        return self.spark.read.schema(HASHES_SCHEMA).parquet(f"{self.path}/{self._version()}/hashes")
+        return self.indexed.drop("subject_key")
 
     @property
     def state(self) -> DataFrame:
-        return self.spark.read.schema(STATE_SCHEMA).parquet(f"{self.path}/{self._version()}/state")
+        return self.spark.createDataFrame(sorted(self._manifest()["state"].items()), STATE_SCHEMA)
 
     @property
     def excluded(self) -> DataFrame:
         return lists.read_exclusions(self.spark, self.exclusions)
 
     def last_commit(self) -> str | None:
-        row = self.state.where(F.col("key") == LAST_COMMIT).first()
-        return row["value"] if row else None
+        return self._manifest()["state"].get(LAST_COMMIT)
 
-    def version(self) -> str | None:
-        """The version in force; None before the first save."""
-        return self._version() if lists.exists(self.spark, f"{self.path}/CURRENT") else None
+    # -- saving
 
-    def save(self, hashes: DataFrame, state: DataFrame, base: str | None = None) -> None:
-        """Write both tables as a new version, point to it, and delete all versions but it and the one before.
+    def append(self, records: DataFrame, removed: DataFrame | None = None, state: dict[str, str] | None = None, base: int | None = None) -> None:
+        """Put ``records`` in place of rows of the same hash, delete the hashes ``removed``, and set keys of the state, in one step.
 
-        ``base`` is the version that the tables were made from; if another is in force by now nothing is saved
-        and :class:`Conflict` is raised. Readers of the version before can finish.
+        ``records`` has the columns of ``hashes`` and perhaps ``subject_key``; a hash in both is put. Only these rows are written, and
+        now and then the small runs before them. ``base`` is the version they were made from; if another is in force
+        by now, or comes first, nothing is saved and :class:`Conflict` is raised. Readers of the version before can finish.
         """
-        before, version = self.version(), f"v-{uuid.uuid4().hex}"
-        hashes.select("sha", "group_id", "detection_type", "similarity").repartitionByRange("sha").sortWithinPartitions("sha").write.parquet(f"{self.path}/{version}/hashes")
-        state.select("key", "value").coalesce(1).write.parquet(f"{self.path}/{version}/state")
-        if base is not None and self.version() != base:
-            fs, own = lists._file(self.spark, f"{self.path}/{version}")
-            fs.delete(own, True)
-            raise Conflict(f"the store at {self.path} has changed since {base}")
-        fs, fresh = lists._file(self.spark, f"{self.path}/CURRENT.{version}")
-        stream = fs.create(fresh, True)
-        stream.write(bytearray(version.encode()))
-        stream.close()
-        lists.replace(self.spark, fresh.toString(), f"{self.path}/CURRENT")
-        _, folder = lists._file(self.spark, self.path)
-        for entry in fs.listStatus(folder):
-            name = entry.getPath().getName()
-            if name.startswith("v-") and name not in (version, before):
-                fs.delete(entry.getPath(), True)
+        now = self.version()
+        if base is not None and now != base:
+            raise Conflict(f"the store at {self.path} has changed since version {base}")
+        manifest, version = self._manifest(now), now + 1
+        if "subject_key" not in records.columns:
+            records = records.withColumn("subject_key", F.lit(None).cast("long"))
+        rows = records.withColumn("deleted", F.lit(False))
+        if removed is not None:
+            gone = removed.select("sha").distinct().join(records.select("sha"), "sha", "left_anti")
+            fields = [f.split() for f in RUN_SCHEMA.split(", ")]
+            rows = rows.unionByName(gone.select("sha", *[F.lit(None).cast(kind).alias(c) for c, kind in fields[1:-1]], F.lit(True).alias("deleted")))
+        own = self._write_run(rows, version)
+        runs = [*manifest["runs"], own]
+        first = first_to_merge([run["bytes"] for run in runs])
+        if first < len(runs) - 1:
+            whole = merged(self._runs(runs[first:]))
+            runs[first:] = [self._write_run(whole if first else whole.where(~F.col("deleted")), version)]
+            lists.delete(self.spark, f"{self.path}/{own['name']}")
+        self._commit(version, runs, manifest["state"] | (state or {}))
+
+    def save(self, hashes: DataFrame, state: DataFrame, base: int | None = None) -> None:
+        """Replace all rows and the state, in one step; ``base`` as for :meth:`append`."""
+        now = self.version()
+        if base is not None and now != base:
+            raise Conflict(f"the store at {self.path} has changed since version {base}")
+        if "subject_key" not in hashes.columns:
+            hashes = hashes.withColumn("subject_key", F.lit(None).cast("long"))
+        version = (now or 0) + 1
+        run = self._write_run(hashes.withColumn("deleted", F.lit(False)), version)
+        self._commit(version, [run], {r["key"]: r["value"] for r in state.collect()})  # a few keys
 
     # -- lookups
 
@@ -317,9 +424,8 @@ class Store:
             return False
 
     def size(self) -> int:
-        """Bytes of the version in force."""
-        fs, p = lists._file(self.spark, f"{self.path}/{self._version()}")
-        return int(fs.getContentSummary(p).getLength())
+        """Bytes of the runs in force."""
+        return sum(run["bytes"] for run in self._manifest()["runs"])
 
     def stats(self) -> dict[str, DataFrame]:
         """Totals, checkpoint, size, types, group sizes and the largest groups, excluded hashes aside."""

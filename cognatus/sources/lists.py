@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +40,59 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """What a folder holds; nothing if there is none."""
+    fs, p = _file(spark, folder)
+    return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def size(spark: SparkSession, path: str) -> int:
+    fs, p = _file(spark, path)
+    return int(fs.getContentSummary(p).getLength())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _file(spark, path)
+    fs.delete(p, True)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, p = _file(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_new(spark: SparkSession, path: str, content: str) -> bool:
+    """Write a file that nobody else has written; False if it is there already. Whoever sees it sees all of it.
+
+    The complete file takes its name in one step: by a hard link on a local disk, else by a rename that
+    does not overwrite, which is atomic where the file system's renames are.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    fs, fresh = _file(spark, f"{path}.{uuid.uuid4().hex}")
+    _, target = _file(spark, path)
+    fs.mkdirs(target.getParent())
+    stream = fs.create(fresh, True)
+    stream.write(bytearray(content.encode()))
+    stream.close()
+    try:
+        if fs.getUri().getScheme() == "file":
+            os.link(fresh.toUri().getPath(), target.toUri().getPath())
+        else:
+            plain = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(fs.makeQualified(fresh), fs.makeQualified(target), plain)
+        return True
+    except (FileExistsError, Py4JJavaError):
+        if not fs.exists(target):
+            raise
+        return False
+    finally:
+        fs.delete(fresh, False)
+
+
 def read_exclusions(spark: SparkSession, path: str | None) -> DataFrame:
     """``(sha)``, distinct, lower-cased and stripped; a missing file is an empty list."""
     if not path or not exists(spark, path):

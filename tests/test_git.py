@@ -150,3 +150,57 @@ def test_incremental_equals_whole(spark, repo, store, tmp_path):
     other = Store.create(spark, f"file://{tmp_path}/other")
     scan(spark, repo.path, other)
     assert groups(other).keys() == groups(store).keys()
+
+
+def partition(store):
+    found = {}
+    for sha, gid in groups(store).items():
+        found.setdefault(gid, set()).add(sha)
+    return sorted(sorted(v) for v in found.values())
+
+
+def test_scan_reads_only_the_subjects_of_new_commits(spark, repo, tmp_path):
+    message, long = "a message of more than thirty characters for all of them", "words of a line " * 20
+    filler = lambda k: repo.commit(f"a{k}.txt", "1\n2\n3\n4", f"Filler of {k}")
+    for k in range(3):
+        for turn in range(2):
+            filler(k)
+            repo.commit(f"a{k}.txt", f"{long}{turn}", f"Subject {k}\n\n{message}")
+        filler(k)
+    repo.commit("z.txt", "z", "Alone")
+    two = [Store.create(spark, f"file://{tmp_path}/{n}") for n in ("one", "two")]
+    for s in two:
+        scan(spark, repo.path, s)
+    assert partition(two[0]) == partition(two[1]) != []
+    known = s.indexed.where("subject_key IS NULL").count()
+    assert known == 0
+    newest = repo.commit("a2.txt", f"{long}2", f"Subject 2\n\n{message}")
+    report = scan(spark, repo.path, two[0])
+    stored_of_subject = sum(r["group_id"] == groups(two[0])[newest] for r in two[0].hashes.collect()) - 1
+    assert report.read == 1 + stored_of_subject and report.compared == 1 + stored_of_subject
+    whole = scan(spark, repo.path, two[1], rescan=True)
+    assert whole.read > report.read
+    assert partition(two[0]) == partition(two[1]) and newest in groups(two[0])
+    assert {r["sha"]: r["detection_type"] for r in two[0].hashes.collect()} == {r["sha"]: r["detection_type"] for r in two[1].hashes.collect()}
+
+
+def test_a_new_commit_merges_stored_groups(spark, repo, tmp_path):
+    base = repo.commit("base.txt", "base", "Base")
+    picks = []
+    for k, branch in enumerate(("one", "two")):
+        repo.run("checkout", "-q", "-b", branch, base)
+        first = repo.commit(f"{branch}.txt", "line", f"Change {k}")
+        picks.append((first, repo.commit(f"{branch}b.txt", "line", f"Port {k}\n\n(cherry picked from commit {first})")))
+    repo.run("checkout", "-q", "main")
+    repo.run("merge", "-q", "--no-edit", "-s", "ours", "one", "two")
+    one, two = (Store.create(spark, f"file://{tmp_path}/{n}") for n in ("one", "two"))
+    for s in (one, two):
+        s.save(spark.createDataFrame([(x, g, 1, 1.0) for g, pair in enumerate(picks, 1) for x in pair], "sha string, group_id long, detection_type int, similarity double"), s.state)
+        s.append(s.hashes.limit(0), state={"last_commit": repo.run("rev-parse", "HEAD")})
+    bridge = repo.commit("two.txt", "line", f"Bridge\n\n(cherry picked from commit {picks[0][0]})")
+    tail = repo.commit("one.txt", "line", f"Tail\n\n(cherry picked from commit {picks[1][1]})")
+    repo.run("commit", "-q", "--allow-empty", "-m", f"Knot\n\n(cherry picked from commit {bridge})")
+    scan(spark, repo.path, one)
+    scan(spark, repo.path, two, rescan=True)
+    assert partition(one) == partition(two)
+    assert groups(one).get(bridge) in (1, None) and groups(one).get(tail) in (2, None)

@@ -1,5 +1,7 @@
 """Scores, saving, lookups and verification."""
 
+import threading
+
 import pytest
 
 from cognatus.plans import scoring, store, verify
@@ -174,3 +176,68 @@ def test_scores_are_the_same_for_any_tile(spark):
     d = spark.createDataFrame(diffs, "sha string, diff string")
     one, two = ({r["sha"]: r["similarity"] for r in scoring.group_similarity(m, d, **kind).collect()} for kind in ({}, {"tile": 2}))
     assert one == two and len(one) == 16 and 0 == min(one.values()) < max(one.values()) < 1
+
+
+def run_names(s):
+    return [r["name"] for r in s._manifest()["runs"]]
+
+
+def many(spark, n, gid=1):
+    return spark.range(n).selectExpr("sha1(cast(id AS string)) AS sha", f"cast({gid} AS long) AS group_id", "1 AS detection_type", "1.0D AS similarity")
+
+
+def test_appends_write_what_they_put(spark, tmp_path):
+    s = Store.create(spark, f"file://{tmp_path}/s")
+    s.save(many(spark, 50_000), s.state)
+    whole = s.size()
+    (base,) = run_names(s)
+    sha = s.hashes.orderBy("sha").first()["sha"]
+    s.append(rows(spark, [(sha, 9, 2, 0.9), ("f" * 40, 9, 2, 0.8)]), state={"last_commit": SHA[1]})
+    s.append(rows(spark, [("e" * 40, 9, 2, 0.8)]), spark.createDataFrame([("f" * 40,)], "sha string"))
+    assert run_names(s)[0] == base and s.size() - whole < whole / 100
+    got = {r["sha"]: r["group_id"] for r in s.hashes.where("group_id <> 1").collect()}
+    assert got == {sha: 9, "e" * 40: 9}
+    assert s.hashes.count() == 50_001 and s.last_commit() == SHA[1]
+    assert s.hashes.where(f"sha = '{sha}'").collect()[0]["detection_type"] == 2
+
+
+def test_small_runs_are_merged(spark, tmp_path):
+    assert [store.first_to_merge(x) for x in ([5], [100, 10], [39, 10], [1000, 39, 10], [1000, 60, 10, 9], [10, 500])] == [0, 1, 0, 1, 1, 0]
+    s = Store.create(spark, f"file://{tmp_path}/s")
+    for k in range(6):
+        s.append(rows(spark, [(SHA[k], k, 1, 1.0), (SHA[15], k, 1, 1.0)]), spark.createDataFrame([(SHA[k - 1],)], "sha string") if k % 2 else None)
+    assert {r["sha"]: r["group_id"] for r in s.hashes.collect()} == {SHA[1]: 1, SHA[3]: 3, SHA[5]: 5, SHA[15]: 5}
+    assert len(run_names(s)) < 6
+    on_disk = {p.name for p in (tmp_path / "s").glob("v-*")}
+    assert on_disk == set(run_names(s)) | {r["name"] for r in s._manifest(s.version() - 1)["runs"]}
+    assert len(list((tmp_path / "s").glob("m-*"))) == 2
+
+
+def test_of_two_writers_one_learns_of_the_other(spark, tmp_path):
+    s = Store.create(spark, f"file://{tmp_path}/s")
+    results, start = [], threading.Barrier(4)
+
+    def write(k):
+        start.wait()
+        try:
+            s.append(rows(spark, [(SHA[k], k, 1, 1.0)]), base=1)
+            results.append(k)
+        except store.Conflict:
+            results.append(None)
+
+    threads = [threading.Thread(target=write, args=(k,)) for k in range(4)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    won = [k for k in results if k is not None]
+    assert len(results) == 4 and len(won) == 1
+    assert [r["group_id"] for r in s.hashes.collect()] == won and s.version() == 2
+    assert {p.name for p in (tmp_path / "s").glob("v-*")} == set(run_names(s))
+
+
+def test_a_manifest_is_never_overwritten(spark, tmp_path):
+    assert lists.write_new(spark, f"file://{tmp_path}/d/x.json", "one")
+    assert not lists.write_new(spark, f"file://{tmp_path}/d/x.json", "two")
+    assert lists.read_text(spark, f"file://{tmp_path}/d/x.json") == "one"
+    assert lists.names(spark, f"file://{tmp_path}/d") == ["x.json"] and lists.names(spark, f"file://{tmp_path}/none") == []
