@@ -54,8 +54,8 @@ def save_plan(members: DataFrame, scores: DataFrame, types: DataFrame, stored: D
 
 
 def early_edges(commits: DataFrame) -> DataFrame:
-    """Edges of tiers 1 to 4."""
-    strict = materialize(tiers.timestamp_pairs(commits).unionByName(tiers.message_pairs(commits)), "strict")
+    """Edges of tiers 1 to 4; tier 3's are :func:`tiers.message_links`, which connect what its pairs do."""
+    strict = materialize(tiers.timestamp_pairs(commits).unionByName(tiers.message_links(commits)), "strict")
     return materialize(tiers.tag_edges(commits).unionByName(strict).unionByName(tiers.fuzzy_pairs(commits, strict)), "edges")
 
 

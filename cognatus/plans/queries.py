@@ -104,6 +104,12 @@ def tier3_message_pairs(spark, d):
     return tiers.message_pairs(prepared(spark, d)).select("src", "dst")
 
 
+def tier3_components(spark, d):
+    """What tier 3 connects, by its links along the dates instead of all pairs."""
+    rows = prepared(spark, d)
+    return connected_components(rows.select("sha"), tiers.message_links(rows), key="sha")
+
+
 def tier4_fuzzy_pairs(spark, d):
     rows = prepared(spark, d)
     strict = materialize(tiers.timestamp_pairs(rows).unionByName(tiers.message_pairs(rows)), "strict")
@@ -413,7 +419,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         evidence_min_type, run_counters, assign_group_ids, upsert_hashes, stats_totals, type_histogram, group_size_stats, top5_groups, group_list,
         member_list, group_blacklist_state, prefix_lookup, siblings, same_group, message_search, blacklist_anti, distinct_union, toggle_blacklist,
         patch_header_extract, patch_compliance, full_save, patch_contraction, seed_stars, rescan_set, checkpoint_upsert, compliance_totals,
-        point_lookup, lookup_targets, first_match, message_search_counts, text_fields, incremental_components, store_appends,
+        point_lookup, lookup_targets, first_match, message_search_counts, text_fields, incremental_components, store_appends, tier3_components,
     )
 } | {"connected_components": components}
 
@@ -640,6 +646,7 @@ ORACLE: dict[str, str] = {
     "incremental_components": f"""{BASE}, {HASHES}, kept AS (SELECT sha, group_id FROM hashes WHERE detection_type < 4),
         seeds AS (SELECT min(sha) OVER (PARTITION BY group_id) AS src, sha AS dst FROM kept), {_closure("tags", "tier3", "tier5", "seeds")}
         SELECT sha, component FROM comp""",
+    "tier3_components": f"{BASE}, {_closure('tier3')} SELECT sha, component FROM comp",
     "store_appends": f"""WITH {HASHES}
         SELECT sha, 7 AS group_id, detection_type, CAST(NULL AS DOUBLE) AS similarity FROM hashes WHERE detection_type = 5 AND group_id % 3 = 0
         UNION ALL SELECT sha, CASE WHEN group_id % 2 = 0 THEN group_id + 1 ELSE group_id END, CASE WHEN group_id % 2 = 0 THEN 1 ELSE detection_type END,

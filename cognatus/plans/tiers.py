@@ -7,10 +7,11 @@ inside the join; the similarity function runs last, on what is left.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cognatus.functions import similarity, text
+from cognatus.session import materialize
 
 # The tiers' codes, in order of priority, and their thresholds.
 TAG, TIMESTAMP, MESSAGE, FUZZY, PATCH = 1, 2, 3, 4, 5
@@ -94,6 +95,61 @@ def message_pairs(commits: DataFrame) -> DataFrame:
     return edges_of(pairs, "sha_a", "sha_b", MESSAGE)
 
 
+DAY = 86400
+
+
+def _adjacent(levels: DataFrame, keys: list[str], rep: str) -> DataFrame:
+    """``levels`` with ``before`` and ``after``: date and representative of the nearest levels of the keys that have one, on either side.
+
+    Levels are distinct dates of a key. They are ordered within a day, of which there are at most 86,400, and days
+    within a key, so no task sees all of a common key; what a day does not hold is carried over from the days beside it.
+    """
+    mark = F.when(F.col(rep).isNotNull(), F.struct("author_date", F.col(rep).alias("rep")))
+    rows = levels.withColumn("day", F.floor(F.col("author_date") / F.lit(DAY)).cast("long")).withColumn("mark", mark)
+    ahead = lambda by, *order: Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda c, w: F.last(c, ignorenulls=True).over(w)
+    rows = rows.withColumn("left", last("mark", ahead([*keys, "day"], "author_date"))).withColumn("right", last("mark", ahead([*keys, "day"], F.desc("author_date"))))
+    days = rows.groupBy(*keys, "day").agg(F.min("mark").alias("low"), F.max("mark").alias("high"))
+    days = days.withColumn("from_left", last("high", ahead(keys, "day"))).withColumn("from_right", last("low", ahead(keys, F.desc("day"))))
+    rows = rows.join(days.drop("low", "high"), [*keys, "day"])
+    return rows.withColumns({"before": F.coalesce("left", "from_left"), "after": F.coalesce("right", "from_right")}).drop("day", "mark", "left", "right", "from_left", "from_right")
+
+
+def _links_to(rows: DataFrame, levels: DataFrame, keys: list[str], rep: str) -> DataFrame:
+    """``(src, dst)`` from rows to the representatives of the levels beside theirs, at most 75 days away; before 1970, to their own level's as well."""
+    beside = _adjacent(levels, keys, rep)
+    own = F.when(F.col("author_date") < 0, F.struct("author_date", F.col(rep).alias("rep")))
+    to = F.explode(F.array("before", "after", own)).alias("to")
+    met = rows.join(beside, [*keys, "author_date"]).select("sha", "author_date", to)
+    near = met.where((F.abs(F.col("author_date") - F.col("to.author_date")) <= MAX_GAP_SECONDS) & (F.col("sha") != F.col("to.rep")))
+    return near.select(F.least("sha", "to.rep").alias("src"), F.greatest("sha", "to.rep").alias("dst"))
+
+
+def message_links(commits: DataFrame) -> DataFrame:
+    """Tier 3 without its cliques: pairs of :func:`message_pairs`, few of them, that connect the same commits.
+
+    Dates of one subject and message are levels, each with a representative. Per file, a commit is linked with the
+    representatives of the levels next to its own on either side; commits without files agree with all, so they are linked with
+    the levels next to them whatever their files, and every commit with the nearest levels that have such commits. Two levels within 75
+    days have no gap beyond that between them, so what all pairs connect is connected. Links grow with the commits' files, not
+    with the square of a common subject.
+    """
+    rows = commits.where((F.length("cleaned_body") > MIN_BODY) & (F.col("subject") != "") & (F.col("author_date") != 0))
+    key = F.sha2(F.concat("subject", F.lit("\0"), F.sha2("cleaned_body", 256)), 256)
+    files = F.coalesce("files", F.array().cast("array<string>"))
+    rows = materialize(rows.select("sha", "author_date", key.alias("key"), files.alias("files")), "messages")
+    several = rows.groupBy("key").agg(F.min("sha").alias("a"), F.max("sha").alias("b")).where("a <> b").select("key")
+    rows = materialize(rows.join(several, "key", "left_semi"), "messages")
+    by_file = rows.select("sha", "author_date", "key", F.explode(F.array_distinct("files")).alias("file"))
+    file_levels = by_file.groupBy("key", "file", "author_date").agg(F.min("sha").alias("rep"))
+    free = F.size("files") == 0
+    every = rows.groupBy("key", "author_date").agg(F.min("sha").alias("rep"), F.min(F.when(free, F.col("sha"))).alias("free"))
+    alone = rows.select("sha", "author_date", "key")
+    links = _links_to(by_file, file_levels, ["key", "file"], "rep")
+    links = links.union(_links_to(alone, every, ["key"], "free")).union(_links_to(alone.join(rows.where(free).select("sha"), "sha", "left_semi"), every, ["key"], "rep"))
+    return edges_of(links.distinct(), "src", "dst", MESSAGE)
+
+
 def fuzzy_candidates(commits: DataFrame, matched: DataFrame) -> DataFrame:
     """Rows that tiers 2 and 3 left alone, with a message, in subjects that 2 to 50 such rows share."""
     ends = matched.select(F.col("src").alias("sha")).union(matched.select(F.col("dst").alias("sha"))).distinct()

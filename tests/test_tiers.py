@@ -111,3 +111,38 @@ def test_brute_force(spark):
                 if guard(a, b) and min(len(x), len(y)) / max(len(x), len(y)) >= 0.7 and indel_ratio(x, y) >= need:
                     four.add((i, j))
     assert all_tiers(spark, rows) == (two, three, four)
+
+
+def labels(n, pairs):
+    least = list(range(n))
+
+    def root(x):
+        while least[x] != x:
+            x = least[x]
+        return x
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        least[max(a, b)] = min(a, b)
+    return [root(x) for x in range(n)]
+
+
+def test_message_links_connect_what_pairs_do(spark):
+    for seed in range(4):
+        pick = random.Random(seed)
+        dates = [0, -5, -5 + 86400 * 75, 1000, 1000 + 86400 * 30, 1001 + 86400 * 75, 5, 86400 * 200] + [86400 * pick.randint(1, 900) + pick.randint(0, 3) for _ in range(25)]
+        rows = [
+            {"subject": pick.choice(["s", "t", ""]), "cleaned_body": LONG + pick.choice("ab"), "author_date": pick.choice(dates), "files": pick.choice([[], ["a"], ["b"], ["a", "c"], ["d", "b"], ["e"]][: pick.randint(2, 6)])}
+            for _ in range(90)
+        ]
+        c = frame(spark, rows)
+        pairs, links = found(tiers.message_pairs(c)), found(tiers.message_links(c))
+        assert links <= pairs
+        assert labels(len(rows), links) == labels(len(rows), pairs)
+
+
+def test_common_message_takes_linear_links(spark):
+    n = 4000
+    rows = [{"cleaned_body": LONG, "author_date": 1_600_000_000 + 3600 * (i // 2), "files": ["f"] if i % 3 else ["f", "g"]} for i in range(n)]
+    links = found(tiers.message_links(frame(spark, rows)))
+    assert len(links) < 4 * n and set(labels(n, links)) == {0}
