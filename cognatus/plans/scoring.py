@@ -24,8 +24,30 @@ def _rounded_mean(total: pa.Array, count: pa.Array) -> pa.Array:
     return pa.array([round(t / n, 4) for t, n in zip(total.to_pylist(), count.to_pylist(), strict=True)], pa.float64())
 
 
-#: Distinct diffs of a component that a task holds twice at most, of 10,000 characters each.
-TILE = 256
+#: Distinct diffs of a component that a tile holds, and their characters, about: tiles are alike in cost, so the largest component is no longest task.
+TILE, TILE_CHARS = 256, 400_000
+
+
+def _ratios(text: str, packed: list[tuple[int, similarity.Packed]], texts: list[str]) -> list[float]:
+    """The ratios of a diff to those of a tile, packed; pairs that differ little are compared by themselves, past their common ends."""
+    out = [0.0] * len(texts)
+    for first, pack in packed:
+        rest = []
+        for k, other in enumerate(pack.texts, first):
+            if not text or not other:
+                out[k] = float(text == other)
+            elif 2 * sum(ends := similarity.common_ends(text, other)) >= min(len(text), len(other)):
+                out[k] = similarity.ratio_of(text, other, similarity.lcs_length(text, other, ends))
+            else:
+                rest.append(k)
+        if 3 * len(rest) > len(pack.texts):
+            lengths = pack.lcs_lengths(text)
+            for k in rest:
+                out[k] = similarity.ratio_of(text, texts[k], lengths[k - first])
+        else:
+            for k in rest:
+                out[k] = similarity.indel_ratio(text, texts[k])
+    return out
 
 
 def _tile_sums(left: list[tuple], right: list[tuple] | None) -> dict[str, float]:
@@ -34,30 +56,37 @@ def _tile_sums(left: list[tuple], right: list[tuple] | None) -> dict[str, float]
     A row is ``(key, diff, n)``; sums go from the least key to the greatest.
     """
     terms: dict[str, list[tuple[str, float]]] = {}
-    for at, (key, diff, n) in enumerate(left):
-        for other, text, m in right if right is not None else left[at + 1 :]:
-            ratio = similarity.indel_ratio(diff, text) if diff and text else float(diff == text)
+    if right is None:
+        left = sorted(left, key=lambda row: len(row[1]))
+    texts = [diff for _, diff, _ in left]
+    packed = similarity.packs(texts)
+    for at, (other, text, m) in enumerate(left if right is None else right):
+        some = texts[:at] if right is None else texts
+        ratios = _ratios(text, [p for p in packed if p[0] < len(some)], texts)
+        for (key, _, n), ratio in zip(left, ratios[: len(some)], strict=False):
             terms.setdefault(key, []).append((other, ratio * m))
             terms.setdefault(other, []).append((key, ratio * n))
     return {key: sum(x for _, x in sorted(own)) for key, own in terms.items()}
 
 
-def group_similarity(members: DataFrame, diffs: DataFrame, tile: int = TILE) -> DataFrame:
+def group_similarity(members: DataFrame, diffs: DataFrame, tile: int = TILE, chars: int = TILE_CHARS) -> DataFrame:
     """``(sha, similarity)`` for the members of components of two or more.
 
     The mean ratio of the member's diff to its peers', to four places. Members with equal
     diffs are compared once: a component's distinct diffs are compared, weighted by how many
     members have each, so a component of copies costs one row and no pair. A component of more
-    than ``tile`` distinct diffs is dealt to tiles; a diff travels once to each pair of tiles
+    than ``tile`` distinct diffs, or more than ``chars`` characters, is dealt to tiles; a diff travels once to each pair of tiles
     it is in, never once a pair of diffs.
     """
     diff = F.coalesce(F.substring("diff", 1, similarity.DIFF_PREFIX), F.lit(""))
     rows = members.join(diffs.select("sha", "diff"), "sha", "left").select("sha", "component", diff.alias("diff"))
     rows = materialize(rows.withColumn("key", F.sha2("diff", 256)), "diffs")
     kinds = rows.groupBy("component", "key").agg(F.count(F.lit(1)).alias("n"), F.first("diff").alias("diff"))
-    sizes = rows.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.count_distinct("key").alias("kinds")).where("size > 1")
-    kinds = kinds.join(sizes, "component")
-    dealt = kinds.where("kinds > 1").withColumn("t", F.ceil(F.col("kinds") / F.lit(tile)).cast("int"))
+    sizes = rows.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    wide = kinds.groupBy("component").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.length("diff")).alias("chars"))
+    kinds = kinds.join(sizes.join(wide, "component"), "component")
+    tiles = F.greatest(F.ceil(F.col("kinds") / F.lit(tile)), F.least(F.ceil(F.col("chars") / F.lit(chars)), F.col("kinds")))
+    dealt = kinds.where("kinds > 1").withColumn("t", tiles.cast("int"))
     dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("key"), F.col("t")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
     dealt = dealt.select("component", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "salt", "key", "diff", "n")
 

@@ -174,8 +174,8 @@ def test_scores_are_the_same_for_any_tile(spark):
     diffs = [(SHA[i], "abcdefgh"[: i % 5 + 2] * (i % 3 + 1)) for i in range(15)]
     m = spark.createDataFrame(members, "sha string, component string")
     d = spark.createDataFrame(diffs, "sha string, diff string")
-    one, two = ({r["sha"]: r["similarity"] for r in scoring.group_similarity(m, d, **kind).collect()} for kind in ({}, {"tile": 2}))
-    assert one == two and len(one) == 16 and 0 == min(one.values()) < max(one.values()) < 1
+    one, two, three = ({r["sha"]: r["similarity"] for r in scoring.group_similarity(m, d, **kind).collect()} for kind in ({}, {"tile": 2}, {"tile": 5, "chars": 20}))
+    assert one == two == three and len(one) == 16 and 0 == min(one.values()) < max(one.values()) < 1
 
 
 def run_names(s):
