@@ -108,3 +108,19 @@ def human_size(size: Column | str) -> Column:
     for k, unit in reversed(list(enumerate(("B", "KB", "MB", "GB")))):
         out = F.when(size < float(1 << (10 * (k + 1))), F.format_string(f"%.2f {unit}", size / float(1 << (10 * k)))).otherwise(out)
     return out
+
+
+#: Lines of a file's part of a diff that name no content: blob names, places of hunks, missing ends of line. UNIX lines, for content may hold carriage returns.
+PLACE_LINE = r"(?md)^(?:index |@@ -|\\ ).*$"
+
+
+def patch_id(diff: Column | str) -> Column:
+    """What a raw diff changes, whatever the order of its files, white space, and where the lines stand; null for no file.
+
+    Each file's part is a digest of its lines, hunks' places and blob names left out and white space removed; the parts are put in order.
+    Diffs get equal ids if they get equal ones of git's ``patch-id --stable``.
+    """
+    parts = F.split(F.concat(F.lit("\n"), _col(diff)), "\ndiff --git ")
+    files = F.slice(parts, 2, F.size(parts))
+    named = F.transform(files, lambda part: F.sha1(F.regexp_replace(F.regexp_replace(part, PLACE_LINE, ""), "[ \\t-\\r]+", "")))
+    return F.when(F.size(files) > 0, F.sha1(F.array_join(F.array_sort(named), "")))

@@ -179,7 +179,7 @@ def scan(spark: SparkSession, repo: str, store: Store, *, full_history: bool = F
         return None
     read = lambda shas: git.clean_commits(git.read_given(shas, repo, "commits"))
     fetch = (
-        lambda shas: git.read_given(shas, repo, "patch_ids"),
+        lambda shas: git.patch_ids_of(git.read_given(shas, repo, "diffs")),
         lambda shas: git.clean_diffs(git.read_given(shas, repo, "diffs")),
     )
     if full_history or rescan:

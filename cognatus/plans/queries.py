@@ -395,6 +395,23 @@ def store_appends(spark, d):
     return kept.hashes
 
 
+def raw_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, diff)``: documents as added lines of one file beside a second one, in turns; every other one stands elsewhere, in other white space."""
+    n, t = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    place = F.concat(F.lit("@@ -"), n.cast("string"), F.lit(",3 +"), (n + 1).cast("string"), F.lit(" @@ f()\n"))
+    spaced = F.when(n % 2 == 0, F.regexp_replace(t, " ", "  ")).otherwise(t)
+    one = F.concat(F.lit("diff --git a/x b/x\nindex "), F.substring(sha_of(n), 1, 7), F.lit("..0 100644\n--- a/x\n+++ b/x\n"), place, F.lit("+"), F.replace(spaced, F.lit("\n"), F.lit("\n+")), F.lit("\n\\ No newline at end of file\n"))
+    two = F.concat(F.lit("diff --git a/y b/y\nnew file mode 100644\n--- /dev/null\n+++ b/y\n"), place, F.lit("+"), F.coalesce("source", F.lit("")), F.lit("\n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(n % 3 == 0, F.concat(two, one)).otherwise(F.concat(one, two)).alias("diff"))
+
+
+def patch_id_of_diff(spark, d):
+    """Which documents' diffs change the same: each with the least document of its patch id."""
+    rows = materialize(raw_diffs(spark, d).select("doc_id", text.patch_id("diff").alias("patch_id")), "ids")
+    first = rows.groupBy("patch_id").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    return rows.join(first, "patch_id").select("doc_id", "patch_id", "first_id", "n")
+
+
 def text_fields(spark, d):
     """Small functions of text on all documents: whole numbers, sizes, hashes and their bytes, stripped names."""
     n = F.col("doc_id")
@@ -419,7 +436,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         evidence_min_type, run_counters, assign_group_ids, upsert_hashes, stats_totals, type_histogram, group_size_stats, top5_groups, group_list,
         member_list, group_blacklist_state, prefix_lookup, siblings, same_group, message_search, blacklist_anti, distinct_union, toggle_blacklist,
         patch_header_extract, patch_compliance, full_save, patch_contraction, seed_stars, rescan_set, checkpoint_upsert, compliance_totals,
-        point_lookup, lookup_targets, first_match, message_search_counts, text_fields, incremental_components, store_appends, tier3_components,
+        point_lookup, lookup_targets, first_match, message_search_counts, text_fields, incremental_components, store_appends, tier3_components, patch_id_of_diff,
     )
 } | {"connected_components": components}
 
@@ -647,6 +664,13 @@ ORACLE: dict[str, str] = {
         seeds AS (SELECT min(sha) OVER (PARTITION BY group_id) AS src, sha AS dst FROM kept), {_closure("tags", "tier3", "tier5", "seeds")}
         SELECT sha, component FROM comp""",
     "tier3_components": f"{BASE}, {_closure('tier3')} SELECT sha, component FROM comp",
+    "patch_id_of_diff": r"""WITH d AS (
+            SELECT doc_id, '+' || replace(coalesce(text, ''), chr(10), chr(10) || '+') AS t, coalesce(source, '') AS s FROM documents
+        ), files AS (
+            SELECT doc_id, sha1(regexp_replace('a/x b/x --- a/x +++ b/x ' || t, '[ \t-\r]+', '', 'g')) AS one,
+                   sha1(regexp_replace('a/y b/y new file mode 100644 --- /dev/null +++ b/y +' || s, '[ \t-\r]+', '', 'g')) AS two FROM d
+        ), ids AS (SELECT doc_id, sha1(least(one, two) || greatest(one, two)) AS patch_id FROM files)
+        SELECT doc_id, patch_id, min(doc_id) OVER (PARTITION BY patch_id) AS first_id, count(*) OVER (PARTITION BY patch_id) AS n FROM ids""".replace("\\\\", "\\"),
     "store_appends": f"""WITH {HASHES}
         SELECT sha, 7 AS group_id, detection_type, CAST(NULL AS DOUBLE) AS similarity FROM hashes WHERE detection_type = 5 AND group_id % 3 = 0
         UNION ALL SELECT sha, CASE WHEN group_id % 2 = 0 THEN group_id + 1 ELSE group_id END, CASE WHEN group_id % 2 = 0 THEN 1 ELSE detection_type END,

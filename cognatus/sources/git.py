@@ -292,5 +292,10 @@ def clean_commits(raw: DataFrame) -> DataFrame:
     )
 
 
+def patch_ids_of(diffs: DataFrame) -> DataFrame:
+    """``(patch_id, sha)`` from raw diffs; commits that change no file have none. Nothing is asked of git."""
+    return diffs.select(text.patch_id("diff").alias("patch_id"), F.lower("sha").alias("sha")).where("patch_id IS NOT NULL")
+
+
 def clean_diffs(raw: DataFrame) -> DataFrame:
     return raw.select(F.lower("sha").alias("sha"), text.normalize_diff("diff").alias("diff"))

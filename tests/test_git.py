@@ -204,3 +204,53 @@ def test_a_new_commit_merges_stored_groups(spark, repo, tmp_path):
     scan(spark, repo.path, two, rescan=True)
     assert partition(one) == partition(two)
     assert groups(one).get(bridge) in (1, None) and groups(one).get(tail) in (2, None)
+
+
+def test_patch_ids_part_commits_as_git_does(spark, repo):
+    base = repo.commit("a.txt", "\n".join(map(str, range(30))), "Base")
+    repo.commit("b.txt", "one\r\ntwo", "Other base")
+
+    def edit(text, files, message):
+        for name, at in files:
+            lines = open(f"{repo.path}/{name}", newline="").read().split("\n")
+            lines.insert(at, text)
+            with open(f"{repo.path}/{name}", "w", newline="") as f:
+                f.write("\n".join(lines))
+            repo.run("add", name)
+        repo.run("commit", "-q", "-m", message)
+        return repo.run("rev-parse", "HEAD")
+
+    edit("new line\r", [("a.txt", 10)], "Once")
+    repo.run("revert", "--no-edit", "HEAD")
+    edit("first", [("a.txt", 0)], "Shift")
+    edit("new line\r", [("a.txt", 11)], "Again, a line lower")
+    repo.run("revert", "--no-edit", "HEAD")
+    edit("new  line", [("a.txt", 11)], "Again, other white space")
+    repo.run("revert", "--no-edit", "HEAD")
+    edit("new line", [("a.txt", 11), ("b.txt", 1)], "In two files")
+    repo.run("revert", "--no-edit", "HEAD")
+    edit("index 12..34", [("b.txt", 1)], "Looks like a header")
+    edit("@@ -1 +1 @@", [("b.txt", 1)], "Looks like a hunk")
+    edit("diff --git a/q b/q", [("b.txt", 1)], "Looks like a file")
+    repo.run("commit", "-q", "--allow-empty", "-m", "Nothing")
+    with open(f"{repo.path}/c.txt", "w") as f:
+        f.write("no end of line")
+    repo.run("add", "c.txt")
+    repo.run("mv", "a.txt", "d.txt")
+    repo.run("commit", "-q", "-m", "Add and move")
+    repo.run("revert", "--no-edit", "HEAD")
+    repo.run("checkout", "-q", "-b", "side", base)
+    edit("new line\r", [("a.txt", 10)], "On another branch")
+    repo.run("checkout", "-q", "main")
+    repo.run("merge", "-q", "--no-edit", "-s", "ours", "side")
+
+    def parts(rows):
+        found = {}
+        for r in rows.collect():
+            found.setdefault(r["patch_id"], set()).add(r["sha"])
+        return sorted(sorted(v) for v in found.values())
+
+    asked = git.load(spark, repo.path, "revisions").select("sha")
+    own = parts(git.patch_ids_of(git.read_given(asked, repo.path, "diffs")))
+    assert own == parts(git.read_given(asked, repo.path, "patch_ids"))
+    assert max(map(len, own)) == 4
