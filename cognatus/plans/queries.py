@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cognatus.functions import similarity, text
 from cognatus.operators.graph import connected_components
-from cognatus.plans import incremental, pipeline, scoring, store, tiers, verify
+from cognatus.plans import incremental, messages, pipeline, scoring, store, tiers, verify
 from cognatus.session import materialize, shared_path, spread
 from cognatus.sources import lists
 
@@ -395,6 +395,13 @@ def store_appends(spark, d):
     return kept.hashes
 
 
+def message_index_search(spark, d):
+    """Commits whose message has a text, found by the index of all messages' trigrams."""
+    index = messages.MessageIndex(spark, shared_path(spark, "messages"))
+    index.write(commits(spark, d))
+    return index.search("All Rights reserved")
+
+
 def raw_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, diff)``: documents as added lines of one file beside a second one, in turns; every other one stands elsewhere, in other white space."""
     n, t = F.col("doc_id"), F.coalesce("text", F.lit(""))
@@ -436,7 +443,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         evidence_min_type, run_counters, assign_group_ids, upsert_hashes, stats_totals, type_histogram, group_size_stats, top5_groups, group_list,
         member_list, group_blacklist_state, prefix_lookup, siblings, same_group, message_search, blacklist_anti, distinct_union, toggle_blacklist,
         patch_header_extract, patch_compliance, full_save, patch_contraction, seed_stars, rescan_set, checkpoint_upsert, compliance_totals,
-        point_lookup, lookup_targets, first_match, message_search_counts, text_fields, incremental_components, store_appends, tier3_components, patch_id_of_diff,
+        point_lookup, lookup_targets, first_match, message_search_counts, text_fields, incremental_components, store_appends, tier3_components, patch_id_of_diff, message_index_search,
     )
 } | {"connected_components": components}
 
@@ -671,6 +678,7 @@ ORACLE: dict[str, str] = {
                    sha1(regexp_replace('a/y b/y new file mode 100644 --- /dev/null +++ b/y +' || s, '[ \t-\r]+', '', 'g')) AS two FROM d
         ), ids AS (SELECT doc_id, sha1(least(one, two) || greatest(one, two)) AS patch_id FROM files)
         SELECT doc_id, patch_id, min(doc_id) OVER (PARTITION BY patch_id) AS first_id, count(*) OVER (PARTITION BY patch_id) AS n FROM ids""".replace("\\\\", "\\"),
+    "message_index_search": f"WITH {COMMITS} SELECT sha FROM commits WHERE contains(lower(subject || chr(10) || chr(10) || body), 'all rights reserved')",
     "store_appends": f"""WITH {HASHES}
         SELECT sha, 7 AS group_id, detection_type, CAST(NULL AS DOUBLE) AS similarity FROM hashes WHERE detection_type = 5 AND group_id % 3 = 0
         UNION ALL SELECT sha, CASE WHEN group_id % 2 = 0 THEN group_id + 1 ELSE group_id END, CASE WHEN group_id % 2 = 0 THEN 1 ELSE detection_type END,

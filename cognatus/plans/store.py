@@ -22,7 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cognatus.functions import text
-from cognatus.sources import lists
+from cognatus.session import materialize
+from cognatus.sources import git, lists
 
 HASHES_SCHEMA = "sha string, group_id long, detection_type int, similarity double"
 STATE_SCHEMA = "key string, value string"
@@ -456,6 +457,14 @@ class Store:
         counts = search_counts(found, self.hashes).first()
         return found, counts["matches"], counts["stored"]
 
+    def search_repository(self, repo: str, pattern: str) -> tuple[DataFrame | None, int, int]:
+        """As :meth:`search_message`, over all refs of a repository, by git's own search and regular expressions."""
+        if not pattern.strip():
+            return None, 0, 0
+        found = materialize(git.search(self.spark, repo, pattern.strip()), "found")
+        counts = search_counts(found, self.hashes).first()
+        return found, counts["matches"], counts["stored"]
+
     def find(self, asked: str) -> tuple[int, str] | None:
         """Group and hash of the least visible hash that begins so; none for nothing."""
         clean = asked.strip().lower()

@@ -1,10 +1,11 @@
 """Git histories as tables: a Python data source, and reads of given commits on executors.
 
 ``spark.read.format("gitlog").option("repo", path).option("table", name)`` with the tables
-``revisions`` (ord, sha), ``commits``, ``diffs`` and ``patch_ids``. The driver lists the revisions of
+``revisions`` (ord, sha), ``commits``, ``diffs``, ``stats`` and ``patch_ids``. The driver lists the revisions of
 ``range`` (``HEAD`` by default) and plans one partition per chunk of them; equality and IN filters
-on ``sha`` are pushed, so that only those commits are asked of git. The repository must lie
-where every executor can reach it.
+on ``sha`` are pushed, so that only those commits are asked of git. So is what ``subject`` or ``body`` has to
+contain, and the option ``grep``, a pattern that git itself looks for in the lines of messages, case aside: each task has
+git search its chunk, and no message without a match leaves git. The repository must lie where every executor can reach it.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from typing import BinaryIO
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, SimpleDataSourceStreamReader, StringContains
 from pyspark.sql.types import StructType
 
 from cognatus.functions import text
@@ -29,6 +30,7 @@ TABLES = {
     "revisions": "ord long, sha string",
     "commits": "sha string, author_name string, author_date string, committer_date string, subject string, body string, files array<string>",
     "diffs": "sha string, diff string",
+    "stats": "sha string, file string, added long, removed long",
     "patch_ids": "patch_id string, sha string",
 }
 #: Bytes read from git at a time.
@@ -104,15 +106,38 @@ def stream_git(repo: str, args: list[str], shas: list[str], end: bytes, into: li
             raise RepositoryError(f"git {args[0]}: {said.read().decode(errors='replace').strip()}")
 
 
-def _log(merges: bool) -> list[str]:
-    return ["log", "--no-walk=unsorted", *([] if merges else ["--no-merges"]), "--ignore-missing", "--stdin", "--no-color", "--no-renames"]
+def _log(merges: bool, only: tuple[str, ...] = ()) -> list[str]:
+    return ["log", "--no-walk=unsorted", *([] if merges else ["--no-merges"]), "--ignore-missing", "--stdin", "--no-color", "--no-renames", *only]
 
 
-def read_commits(repo: str, shas: list[str], merges: bool = False) -> Iterator[tuple]:
+def matching(pattern: str | None, parts: list[str]) -> tuple[str, ...]:
+    """Git's options for messages with a line that has the pattern, case aside, and with each of the parts, as they stand; a part need not lie in one line with another."""
+    if pattern:
+        return "-i", f"--grep={pattern}"
+    return ("-F", "--all-match", *(f"--grep={part}" for part in parts)) if parts else ()
+
+
+def read_revisions(repo: str, shas: list[str], merges: bool = False, only: tuple[str, ...] = ()) -> Iterator[tuple]:
+    for token in stream_git(repo, [*_log(merges, only), "--format=%H"], shas, b"\n"):
+        yield (token.decode(),)
+
+
+def read_stats(repo: str, shas: list[str], merges: bool = False, only: tuple[str, ...] = ()) -> Iterator[tuple]:
+    """Lines added to and removed from each file; null for a binary one."""
+    sha = None
+    for token in stream_git(repo, [*_log(merges, only), "--numstat", "-z", "--format=%x00%H%x00"], shas, b"\0"):
+        name = token.decode(errors="replace").lstrip("\n")
+        if re.fullmatch("[0-9a-f]{40}", name):
+            sha = name
+        elif found := re.fullmatch(r"([0-9]+|-)\t([0-9]+|-)\t(.+)", name, re.DOTALL):
+            yield sha, found[3], *(None if n == "-" else int(n) for n in found.groups()[:2])
+
+
+def read_commits(repo: str, shas: list[str], merges: bool = False, only: tuple[str, ...] = ()) -> Iterator[tuple]:
     """Null bytes end fields and names, for neither can hold one; an empty name is the start of the next commit."""
     form = "%x00%H%x00%an%x00%at%x00%ct%x00%s%x00%b%x00"
     fields: list[str] = []
-    for token in stream_git(repo, [*_log(merges), "--name-only", "-z", f"--format={form}"], shas, b"\0"):
+    for token in stream_git(repo, [*_log(merges, only), "--name-only", "-z", f"--format={form}"], shas, b"\0"):
         text_ = token.decode(errors="replace")
         if len(fields) > 7 and not text_:  # after the fields, and the empty one that ends them, come names
             yield _commit_of(fields)
@@ -126,10 +151,10 @@ def _commit_of(fields: list[str]) -> tuple:
     return (*fields[1:7], sorted({n for n in (x.strip("\n") for x in fields[7:]) if n}))
 
 
-def read_diffs(repo: str, shas: list[str], merges: bool = False) -> Iterator[tuple]:
+def read_diffs(repo: str, shas: list[str], merges: bool = False, only: tuple[str, ...] = ()) -> Iterator[tuple]:
     """A hash between null bytes starts a record; a diff of what git was told is text may hold null bytes itself."""
     sha, diff = None, []
-    for token in stream_git(repo, [*_log(merges), "-p", "--format=%x00%H%x00"], shas, b"\0"):
+    for token in stream_git(repo, [*_log(merges, only), "-p", "--format=%x00%H%x00"], shas, b"\0"):
         if re.fullmatch(rb"[0-9a-f]{40}", token):
             if sha:
                 yield sha, _diff_of(diff)
@@ -144,14 +169,14 @@ def _diff_of(pieces: list[bytes]) -> str:
     return b"\0".join(pieces).decode(errors="replace").lstrip("\n")
 
 
-def read_patch_ids(repo: str, shas: list[str], merges: bool = False) -> Iterator[tuple]:
-    for line in stream_git(repo, [*_log(merges), "-p"], shas, b"\n", into=["patch-id", "--stable"]):
+def read_patch_ids(repo: str, shas: list[str], merges: bool = False, only: tuple[str, ...] = ()) -> Iterator[tuple]:
+    for line in stream_git(repo, [*_log(merges, only), "-p"], shas, b"\n", into=["patch-id", "--stable"]):
         parts = line.decode(errors="replace").split()
         if len(parts) == 2 and len(parts[1]) == 40:
             yield parts[0], parts[1]
 
 
-READERS = {"commits": read_commits, "diffs": read_diffs, "patch_ids": read_patch_ids}
+READERS = {"commits": read_commits, "diffs": read_diffs, "stats": read_stats, "patch_ids": read_patch_ids}
 
 
 @dataclass
@@ -161,8 +186,9 @@ class Chunk(InputPartition):
 
 
 class GitReader(DataSourceReader):
-    def __init__(self, repo: str, table: str, span: str, chunk: int, merges: bool) -> None:
-        self.repo, self.table, self.span, self.chunk, self.only, self.merges = check_repository(repo), table, span, chunk, None, merges
+    def __init__(self, repo: str, table: str, span: str, chunk: int, merges: bool, grep: str | None) -> None:
+        self.repo, self.table, self.span, self.chunk, self.only, self.merges, self.grep = check_repository(repo), table, span, chunk, None, merges, grep
+        self.parts: list[str] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
@@ -170,6 +196,8 @@ class GitReader(DataSourceReader):
                 wanted = set(f.value if isinstance(f, In) else [f.value])
                 self.only = wanted if self.only is None else self.only & wanted
             else:
+                if isinstance(f, StringContains) and f.attribute in (("subject",), ("body",)) and f.value and f.value.isascii() and f.value.isprintable():
+                    self.parts.append(f.value)  # git leaves out most; Spark looks again, for git does not tell subject and body apart
                 yield f
 
     def partitions(self) -> list[Chunk]:
@@ -179,10 +207,12 @@ class GitReader(DataSourceReader):
         return [Chunk(p[0][0], [s for _, s in p]) for p in parts] or [Chunk(0, [])]
 
     def read(self, partition: Chunk) -> Iterator[tuple]:
+        only = matching(self.grep, self.parts)
         if self.table == "revisions":
-            yield from ((partition.start + i, s) for i, s in enumerate(partition.shas))
+            hit = {s for (s,) in read_revisions(self.repo, partition.shas, self.merges, only)} if only and partition.shas else None
+            yield from ((partition.start + i, s) for i, s in enumerate(partition.shas) if hit is None or s in hit)
         elif partition.shas:
-            yield from READERS[self.table](self.repo, partition.shas, self.merges)
+            yield from READERS[self.table](self.repo, partition.shas, self.merges, only)
 
 
 class GitStream(SimpleDataSourceStreamReader):
@@ -209,7 +239,7 @@ class GitStream(SimpleDataSourceStreamReader):
 
 
 class GitDataSource(DataSource):
-    """Options: ``repo``, ``table`` (commits), ``range`` (HEAD), ``chunk`` (2000), ``merges`` (false); streams have the table revisions and ``start``."""
+    """Options: ``repo``, ``table`` (commits), ``range`` (HEAD), ``chunk`` (2000), ``merges`` (false), ``grep``; streams have the table revisions and ``start``."""
 
     @classmethod
     def name(cls) -> str:
@@ -225,7 +255,7 @@ class GitDataSource(DataSource):
         return TABLES[self._table()]
 
     def reader(self, schema: StructType) -> GitReader:
-        return GitReader(self.options["repo"], self._table(), self.options.get("range", "HEAD"), int(self.options.get("chunk", CHUNK)), self.options.get("merges", "false").lower() == "true")
+        return GitReader(self.options["repo"], self._table(), self.options.get("range", "HEAD"), int(self.options.get("chunk", CHUNK)), self.options.get("merges", "false").lower() == "true", self.options.get("grep"))
 
     def simpleStreamReader(self, schema: StructType) -> GitStream:
         if self._table() != "revisions":
@@ -239,9 +269,14 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(GitDataSource)
 
 
-def load(spark: SparkSession, repo: str, table: str, span: str = "HEAD", chunk: int = CHUNK, merges: bool = False) -> DataFrame:
+def load(spark: SparkSession, repo: str, table: str, span: str = "HEAD", chunk: int = CHUNK, merges: bool = False, grep: str | None = None) -> DataFrame:
     register(spark)
-    return spark.read.format("gitlog").options(repo=repo, table=table, range=span, chunk=chunk, merges=merges).load()
+    return spark.read.format("gitlog").options(repo=repo, table=table, range=span, chunk=chunk, merges=merges, **({"grep": grep} if grep else {})).load()
+
+
+def search(spark: SparkSession, repo: str, pattern: str) -> DataFrame:
+    """``(sha)`` of the commits of all refs, merges included, whose message has a line that matches git's basic regular expression, case aside."""
+    return load(spark, repo, "revisions", "--all", merges=True, grep=pattern).select("sha")
 
 
 def every_message(spark: SparkSession, repo: str) -> DataFrame:
@@ -255,7 +290,7 @@ def read_given(shas: DataFrame, repo: str, table: str, chunk: int = CHUNK) -> Da
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.list_(pa.string()) if n == "files" else pa.string() for n in names]
+        types = [pa.list_(pa.string()) if n == "files" else pa.int64() if n in ("added", "removed") else pa.string() for n in names]
         for batch in batches:
             asked = batch.column("sha").to_pylist()
             for at in range(0, len(asked), chunk):
@@ -267,10 +302,14 @@ def read_given(shas: DataFrame, repo: str, table: str, chunk: int = CHUNK) -> Da
 
 
 def show(spark: SparkSession, repo: str, sha: str) -> DataFrame:
-    """``(sha, author_name, author_date, subject, body, files, diff)`` of one commit; no row if there is none."""
+    """``(sha, author_name, author_date, subject, body, files, stat, diff)`` of one commit; no row if there is none.
+
+    ``stat`` has the file, the lines added and those removed, in the order of files.
+    """
     one = spark.createDataFrame([(sha.strip().lower(),)], "sha string")
     head = read_given(one, repo, "commits").select("sha", "author_name", "author_date", "subject", "body", "files")
-    return head.join(read_given(one, repo, "diffs"), "sha", "left")
+    stat = read_given(one, repo, "stats").groupBy("sha").agg(F.sort_array(F.collect_list(F.struct("file", "added", "removed"))).alias("stat"))
+    return head.join(stat, "sha", "left").join(read_given(one, repo, "diffs"), "sha", "left")
 
 
 def show_text(repo: str, sha: str) -> str:

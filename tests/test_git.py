@@ -254,3 +254,44 @@ def test_patch_ids_part_commits_as_git_does(spark, repo):
     own = parts(git.patch_ids_of(git.read_given(asked, repo.path, "diffs")))
     assert own == parts(git.read_given(asked, repo.path, "patch_ids"))
     assert max(map(len, own)) == 4
+
+
+def test_git_searches_messages(spark, repo, store):
+    one = repo.commit("a.txt", "x", "Fix the Parser\n\nsome body of [text]")
+    two = repo.commit("a.txt", "y", "Other\n\nline one\nthe PARSER again")
+    repo.run("checkout", "-q", "-b", "side", one)
+    three = repo.commit("b.txt", "z", "Side parser work")
+    repo.run("checkout", "-q", "main")
+    shas = lambda df: {r["sha"] for r in df.collect()}
+    assert shas(git.search(spark, repo.path, "parser")) == {one, two, three}
+    assert shas(git.search(spark, repo.path, "^the pars")) == {two}
+    assert shas(git.search(spark, repo.path, "nothing of the kind")) == set()
+    raw = git.load(spark, repo.path, "commits")
+    assert shas(raw.where(raw.body.contains("of [text]"))) == {one}
+    assert shas(raw.where(raw.subject.contains("Parser"))) == {one} and raw.where(raw.body.contains("Other")).count() == 0
+    reader = git.GitReader(repo.path, "commits", "HEAD", 10, False, None)
+    kept = list(reader.pushFilters([git.StringContains(("body",), "of [text]"), git.StringContains(("body",), "two\nlines")]))
+    assert len(kept) == 2 and reader.parts == ["of [text]"]
+    assert [r[0] for p in reader.partitions() for r in reader.read(p)] == [one]
+    assert [r["ord"] for r in git.load(spark, repo.path, "revisions", grep="PARSER again").collect()] == [1]
+    store.save(spark.createDataFrame([(one, 4, 1, 1.0), ("a" * 40, 4, 1, 1.0)], "sha string, group_id long, detection_type int, similarity double"), store.state)
+    found, n, known = store.search_repository(repo.path, "parser")
+    assert (n, known) == (3, 1) and [r["group_id"] for r in store.groups(matches=found).collect()] == [4]
+    assert store.search_repository(repo.path, "  ") == (None, 0, 0)
+    with pytest.raises(git.RepositoryError):
+        list(git.read_revisions(repo.path, [one], only=("--grep=[",)))
+
+
+def test_stats_of_files(spark, repo):
+    repo.commit("a.txt", "x", "One")
+    with open(f"{repo.path}/sp ace\u00e9.txt", "w") as f:
+        f.write("1\n2\n")
+    with open(f"{repo.path}/bin", "wb") as f:
+        f.write(bytes(range(256)))
+    repo.run("rm", "-q", "a.txt")
+    repo.run("add", ".")
+    repo.run("commit", "-q", "-m", "Two")
+    two = repo.run("rev-parse", "HEAD")
+    assert sorted(git.read_stats(repo.path, [two])) == [(two, "a.txt", 0, 1), (two, "bin", None, None), (two, "sp ace\u00e9.txt", 2, 0)]
+    (row,) = git.show(spark, repo.path, two).collect()
+    assert [tuple(x) for x in row["stat"]] == [("a.txt", 0, 1), ("bin", None, None), ("sp ace\u00e9.txt", 2, 0)]
