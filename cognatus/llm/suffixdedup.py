@@ -381,9 +381,11 @@ def _bucketed(docs: DataFrame, id_col: str, text_col: str, part_bytes: int) -> t
     distinct = distinct.withColumn("digest", F.unhex(F.sha2("text", 256)))
     distinct = distinct.withColumn("part", F.pmod(F.xxhash64("digest"), F.lit(parts)).cast("int"))
     buckets, name = min(parts, MOST_BUCKETS), f"texts_{uuid.uuid4().hex}"
-    writer = distinct.repartition(buckets, "part").write.bucketBy(buckets, "part").option("path", shared_path(spark, name)).option("compression", "zstd")
-    writer.saveAsTable(name)
-    return spark.table(name), name
+    path = shared_path(spark, name)
+    distinct.repartition(buckets, "part").write.bucketBy(buckets, "part").option("path", path).option("compression", "zstd").saveAsTable(name)
+    texts = spark.table(name)
+    texts._cognatus_path = path
+    return texts, name
 
 
 def _round(send: Callable[..., pa.Table], texts: DataFrame, back: DataFrame | None, plan: Plan, schema: str) -> DataFrame:
@@ -425,9 +427,9 @@ def repeated_strings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             tables.append(materialize(judge(_round(send, texts, back, plan, SENT), number), "ranks", compression="zstd"))
             back = tables[-1] if back is None else back.unionByName(tables[-1])
         found = materialize(_round(_results, texts, back, plan, RESULT), "repeats")
-    for table in tables:
+    spark.sql(f"DROP TABLE {name}")  # the catalog's entry; the files lie in the shared folder
+    for table in [*tables, texts]:
         discard(table)
-    spark.sql(f"DROP TABLE {name}")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole"))
     rows = rows.withColumn("__digest", F.unhex("whole")).join(found, F.col("__digest") == F.col("digest"), "left")
