@@ -119,15 +119,15 @@ def run(commits: DataFrame, patch_ids: Fetch, diffs: Fetch, store: Store, last:
     grouped, scores = _score(members, diffs)
     every = members.join(stored.select("sha"), "sha", "left_semi").union(grouped.select(members.columns)).distinct()
     records = save_plan(every, scores, tiers.evidence(edges, stored), stored)[1]
-    return _save(store, base, stored, stored, commits, edges, records, scores, last, new, strict, grouped)
+    return _save(store, base, stored, stored, commits, edges, records, scores, _checkpoint(last), new, strict, grouped)
 
 
-def run_new(commits: DataFrame, patch_ids: Fetch, diffs: Fetch, store: Store, last: str | None, *, new: DataFrame, strict: bool = False) -> Report:
+def run_new(commits: DataFrame, patch_ids: Fetch, diffs: Fetch, store: Store, last: str | None, *, new: DataFrame, strict: bool = False, state: dict[str, str] | None = None) -> Report:
     """As :func:`run`, for ``commits`` that are the new ones and the stored ones of their subjects.
 
     Stored groups are single vertices; only components that a link has changed are scored and written.
     Groups come out as :func:`run` makes them. Scores of groups that no link touches stay as they are, while
-    :func:`run` works them out anew among the members still stored.
+    :func:`run` works them out anew among the members still stored. ``state`` is saved in the same step.
     """
     base, stored = store.version(), store.indexed
     commits = materialize(commits, "commits")
@@ -139,10 +139,10 @@ def run_new(commits: DataFrame, patch_ids: Fetch, diffs: Fetch, store: Store, la
     every = members.join(hit.stored.select("sha"), "sha", "left_semi").union(grouped.select(members.columns)).distinct()
     top = stored.agg(F.max("group_id").alias("m")).first()["m"] or 0
     records = save_plan(every, scores, tiers.evidence(edges, hit.stored), hit.stored, top)[1]
-    return _save(store, base, stored, hit.stored, commits, edges, records, scores, last, new, strict, grouped)
+    return _save(store, base, stored, hit.stored, commits, edges, records, scores, _checkpoint(last) | (state or {}), new, strict, grouped)
 
 
-def _save(store: Store, base: int, stored: DataFrame, touched: DataFrame, commits: DataFrame, edges: DataFrame, records: DataFrame, scores: DataFrame, last: str | None, new: DataFrame | None, strict: bool, grouped: DataFrame) -> Report:
+def _save(store: Store, base: int, stored: DataFrame, touched: DataFrame, commits: DataFrame, edges: DataFrame, records: DataFrame, scores: DataFrame, state: dict[str, str], new: DataFrame | None, strict: bool, grouped: DataFrame) -> Report:
     """Append the records, and rows that only learn their subject; ``touched`` are the stored rows among the members."""
     keys = stored.select(F.col("sha"), "subject_key")
     records = materialize(_keyed(records.join(keys, "sha", "left"), commits), "records")
@@ -152,7 +152,7 @@ def _save(store: Store, base: int, stored: DataFrame, touched: DataFrame, commit
     if strict:
         low = low.union(_below(scores).join(touched.select("sha"), "sha", "left_semi"))
     report = Report(edges, tiers.counters(edges, commits.select("sha") if new is None else new), _below(scores).count(), commits.count(), grouped.count())
-    store.append(records.unionByName(learnt.select(records.columns)), low.join(records.select("sha"), "sha", "left_anti"), _checkpoint(last), base)
+    store.append(records.unionByName(learnt.select(records.columns)), low.join(records.select("sha"), "sha", "left_anti"), state, base)
     return report
 
 
@@ -177,14 +177,26 @@ def scan(spark: SparkSession, repo: str, store: Store, *, full_history: bool = F
     newest = news.agg(F.max_by("sha", "ord").alias("sha")).first()["sha"]
     if newest is None:
         return None
-    read = lambda shas: git.clean_commits(git.read_given(shas, repo, "commits"))
-    fetch = (
-        lambda shas: git.patch_ids_of(git.read_given(shas, repo, "diffs")),
-        lambda shas: git.clean_diffs(git.read_given(shas, repo, "diffs")),
-    )
     if full_history or rescan:
         asked = git.load(spark, repo, "revisions").select("sha") if full_history else news.select("sha").union(store.hashes.select("sha")).distinct()
-        return run(materialize(read(asked), "commits"), *fetch, store, newest, new=news.select("sha"), strict=strict)
-    fresh = materialize(read(news.select("sha")), "fresh")
-    old = read(related(store.indexed, fresh).join(fresh.select("sha"), "sha", "left_anti"))
-    return run_new(fresh.unionByName(old), *fetch, store, newest, new=news.select("sha"), strict=strict)
+        return run(materialize(_commits(repo)(asked), "commits"), _patch_ids(repo), _diffs(repo), store, newest, new=news.select("sha"), strict=strict)
+    return scan_given(news.select("sha"), repo, store, newest, strict=strict)
+
+
+def _commits(repo: str) -> Fetch:
+    return lambda shas: git.clean_commits(git.read_given(shas, repo, "commits"))
+
+
+def _patch_ids(repo: str) -> Fetch:
+    return lambda shas: git.patch_ids_of(git.read_given(shas, repo, "diffs"))
+
+
+def _diffs(repo: str) -> Fetch:
+    return lambda shas: git.clean_diffs(git.read_given(shas, repo, "diffs"))
+
+
+def scan_given(news: DataFrame, repo: str, store: Store, newest: str | None, *, strict: bool = False, state: dict[str, str] | None = None) -> Report:
+    """Link the commits in column ``sha`` of ``news`` with each other and with the stored ones of their subjects; ``newest`` becomes the checkpoint."""
+    fresh = materialize(_commits(repo)(news), "fresh")
+    old = _commits(repo)(related(store.indexed, fresh).join(fresh.select("sha"), "sha", "left_anti"))
+    return run_new(fresh.unionByName(old), _patch_ids(repo), _diffs(repo), store, newest, new=news.select("sha"), strict=strict, state=state)

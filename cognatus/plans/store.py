@@ -368,13 +368,15 @@ class Store:
             gone = removed.select("sha").distinct().join(records.select("sha"), "sha", "left_anti")
             fields = [f.split() for f in RUN_SCHEMA.split(", ")]
             rows = rows.unionByName(gone.select("sha", *[F.lit(None).cast(kind).alias(c) for c, kind in fields[1:-1]], F.lit(True).alias("deleted")))
-        own = self._write_run(rows, version)
-        runs = [*manifest["runs"], own]
-        first = first_to_merge([run["bytes"] for run in runs])
-        if first < len(runs) - 1:
-            whole = merged(self._runs(runs[first:]))
-            runs[first:] = [self._write_run(whole if first else whole.where(~F.col("deleted")), version)]
-            lists.delete(self.spark, f"{self.path}/{own['name']}")
+        runs = manifest["runs"]
+        if not rows.isEmpty():
+            own = self._write_run(rows, version)
+            runs = [*runs, own]
+            first = first_to_merge([run["bytes"] for run in runs])
+            if first < len(runs) - 1:
+                whole = merged(self._runs(runs[first:]))
+                runs[first:] = [self._write_run(whole if first else whole.where(~F.col("deleted")), version)]
+                lists.delete(self.spark, f"{self.path}/{own['name']}")
         self._commit(version, runs, manifest["state"] | (state or {}))
 
     def save(self, hashes: DataFrame, state: DataFrame, base: int | None = None) -> None:

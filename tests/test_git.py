@@ -8,7 +8,7 @@ import pytest
 from cognatus.plans.pipeline import scan
 from cognatus.plans.store import Store
 from cognatus.sources import git
-from cognatus.streaming.incremental import follow
+from cognatus.streaming.incremental import follow, link_batch
 
 pytestmark = pytest.mark.skipif(shutil.which("git") is None, reason="needs git")
 
@@ -295,3 +295,24 @@ def test_stats_of_files(spark, repo):
     assert sorted(git.read_stats(repo.path, [two])) == [(two, "a.txt", 0, 1), (two, "bin", None, None), (two, "sp ace\u00e9.txt", 2, 0)]
     (row,) = git.show(spark, repo.path, two).collect()
     assert [tuple(x) for x in row["stat"]] == [("a.txt", 0, 1), ("bin", None, None), ("sp ace\u00e9.txt", 2, 0)]
+
+
+def test_batches_link_their_own_rows_once(spark, repo, tmp_path):
+    one = repo.commit("a.txt", "x", "Same")
+    repo.commit("b.txt", "x", f"Port\n\n(cherry picked from commit {one})")
+    two = [repo.commit("c.txt", "x", "Later"), repo.commit("d.txt", "x", "Unlike")]
+    three = repo.commit("e.txt", "x", f"Later port\n\n(cherry picked from commit {two[0]})")
+    streamed, whole = (Store.create(spark, f"file://{tmp_path}/{n}") for n in ("streamed", "whole"))
+    shas = git.revisions(repo.path)
+    rows = spark.createDataFrame(list(enumerate(shas)), "ord long, sha string")
+    parts = [rows.where("ord < 2"), rows.where("ord BETWEEN 2 AND 3"), rows.where("ord > 3")]
+    for number, part in enumerate(parts):
+        assert link_batch(part, number, repo.path, streamed, "s")
+        assert streamed.last_commit() == shas[(1, 3, 4)[number]]
+    before = streamed.version()
+    assert not link_batch(parts[2], 2, repo.path, streamed, "s") and streamed.version() == before
+    assert not link_batch(rows.limit(0), 3, repo.path, streamed, "s")
+    scan(spark, repo.path, whole)
+    assert partition(streamed) == partition(whole) and three in groups(streamed)
+    assert link_batch(parts[2], 0, repo.path, streamed, "s")  # numbers start anew with a new checkpoint folder
+    assert partition(streamed) == partition(whole)
