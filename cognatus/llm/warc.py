@@ -87,6 +87,10 @@ def gzip_member(data: bytes, level: int = 6) -> bytes:
     return head + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
+#: A longer record header is taken for something else.
+MOST_HEADER = 16 << 20
+
+
 def parse_headers(data: bytes) -> dict[str, str]:
     """Names lower-cased; a folded line continues the one before; the first line is the version."""
     out: dict[str, str] = {}
@@ -170,27 +174,62 @@ class _Stream:
             self.at = self.member_at + self.member_length
 
 
+def _begins(data: bytes, where: str) -> None:
+    """Raise as soon as what is read is seen to be no record, before all of a strange file is in memory."""
+    if not data.startswith(b"WARC/"[: len(data)]) or len(data) > MOST_HEADER:
+        raise ValueError(f"no record header {where}")
+
+
+def _head(data: bytes, at: int, where: str) -> tuple[dict[str, str], int]:
+    """Headers of a record that ends its header at ``at``, and the length of its block."""
+    if at < 0 or not data.startswith(b"WARC/"):
+        raise ValueError(f"no whole record header {where}")
+    headers = parse_headers(data[:at])
+    length = headers.get("content-length", "")
+    if not length.isdigit():
+        raise ValueError(f"a record without its length {where}")
+    return headers, int(length)
+
+
+def _of_member(stream: _Stream, wanted, with_payload: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """Records of a gzip member: one, in archives written here and most others, but there may be more."""
+    data, where = b"", f"in the member at {stream.member_at}"
+    while True:
+        while (at := data.find(b"\r\n\r\n")) < 0 and (more := stream.inflate(4096)):
+            data = data + more if data else more.lstrip(b"\r\n")
+            _begins(data, where)
+        if not data:
+            return
+        headers, length = _head(data, at, where)
+        block, data = data[at + 4 : at + 4 + length], data[at + 4 + length :]
+        take = wanted(headers)
+        if not (take and with_payload) and stream.member_length is not None:  # nothing else lies in such a member
+            if take:
+                yield headers, None
+            return
+        parts, rest = [block], length - len(block)
+        while rest > 0 and (more := stream.inflate(1 << 20)):
+            if take and with_payload:
+                parts.append(more[:rest])
+            data, rest = more[rest:], rest - len(more)
+        if rest > 0:
+            raise EOFError(f"a record ends early {where}")
+        if take:
+            yield headers, payload_of(headers, b"".join(parts)) if with_payload else None
+        data = data.lstrip(b"\r\n")
+
+
 def read_records(file: pa.NativeFile, size: int, zipped: bool, wanted, with_payload: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
-    """Headers and payloads of the records that ``wanted(headers)`` accepts."""
+    """Headers and payloads of the records that ``wanted(headers)`` accepts.
+
+    A member may hold several records. A file that is cut, within a header or a block, or holds something else raises; nothing
+    is left out silently. Blocks of rejected records are skipped in plain files, and in members that tell their length (the ``sl`` field
+    of archives written here); in other members they have to be inflated to be passed over.
+    """
     if zipped:
         stream = _Stream(file, size, True)
         while stream.next_member():
-            data = b""
-            while (at := data.find(b"\r\n\r\n")) < 0:
-                more = stream.inflate(4096)
-                if not more:
-                    break
-                data += more
-            headers = parse_headers(data[:at])
-            if at >= 0 and wanted(headers):
-                block = None
-                if with_payload:
-                    parts, rest = [data[at + 4 :]], int(headers.get("content-length", 0)) - (len(data) - at - 4)
-                    while rest > 0 and (more := stream.inflate(1 << 20)):
-                        parts.append(more)
-                        rest -= len(more)
-                    block = payload_of(headers, b"".join(parts)[: int(headers.get("content-length", 0))])
-                yield headers, block
+            yield from _of_member(stream, wanted, with_payload)
             stream.end_member()
         return
     at = 0
@@ -198,19 +237,23 @@ def read_records(file: pa.NativeFile, size: int, zipped: bool, wanted, with_payl
         data, pos = b"", at
         while (end := data.find(b"\r\n\r\n")) < 0 and pos < size:
             file.seek(pos)
-            data += file.read(PEEK)
-            pos = at + len(data)
-        if end < 0:
+            more = file.read(PEEK)
+            pos += len(more)
+            data = data + more if data else more.lstrip(b"\r\n")
+            _begins(data, f"at {pos - len(data)}")
+        at = pos - len(data)
+        if not data:
             return
-        headers = parse_headers(data[:end])
-        length = int(headers.get("content-length", 0))
+        headers, length = _head(data, end, f"at {at}")
+        if at + end + 4 + length > size:
+            raise EOFError(f"the record at {at} ends early")
         if wanted(headers):
             block = None
             if with_payload:
                 file.seek(at + end + 4)
                 block = payload_of(headers, file.read(length))
             yield headers, block
-        at += end + 4 + length + 4
+        at += end + 4 + length
 
 
 @dataclass

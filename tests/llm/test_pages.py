@@ -245,3 +245,38 @@ def test_failed_attempts_are_not_read(spark, tmp_path):
     archive.archive(spark.createDataFrame([(1, "u", "a")], PAGES), f"file://{tmp_path}/w")
     (tmp_path / "w" / "part-stray.warc.gz").write_bytes(b"half a file")
     assert archive.captures_in(spark, f"file://{tmp_path}/w").count() == 1
+
+
+def record(kind, block, pad=b""):
+    return pad + b"WARC/1.0\r\nWARC-Type: %s\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (kind, len(block), block)
+
+
+def read_all(data, zipped, keep=lambda h: True, payload=True):
+    return [(h["warc-type"], b) for h, b in warc.read_records(pa.PythonFile(io.BytesIO(data), "r"), len(data), zipped, keep, payload)]
+
+
+def test_odd_archives_are_read_whole():
+    some = [(b"response", b"one"), (b"metadata", b"x\r\n\r\nWARC/1.0 " * 9000), (b"response", b""), (b"revisit", b"last\r\n")]
+    want = [(k.decode(), b) for k, b in some]
+    joined = b"".join(record(k, b) for k, b in some)
+    assert read_all(joined, False) == want
+    assert read_all(b"\r\n" + joined + b"\r\n\r\n", False) == want
+    assert read_all(gzip.compress(joined), True) == want  # several records in a member
+    assert read_all(gzip.compress(joined[:-4]) + gzip.compress(joined), True) == want * 2
+    assert read_all(gzip.compress(joined), True, lambda h: h["warc-type"] == "response", False) == [("response", None)] * 2
+    assert read_all(joined, False, lambda h: h["warc-type"] == "revisit") == want[3:]
+    assert read_all(b"", False) == read_all(b"", True) == []
+
+
+def test_cut_archives_raise():
+    whole = record(b"response", b"the block " * 50)
+    for cut in (10, 40, len(whole) - 100):
+        for data, zipped in ((whole + whole[:cut], False), (gzip.compress(whole + whole[:cut]), True), ((gzip.compress(whole) + gzip.compress(whole)[: 40 + cut // 20]), True)):
+            with pytest.raises((EOFError, ValueError)):
+                read_all(data, zipped)
+            with pytest.raises((EOFError, ValueError)):
+                read_all(data, zipped, lambda h: False, False)
+    with pytest.raises(ValueError, match="length"):
+        read_all(b"WARC/1.0\r\nWARC-Type: response\r\n\r\nx", False)
+    with pytest.raises(ValueError, match="header"):
+        read_all(b"something else\r\n\r\n", False)
