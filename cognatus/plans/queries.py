@@ -395,6 +395,14 @@ def store_appends(spark, d):
     return kept.hashes
 
 
+def resolve_batch(spark, d):
+    """Every document asks for a hash: by its beginning of 1 to 9 digits, as a whole, in upper case, one that is none, or by something else."""
+    n = F.col("doc_id")
+    asked = F.when(n % 7 == 0, F.concat(F.lit("x"), n.cast("string"))).when(n % 7 == 1, sha_of(n)).when(n % 7 == 2, F.upper(F.substring(sha_of(n), 1, 9)))
+    asked = asked.when(n % 7 == 3, F.concat(sha_of(n), F.lit("0"))).otherwise(F.concat(F.lit(" "), F.substring(sha_of(n), F.lit(1), (n % 5 + 1).cast("int"))))
+    return store.resolve_all(table(spark, d, "documents").select(asked.alias("target")), hashes(spark, d), excluded(spark, d))
+
+
 def message_index_search(spark, d):
     """Commits whose message has a text, found by the index of all messages' trigrams."""
     index = messages.MessageIndex(spark, shared_path(spark, "messages"))
@@ -443,7 +451,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         evidence_min_type, run_counters, assign_group_ids, upsert_hashes, stats_totals, type_histogram, group_size_stats, top5_groups, group_list,
         member_list, group_blacklist_state, prefix_lookup, siblings, same_group, message_search, blacklist_anti, distinct_union, toggle_blacklist,
         patch_header_extract, patch_compliance, full_save, patch_contraction, seed_stars, rescan_set, checkpoint_upsert, compliance_totals,
-        point_lookup, lookup_targets, first_match, message_search_counts, text_fields, incremental_components, store_appends, tier3_components, patch_id_of_diff, message_index_search,
+        point_lookup, lookup_targets, first_match, message_search_counts, text_fields, incremental_components, store_appends, tier3_components, patch_id_of_diff, message_index_search, resolve_batch,
     )
 } | {"connected_components": components}
 
@@ -679,6 +687,13 @@ ORACLE: dict[str, str] = {
         ), ids AS (SELECT doc_id, sha1(least(one, two) || greatest(one, two)) AS patch_id FROM files)
         SELECT doc_id, patch_id, min(doc_id) OVER (PARTITION BY patch_id) AS first_id, count(*) OVER (PARTITION BY patch_id) AS n FROM ids""".replace("\\\\", "\\"),
     "message_index_search": f"WITH {COMMITS} SELECT sha FROM commits WHERE contains(lower(subject || chr(10) || chr(10) || body), 'all rights reserved')",
+    "resolve_batch": f"""WITH {HASHES}, asked AS (
+            SELECT DISTINCT CASE doc_id % 7 WHEN 0 THEN 'x' || CAST(doc_id AS VARCHAR) WHEN 1 THEN sha WHEN 2 THEN upper(substr(sha, 1, 9)) WHEN 3 THEN sha || '0'
+                   ELSE ' ' || substr(sha, 1, CAST(doc_id % 5 + 1 AS INT)) END AS target FROM named
+        ), clean AS (SELECT target, lower(trim(target)) AS c FROM asked), met AS (
+            SELECT target, c, count(seen.sha) AS n, min(group_id) AS gid FROM clean LEFT JOIN seen ON starts_with(seen.sha, c) GROUP BY target, c
+        ), told AS (SELECT target, gid, CASE WHEN NOT regexp_full_match(c, '[0-9a-f]*') THEN 'malformed' WHEN n = 0 THEN 'missing' WHEN n > 1 THEN 'ambiguous' ELSE 'found' END AS outcome FROM met)
+        SELECT target, outcome, CASE WHEN outcome = 'found' THEN gid END AS gid FROM told""",
     "store_appends": f"""WITH {HASHES}
         SELECT sha, 7 AS group_id, detection_type, CAST(NULL AS DOUBLE) AS similarity FROM hashes WHERE detection_type = 5 AND group_id % 3 = 0
         UNION ALL SELECT sha, CASE WHEN group_id % 2 = 0 THEN group_id + 1 ELSE group_id END, CASE WHEN group_id % 2 = 0 THEN 1 ELSE detection_type END,

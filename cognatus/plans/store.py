@@ -200,6 +200,26 @@ def resolve_targets(asked: DataFrame, hashes: DataFrame, excluded: DataFrame) ->
     return rows.select("target", F.when(group, "group").otherwise("hash").alias("kind"), F.when(group, F.col("gid")).alias("gid"))
 
 
+def resolve_all(asked: DataFrame, hashes: DataFrame, excluded: DataFrame) -> DataFrame:
+    """``(target, outcome, gid)`` for a column of hashes or beginnings of hashes: ``found``, ``ambiguous``, ``missing`` or ``malformed``.
+
+    As :meth:`Store.resolve`, for many at once: stored hashes are cut to the lengths that are asked for, at most 40, and
+    joined on what is left of them, so no hash is compared with each target. A null target is malformed.
+    """
+    clean = F.lower(text.strip_space("target"))
+    rows = materialize(asked.select("target").distinct().select("target", clean.alias("clean"), F.coalesce(clean.rlike("^[0-9a-f]*$"), F.lit(False)).alias("hex")), "asked")
+    rows = rows.withColumn("length", F.least(F.length("clean"), F.lit(40)))
+    lengths = sorted(r["length"] for r in rows.where("hex").select("length").distinct().collect())  # 41 at most
+    cut = F.explode(F.array(*[F.lit(n) for n in lengths]).cast("array<int>")).alias("__n")
+    seen = visible(hashes, excluded).select("sha", "group_id", cut).withColumn("__cut", F.expr("left(sha, __n)"))
+    wanted = rows.where("hex").select("target", "clean", "length")
+    met = wanted.join(seen, (F.col("clean") == F.col("__cut")) & (F.col("length") == F.col("__n")))
+    met = met.groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.min("group_id").alias("gid"))
+    outcome = F.when(~F.col("hex"), "malformed").when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "ambiguous").otherwise("found")
+    told = rows.alias("r").join(met.alias("m"), F.col("r.target").eqNullSafe(F.col("m.target")), "left")
+    return told.select(F.col("r.target").alias("target"), outcome.alias("outcome"), F.when(outcome == "found", F.col("gid")).alias("gid"))
+
+
 def put_state(state: DataFrame, key: str, value: Column) -> DataFrame:
     """``state`` with the key at ``value``, whatever it was before."""
     fresh = state.sparkSession.range(1).select(F.lit(key).alias("key"), value.alias("value"))

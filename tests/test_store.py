@@ -241,3 +241,17 @@ def test_a_manifest_is_never_overwritten(spark, tmp_path):
     assert not lists.write_new(spark, f"file://{tmp_path}/d/x.json", "two")
     assert lists.read_text(spark, f"file://{tmp_path}/d/x.json") == "one"
     assert lists.names(spark, f"file://{tmp_path}/d") == ["x.json"] and lists.names(spark, f"file://{tmp_path}/none") == []
+
+
+def test_many_are_resolved_as_one_by_one(small, spark):
+    asked = ["0101", SHA[2], SHA[2].upper(), " 0202 ", "xyz", "ff", "10", "1042", SHA[3], "03", "", None, "0101"]
+    got = {r["target"]: (r["outcome"], r["gid"]) for r in store.resolve_all(spark.createDataFrame([(a,) for a in asked], "target string"), small.hashes, small.excluded).collect()}
+    assert set(got) == set(asked)
+    for a in set(asked) - {None}:
+        try:
+            assert got[a] == ("found", small.resolve(a))
+        except LookupFailed as problem:
+            said = {"malformed": "hexadecimal", "missing": "no commit", "ambiguous": "ambiguous"}[got[a][0]]
+            assert said in str(problem) and got[a][1] is None
+    assert got[None] == ("malformed", None)
+    assert store.resolve_all(spark.createDataFrame([], "target string"), small.hashes, small.excluded).count() == 0
