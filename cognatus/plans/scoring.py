@@ -25,7 +25,7 @@ def _rounded_mean(total: pa.Array, count: pa.Array) -> pa.Array:
 
 
 #: Distinct diffs of a component that a tile holds, and their characters, about: tiles are alike in cost, so the largest component is no longest task.
-TILE, TILE_CHARS = 256, 400_000
+TILE, TILE_CHARS = 256, 1_600_000
 
 
 def _ratios(text: str, packed: list[tuple[int, similarity.Packed]], texts: list[str]) -> list[float]:
@@ -79,14 +79,17 @@ def group_similarity(members: DataFrame, diffs: DataFrame, tile: int = TILE, cha
     it is in, never once a pair of diffs.
     """
     diff = F.coalesce(F.substring("diff", 1, similarity.DIFF_PREFIX), F.lit(""))
-    rows = members.join(diffs.select("sha", "diff"), "sha", "left").select("sha", "component", diff.alias("diff"))
-    rows = materialize(rows.withColumn("key", F.sha2("diff", 256)), "diffs")
-    kinds = rows.groupBy("component", "key").agg(F.count(F.lit(1)).alias("n"), F.first("diff").alias("diff"))
-    sizes = rows.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    wide = kinds.groupBy("component").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.length("diff")).alias("chars"))
-    kinds = kinds.join(sizes.join(wide, "component"), "component")
+    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = members.join(sizes, "component")  # no diff of a commit that is alone is moved
+    rows = members.join(diffs.select("sha", "diff"), "sha", "left").select("sha", "component", "size", diff.alias("diff"))
+    rows = materialize(rows.withColumn("key", F.sha2("diff", 256)), "diffs", compression="zstd")
+    lengths = rows.groupBy("component", "key", "size").agg(F.count(F.lit(1)).alias("n"), F.first(F.length("diff")).alias("length"))
+    lengths = materialize(lengths, "kinds")
+    wide = lengths.groupBy("component").agg(F.count(F.lit(1)).alias("kinds"), F.sum("length").alias("chars")).where("kinds > 1")
+    texts = rows.groupBy("component", "key").agg(F.count(F.lit(1)).alias("n"), F.first("diff").alias("diff"))
+    kinds = texts.join(wide, "component")
     tiles = F.greatest(F.ceil(F.col("kinds") / F.lit(tile)), F.least(F.ceil(F.col("chars") / F.lit(chars)), F.col("kinds")))
-    dealt = kinds.where("kinds > 1").withColumn("t", tiles.cast("int"))
+    dealt = kinds.withColumn("t", tiles.cast("int"))
     dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("key"), F.col("t")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
     dealt = dealt.select("component", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "salt", "key", "diff", "n")
 
@@ -100,7 +103,7 @@ def group_similarity(members: DataFrame, diffs: DataFrame, tile: int = TILE, cha
 
     sums = dealt.groupBy("component", "i", "j").applyInArrow(compare, "component string, key string, s double")
     sums = sums.groupBy("component", "key").agg(F.sum("s").alias("s"))
-    scored = kinds.select("component", "key", "n", "size").join(sums, ["component", "key"], "left")
+    scored = lengths.join(sums, ["component", "key"], "left")
     mean = _rounded_mean(F.coalesce("s", F.lit(0.0)) + (F.col("n") - 1).cast("double"), F.col("size") - 1)
     scored = scored.select("component", "key", mean.alias("similarity"))
     return rows.select("sha", "component", "key").join(scored, ["component", "key"]).select("sha", "similarity")
