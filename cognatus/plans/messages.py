@@ -1,8 +1,9 @@
 """Search in stored messages by an index of their trigrams.
 
-Every three characters in a row of a message, in lower case, are a row of the index. A text of three or
-more characters can only stand in messages that have all its trigrams; the messages of these are read and
-looked at. The index is laid out by trigram, so a search reads the few row groups of its own ones.
+Every three characters in a row of a message, in lower case, are a trigram; one of ``SPARSE``, by its hash, is
+kept in the index. A text can only stand in messages that have all its kept trigrams; the messages of these are read and
+looked at. A text without a kept trigram, as short ones may be, is looked for in all messages. The index is laid out by trigram, so a search
+reads the few row groups of its own ones. It holds 32-bit hashes of trigrams and commits: what agrees by chance is read too.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-GRAM = 3
+GRAM, SPARSE = 3, 4
 
 
 def grams(message: Column | str) -> Column:
@@ -27,9 +28,19 @@ def message_of(commits: DataFrame) -> Column:
     return F.concat_ws("\n\n", "subject", "body")
 
 
-def postings(commits: DataFrame) -> DataFrame:
-    """``(gram, sha)``: which messages have which trigrams."""
-    return commits.select("sha", F.explode(grams(message_of(commits))).alias("gram")).select("gram", "sha")
+def short(value: Column | str) -> Column:
+    """A 32-bit hash."""
+    return F.hash(value)
+
+
+def is_kept(gram: Column, sparse: int) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(sparse)) == 0
+
+
+def postings(commits: DataFrame, sparse: int = SPARSE) -> DataFrame:
+    """``(gram, id)``: which messages have which of the kept trigrams."""
+    kept = F.filter(grams(message_of(commits)), lambda g: is_kept(g, sparse))
+    return commits.select(short("sha").alias("id"), F.explode(kept).alias("g")).select(short("g").alias("gram"), "id")
 
 
 def asked(text: str) -> list[str]:
@@ -38,11 +49,15 @@ def asked(text: str) -> list[str]:
     return sorted({low[i : i + GRAM] for i in range(len(low) - GRAM + 1)})
 
 
-def candidates(index: DataFrame, text: str) -> DataFrame:
-    """``(sha)`` of the messages that have all trigrams of the text, which has one at least."""
-    some = asked(text)
-    met = index.where(F.col("gram").isin(some)).groupBy("sha").agg(F.count_distinct("gram").alias("n"))
-    return met.where(F.col("n") == len(some)).select("sha")
+def candidates(index: DataFrame, text: str, sparse: int = SPARSE) -> DataFrame | None:
+    """``(id)`` of the messages that have all kept trigrams of the text; None if it has none."""
+    spark = index.sparkSession
+    some = spark.createDataFrame([(g,) for g in asked(text)], "g string").where(is_kept(F.col("g"), sparse))
+    hashes = sorted({r["h"] for r in some.select(short("g").alias("h")).collect()})  # of the text alone
+    if not hashes:
+        return None
+    met = index.where(F.col("gram").isin(hashes)).groupBy("id").agg(F.count_distinct("gram").alias("n"))
+    return met.where(F.col("n") == len(hashes)).select("id")
 
 
 @dataclass
@@ -51,16 +66,19 @@ class MessageIndex:
 
     spark: SparkSession
     path: str
+    sparse: int = SPARSE
 
     def write(self, commits: DataFrame) -> None:
         """Index ``commits`` (sha, subject, body), in place of what was there."""
-        messages = commits.select("sha", message_of(commits).alias("message"))
-        messages.repartitionByRange("sha").sortWithinPartitions("sha").write.mode("overwrite").parquet(f"{self.path}/messages")
-        postings(commits).repartitionByRange("gram", "sha").sortWithinPartitions("gram", "sha").write.mode("overwrite").parquet(f"{self.path}/postings")
+        messages = commits.select("sha", short("sha").alias("id"), message_of(commits).alias("message"))
+        messages.write.mode("overwrite").parquet(f"{self.path}/messages")
+        rows = postings(commits, self.sparse).repartition("gram").sortWithinPartitions("gram")
+        rows.write.mode("overwrite").parquet(f"{self.path}/postings")
 
     def search(self, text: str) -> DataFrame:
-        """``(sha)`` of the messages that contain a text, case aside; one of under three characters is looked for in all."""
+        """``(sha)`` of the messages that contain a text, case aside."""
         messages = self.spark.read.parquet(f"{self.path}/messages")
-        if len(text) >= GRAM:
-            messages = messages.join(candidates(self.spark.read.parquet(f"{self.path}/postings"), text), "sha", "left_semi")
+        met = candidates(self.spark.read.parquet(f"{self.path}/postings"), text, self.sparse)
+        if met is not None:
+            messages = messages.join(met, "id", "left_semi")
         return messages.where(F.contains(F.lower("message"), F.lit(text.lower()))).select("sha")

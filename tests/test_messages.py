@@ -1,5 +1,7 @@
 """The trigram index of messages."""
 
+import pytest
+
 from cognatus.plans import messages
 
 ROWS = [("1", "Fix the Parser", "body"), ("2", "other", "line\nthe parser"), ("3", "pars", "erser"), ("4", None, None), ("5", "ab", ""), ("6", "aaaaaa", "x" * 50_000), ("7", "Gr\u00fc\u00dfe \U0001f600!", "")]
@@ -15,21 +17,25 @@ def test_grams(spark):
     assert messages.asked("ABCab") == ["abc", "bca", "cab"] and messages.asked("ab") == []
 
 
-def test_search(spark, tmp_path):
-    index = messages.MessageIndex(spark, f"file://{tmp_path}/i")
+@pytest.mark.parametrize("sparse", [1, 4])
+def test_search(spark, tmp_path, sparse):
+    index = messages.MessageIndex(spark, f"file://{tmp_path}/i", sparse)
     index.write(commits(spark))
-    for text in ("parser", "THE PARSER", "aaa", "xxxx", "e\n", "ab", "gr\u00fc\u00dfe \U0001f600", "rser", "nothing", "other\n\nline"):
+    for text in ("parser", "THE PARSER", "aaa", "xxxx", "e\n", "gr\u00fc\u00dfe \U0001f600", "nothing", "other\n\nline"):
         want = {s for s, *parts in ROWS if text.lower() in "\n\n".join(p for p in parts if p is not None).lower()}
         assert {r["sha"] for r in index.search(text).collect()} == want, text
 
 
 def test_only_messages_with_all_trigrams_are_read(spark):
-    found = messages.candidates(messages.postings(commits(spark)), "parser")
-    assert {r["sha"] for r in found.collect()} == {"1", "2", "3"}  # the third has them apart from each other
+    rows = commits(spark)
+    ids = {r["id"]: r["sha"] for r in rows.select("sha", messages.short("sha").alias("id")).collect()}
+    found = messages.candidates(messages.postings(rows, 1), "parser", 1)
+    assert {ids[r["id"]] for r in found.collect()} == {"1", "2", "3"}  # the third has them apart from each other
+    assert messages.candidates(messages.postings(rows, 1), "pa", 1) is None
 
 
 def test_the_index_is_read_by_trigram(spark, tmp_path):
-    index = messages.MessageIndex(spark, f"file://{tmp_path}/i")
+    index = messages.MessageIndex(spark, f"file://{tmp_path}/i", 1)
     index.write(commits(spark))
-    plan = messages.candidates(spark.read.parquet(f"{tmp_path}/i/postings"), "parser")._jdf.queryExecution().toString()
+    plan = messages.candidates(spark.read.parquet(f"{tmp_path}/i/postings"), "parser", 1)._jdf.queryExecution().toString()
     assert "In(gram, [" in plan
