@@ -1,63 +1,63 @@
 """Search in stored messages by an index of their trigrams.
 
-Every three characters in a row of a message, in lower case, are a trigram; one of ``SPARSE``, by its hash, is
+Every three bytes in a row of a message, in lower case and UTF-8, are a trigram; one of ``SPARSE``, by its hash, is
 kept in the index. A text can only stand in messages that have all its kept trigrams; the messages of these are read and
 looked at. A text without a kept trigram, as short ones may be, is looked for in all messages. The index is laid out by trigram, so a search
-reads the few row groups of its own ones. It holds 32-bit hashes of trigrams and commits: what agrees by chance is read too.
+reads the few row groups of its own ones. Commits are told by 32-bit hashes there: what agrees by chance is read too.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-GRAM, SPARSE = 3, 4
+SPARSE = 4
 
 
-def grams(message: Column | str) -> Column:
-    """The distinct trigrams of a message in lower case; none for null or less than three characters."""
-    letters = F.split(F.lower(F.coalesce(F.col(message) if isinstance(message, str) else message, F.lit(""))), "")
-    beside = F.arrays_zip(*[F.slice(letters, k + 1, F.greatest(F.size(letters), F.lit(1))).alias(f"c{k}") for k in range(GRAM)])
-    every = F.transform(beside, lambda x: F.concat(*[x[f"c{k}"] for k in range(GRAM)]))  # null where the message ends before
-    return F.array_distinct(F.array_compact(every))
+def grams(data: np.ndarray, sparse: int = SPARSE) -> np.ndarray:
+    """The distinct kept trigrams of bytes, in order; none for fewer than three."""
+    wide = data.astype(np.int32)
+    codes = wide[:-2] << 16 | wide[1:-1] << 8 | wide[2:]
+    return np.unique(codes[(codes.astype(np.uint32) * np.uint32(2654435761) >> np.uint32(16)) % sparse == 0])
 
 
 def message_of(commits: DataFrame) -> Column:
     return F.concat_ws("\n\n", "subject", "body")
 
 
-def short(value: Column | str) -> Column:
-    """A 32-bit hash."""
-    return F.hash(value)
-
-
-def is_kept(gram: Column, sparse: int) -> Column:
-    return F.pmod(F.xxhash64(gram), F.lit(sparse)) == 0
-
-
 def postings(commits: DataFrame, sparse: int = SPARSE) -> DataFrame:
     """``(gram, id)``: which messages have which of the kept trigrams."""
-    kept = F.filter(grams(message_of(commits)), lambda g: is_kept(g, sparse))
-    return commits.select(short("sha").alias("id"), F.explode(kept).alias("g")).select(short("g").alias("gram"), "id")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column("id").to_numpy(), batch.column("m").cast(pa.large_binary())
+            ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+            found, at, total = [], [], 0
+            for i, (a, b) in enumerate(zip(ends.tolist(), ends[1:].tolist(), strict=False)):
+                found.append(grams(data[a:b], sparse))
+                at.append(i)
+                total += len(found[-1])
+                if total > 1 << 18 or i == len(ids) - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.repeat(ids[at], [len(f) for f in found]))], names=["gram", "id"])
+                    found, at, total = [], [], 0
 
-def asked(text: str) -> list[str]:
-    """The distinct trigrams of what is searched, in order."""
-    low = text.lower()
-    return sorted({low[i : i + GRAM] for i in range(len(low) - GRAM + 1)})
+    return commits.select(F.hash("sha").alias("id"), F.lower(message_of(commits)).alias("m")).mapInArrow(run, "gram int, id int")
 
 
 def candidates(index: DataFrame, text: str, sparse: int = SPARSE) -> DataFrame | None:
     """``(id)`` of the messages that have all kept trigrams of the text; None if it has none."""
-    spark = index.sparkSession
-    some = spark.createDataFrame([(g,) for g in asked(text)], "g string").where(is_kept(F.col("g"), sparse))
-    hashes = sorted({r["h"] for r in some.select(short("g").alias("h")).collect()})  # of the text alone
-    if not hashes:
+    low = index.sparkSession.createDataFrame([(text,)], "t string").select(F.lower("t").alias("t")).first()["t"]
+    some = grams(np.frombuffer(low.encode(), np.uint8), sparse).tolist()
+    if not some:
         return None
-    met = index.where(F.col("gram").isin(hashes)).groupBy("id").agg(F.count_distinct("gram").alias("n"))
-    return met.where(F.col("n") == len(hashes)).select("id")
+    met = index.where(F.col("gram").isin(some)).groupBy("id").agg(F.count_distinct("gram").alias("n"))
+    return met.where(F.col("n") == len(some)).select("id")
 
 
 @dataclass
@@ -70,7 +70,7 @@ class MessageIndex:
 
     def write(self, commits: DataFrame) -> None:
         """Index ``commits`` (sha, subject, body), in place of what was there."""
-        messages = commits.select("sha", short("sha").alias("id"), message_of(commits).alias("message"))
+        messages = commits.select("sha", F.hash("sha").alias("id"), message_of(commits).alias("message"))
         messages.write.mode("overwrite").parquet(f"{self.path}/messages")
         rows = postings(commits, self.sparse).repartition("gram").sortWithinPartitions("gram")
         rows.write.mode("overwrite").parquet(f"{self.path}/postings")
