@@ -173,13 +173,17 @@ def blocks_of(data: np.ndarray, offsets: np.ndarray, plan: Plan) -> Iterator[Blo
 
 # -- what goes from parts to the sort, and back -------------------------------------------------------
 
-#: Of all rounds: a rank, what it is compared with besides, the least id that has it, whether several ids of the part have it, and the whole of a core.
-SENT = "part int, name long, tag long, m long, multi boolean, whole long"
+#: A rank, what it is compared with besides, the least id that has it, whether several ids of the part have it, and the whole of a core: what each round needs of these.
+SENT = {
+    1: "part int, name long, multi boolean",
+    2: "part int, name long, multi boolean, m long, whole long",
+    3: "part int, name long, multi boolean, m long, tag long",
+}
 BACK = "part int, round int, name long, tag long, m long, mixed boolean"
-SENT_NAMES, BACK_NAMES = ([f.split()[0] for f in s.split(", ")] for s in (SENT, BACK))
+BACK_NAMES = [f.split()[0] for f in BACK.split(", ")]
 
 
-def _sent(part: int, name: np.ndarray, m: np.ndarray, tag: np.ndarray | None = None, whole: np.ndarray | None = None) -> pa.Table:
+def _sent(number: int, part: int, name: np.ndarray, m: np.ndarray, tag: np.ndarray | None = None, whole: np.ndarray | None = None) -> pa.Table:
     """A row a rank (and tag), whatever its occurrences in the part."""
     tag = np.zeros(len(name), np.uint64) if tag is None else tag
     order = np.lexsort((name, tag)) if tag.any() else np.argsort(name, kind="stable")
@@ -187,13 +191,16 @@ def _sent(part: int, name: np.ndarray, m: np.ndarray, tag: np.ndarray | None = N
     starts = np.flatnonzero(np.concatenate(([True], (name[1:] != name[:-1]) | (tag[1:] != tag[:-1])))) if len(name) else np.zeros(0, np.int64)
     over = lambda f, x: f.reduceat(x, starts) if len(starts) else x[:0]
     least = over(np.minimum, m)
-    one = np.zeros(len(starts), np.uint64)
-    if whole is not None:
+    columns = {"part": np.full(len(starts), part, np.int32), "name": name[starts].view(np.int64), "multi": least != over(np.maximum, m)}
+    if number > 1:
+        columns["m"] = least
+    if number == 2:
         whole = whole[order]
-        a, b = over(np.minimum, whole), over(np.maximum, whole)
-        one = np.where(a == b, a, 0).astype(np.uint64)
-    columns = [np.full(len(starts), part, np.int32), name[starts].view(np.int64), tag[starts].view(np.int64), least, least != over(np.maximum, m), one.view(np.int64)]
-    return pa.table([pa.array(c) for c in columns], names=SENT_NAMES)
+        low, high = over(np.minimum, whole), over(np.maximum, whole)
+        columns["whole"] = np.where(low == high, low, 0).astype(np.uint64).view(np.int64)
+    if number == 3:
+        columns["tag"] = tag[starts].view(np.int64)
+    return pa.table({c: pa.array(v) for c, v in columns.items()})
 
 
 def judge(rows: DataFrame, number: int) -> DataFrame:
@@ -202,35 +209,43 @@ def judge(rows: DataFrame, number: int) -> DataFrame:
     ``mixed``: the parts know of more than one whole.
     """
 
+    keys = ["name", "tag"] if "tag" in rows.columns else ["name"]
+
     def groups(columns: list[np.ndarray], starts: np.ndarray) -> pa.RecordBatch:
-        part, name, tag, m, multi, whole = columns
-        sizes = np.diff(np.append(starts, len(name)))
-        shared = (sizes > 1) | np.logical_or.reduceat(multi, starts)
-        low, high = np.minimum.reduceat(whole, starts), np.maximum.reduceat(whole, starts)
-        mixed = (low != high) | (low == 0)
+        own = dict(zip(rows_of, columns, strict=True))
+        sizes = np.diff(np.append(starts, len(own["name"])))
+        shared = (sizes > 1) | np.logical_or.reduceat(own["multi"], starts)
         keep = np.repeat(shared, sizes)
-        spread = lambda x: np.repeat(x, sizes)[keep]
-        out = [part[keep], np.full(int(keep.sum()), number, np.int32), name[keep], tag[keep], spread(np.minimum.reduceat(m, starts)), spread(mixed)]
+        none, spread = np.zeros(int(keep.sum()), np.int64), lambda x: np.repeat(x, sizes)[keep]
+        least = spread(np.minimum.reduceat(own["m"], starts)) if "m" in own else none
+        mixed = none.astype(bool)
+        if "whole" in own:
+            low, high = np.minimum.reduceat(own["whole"], starts), np.maximum.reduceat(own["whole"], starts)
+            mixed = spread((low != high) | (low == 0))
+        out = [own["part"][keep], np.full(len(none), number, np.int32), own["name"][keep], own["tag"][keep] if "tag" in own else none, least, mixed]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=BACK_NAMES)
 
+    rows_of = rows.columns
+    at = [rows_of.index(k) for k in keys]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []  # the rows of the last, unended group
         for batch in batches:
             if not batch.num_rows:
                 continue
             now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if held and now[1][-1] == held[0][1][0] and now[2][-1] == held[0][2][0]:
+            if held and all(now[k][-1] == held[0][k][0] for k in at):
                 held.append(now)
                 continue
             now = [np.concatenate([*(h[k] for h in held), now[k]]) for k in range(len(now))]
-            starts = np.concatenate(([0], np.flatnonzero((now[1][1:] != now[1][:-1]) | (now[2][1:] != now[2][:-1])) + 1))
+            starts = np.concatenate(([0], np.flatnonzero(np.logical_or.reduce([now[k][1:] != now[k][:-1] for k in at])) + 1))
             if starts[-1]:
                 yield groups([c[: starts[-1]] for c in now], starts[:-1])
             held = [[c[starts[-1] :] for c in now]]
         if held:
             yield groups([np.concatenate([h[k] for h in held]) for k in range(len(held[0]))], np.zeros(1, np.int64))
 
-    return rows.repartition("name").sortWithinPartitions("name", "tag").mapInArrow(run, BACK)
+    return rows.repartition("name").sortWithinPartitions(*keys).mapInArrow(run, BACK)
 
 
 class Known:
@@ -286,7 +301,7 @@ def seeds(table: pa.Table, plan: Plan) -> pa.Table:
     ids, part = table.column("m").to_numpy(), table.column("part")[0].as_py()
     some = [(b.seed, ids[b.text]) for b in blocks_of(data, offsets, plan)]
     name, m = (np.concatenate([s[k] for s in some]) if some else np.zeros(0, t) for k, t in ((0, np.uint64), (1, np.int64)))
-    return _sent(part, name, m)
+    return _sent(1, part, name, m)
 
 
 def cores(table: pa.Table, known: Known, plan: Plan) -> pa.Table:
@@ -297,7 +312,7 @@ def cores(table: pa.Table, known: Known, plan: Plan) -> pa.Table:
         blocks = blocks.take(known.find(1, blocks.seed)[0])
         some.append((blocks.cores(plan), ids[blocks.text], blocks.wholes(plan)))
     name, m, whole = (np.concatenate([s[k] for s in some]) if some else np.zeros(0, t) for k, t in ((0, np.uint64), (1, np.int64), (2, np.uint64)))
-    return _sent(part, name, m, whole=whole)
+    return _sent(2, part, name, m, whole=whole)
 
 
 def windows(table: pa.Table, known: Known, plan: Plan) -> pa.Table:
@@ -307,7 +322,7 @@ def windows(table: pa.Table, known: Known, plan: Plan) -> pa.Table:
         at = ragged(blocks.low, size)
         some.append((ranks_at(blocks.ranks, plan.known, at, plan.width), np.repeat(ids, size), np.repeat(core, size)))
     name, m, tag = (np.concatenate([s[k] for s in some]) if some else np.zeros(0, t) for k, t in ((0, np.uint64), (1, np.int64), (2, np.uint64)))
-    return _sent(part, name, m, tag=tag)
+    return _sent(3, part, name, m, tag=tag)
 
 
 def repeats(table: pa.Table, known: Known, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -424,7 +439,7 @@ def repeated_strings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         texts, name = _bucketed(docs, id_col, text_col, part_bytes)
         back, tables = None, []
         for number, send in enumerate((seeds, cores, windows), 1):
-            tables.append(materialize(judge(_round(send, texts, back, plan, SENT), number), "ranks", compression="zstd"))
+            tables.append(materialize(judge(_round(send, texts, back, plan, SENT[number]), number), "ranks", compression="zstd"))
             back = tables[-1] if back is None else back.unionByName(tables[-1])
         found = materialize(_round(_results, texts, back, plan, RESULT), "repeats")
     spark.sql(f"DROP TABLE {name}")  # the catalog's entry; the files lie in the shared folder

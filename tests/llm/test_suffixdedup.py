@@ -106,14 +106,17 @@ def test_ranks_tell_strings_apart():
 
 
 def test_groups_over_several_batches(spark):
-    rows = [(part, 7, 0, part, False, 1) for part in range(50)] + [(1, 8, 0, 1, False, 1), (2, 9, 0, 5, True, 1), (3, 7, 1, 5, False, 1)]
+    rows = [(part, 7, False, part, 0, 1) for part in range(50)] + [(1, 8, False, 1, 0, 1), (2, 9, True, 5, 0, 1), (3, 7, False, 5, 1, 1)]
+    rows = spark.createDataFrame(rows, "part int, name long, multi boolean, m long, tag long, whole long")
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
     try:
-        got = sd.judge(spark.createDataFrame(rows, sd.SENT), 2).collect()
+        got = sd.judge(rows, 2).collect()
+        seeds = sd.judge(rows.drop("m", "tag", "whole"), 1).collect()
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert sorted((r["part"], r["name"], r["m"], r["mixed"]) for r in got) == sorted([(p, 7, 0, False) for p in range(50)] + [(2, 9, 5, False)])
+    assert sorted((r["part"], r["name"]) for r in seeds) == sorted([(p, 7) for p in range(50)] + [(2, 9), (3, 7)])
 
 
 def test_reply_is_found_by_rank_and_tag():
