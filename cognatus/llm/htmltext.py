@@ -25,21 +25,36 @@ BLOCK = set(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td "
     "tfoot th thead tr ul".split()
 )
-#: Elements that never hold main text.
-DROPPED = set("aside audio button canvas datalist dialog footer form head map math menu nav object optgroup option select svg video".split())
+#: Elements that never hold main text. Formulas do; the source they carry as an annotation does not.
+DROPPED = set(
+    "annotation annotation-xml aside audio button canvas datalist dialog footer form head map menu nav object optgroup option select svg video".split()
+)
 ROLES = set("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar tablist".split())
 #: Words of a class or id that tell of a menu, notice, advert, form or comment section.
 WORDS = set(
     "ad ads advert adverts advertisement advertising adsense banner banners breadcrumb breadcrumbs captcha comment comments "
-    "commentlist consent cookie cookies copyright disclaimer disqus donate footer gdpr header login masthead menu menus modal nav "
-    "navbar navigation newsletter notice notices notification overlay pager paging pagination popup promo promotion promoted "
-    "recommendation recommendations recommended related replies reply respond responses search share sharing sidebar signin signup "
-    "skip social sponsor sponsored subscribe subscription teaser toolbar widget widgets".split()
+    "commentlist consent cookie cookies disclaimer disqus footer gdpr header masthead menu menus modal nav "
+    "navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted "
+    "sidebar signin signup sponsor sponsored subscribe subscription toolbar widget widgets".split()
+)
+#: Words that articles are about as well. They tell as a whole name, or with other words of such places only.
+TOPICS = set(
+    "copyright donate login paging promotion recommendation recommendations recommended related replies reply respond response "
+    "responses search share sharing skip social teaser".split()
 )
-#: Frames around several regions, named after one of them (a wrapper with a sidebar, a page that has comments).
-FRAMES = set("container has layout no page with without wrapper wrap".split())
-#: A header named after the article is the article's own.
-OWN_HEADER = set("article entry post story".split())
+#: What places named by topics consist of.
+PARTS_OF_PLACES = set(
+    "area articles bar block box button buttons container count field form icon icons inner input item items left link links list media "
+    "outer panel posts right section stories this us wrap wrapper".split()
+)
+#: Elements of running text: a topic as their whole name is what they are about.
+RUNNING = set("article blockquote h1 h2 h3 h4 h5 h6 p section".split())
+#: Before a telling word: what an element has around or in it, not what it is.
+HAVING = set("has no not with without".split())
+#: At the end of a name: a frame around several regions, one of which names it.
+FRAMES = set("layout page site template".split())
+#: A header named after the article or its page is the article's own.
+OWN_HEADER = set("article entry page post story".split())
 
 
 #: What a block is: outside the article or in a dropped region; open to doubt; of the article, as marked.
@@ -69,11 +84,30 @@ class Page:
         return self.of(OPEN)
 
 
+def _telling(name: str, tag: str) -> bool:
+    """Whether one name of a class or id says that its element is no main text.
+
+    Names are read as compounds. A telling word counts wherever it stands (``ad-container``, ``cookie-wrapper``), unless the name
+    says that the element has such a part or none (``with-sidebar``, ``no-ads``, ``ad-free``), or is the frame of a whole page
+    (``sidebar-layout``, ``content-sidebar-wrap``). Topics count with parts of their places only (``social-links``, ``share``), not in
+    ``social-science`` or ``results-search``, and never name running text.
+    """
+    words = _PARTS.findall(name)
+    told = [i for i, w in enumerate(words) if w in WORDS and not (i and words[i - 1] in HAVING) and words[i + 1 : i + 2] != ["free"]]
+    if told:
+        if words[-1] in FRAMES or (words[-1] in ("wrap", "wrapper", "container") and "content" in words and "sidebar" in words):
+            return False
+        return any(words[i] != "header" for i in told) or not OWN_HEADER.intersection(words)
+    topics = TOPICS.intersection(words)
+    return bool(topics) and tag not in RUNNING and all(w in topics or w in PARTS_OF_PLACES or w.isdigit() for w in words)
+
+
 def _judge(tag: str, attributes: str, inside: bool) -> tuple[bool, int]:
     """``(dropped, rank of main region)``: 3 for an article, 2 for main, 1 for a content frame, 0 for none."""
     if tag in DROPPED or (tag == "header" and not inside):
         return True, 0
     words: list[str] = []
+    telling = False
     if attributes:
         for m in _ATTR.finditer(attributes):
             name = m[1].lower()
@@ -91,10 +125,8 @@ def _judge(tag: str, attributes: str, inside: bool) -> tuple[bool, int]:
                 return False, 2
             if name in ("class", "id"):
                 words += _PARTS.findall(value)
-    telling = WORDS.intersection(words)
-    if telling == {"header"} and OWN_HEADER.intersection(words):
-        telling = set()
-    if telling and tag not in ("html", "body", "main") and not FRAMES.intersection(words):
+                telling = telling or any(_telling(name_in, tag) for name_in in value.split())
+    if telling and tag not in ("html", "body", "main"):
         return True, 0
     if tag == "article":
         return False, 3

@@ -104,6 +104,32 @@ def test_regions():
     assert read_page("<p>5 < 6 and 7 > 3</p>").open_blocks == ["5 < 6 and 7 > 3"]
 
 
+@pytest.mark.parametrize(
+    "opening",
+    ['div class="ad-container"', 'div class="cookie-wrapper"', 'div class="sidebar no-print"', 'div class="page-sidebar"', 'div class="wrapper comments"', 'div id="page-footer"',
+     'div class="nav-container"', 'ul class="social-links"', 'div class="share"', 'div class="related-posts-2"', 'div class="search-box"', 'span class="sponsored"', 'section class="post-comments"'],
+)
+def test_names_that_tell(opening):
+    page = read_page(f"<article><p>before</p><{opening}>gone</{opening.split()[0]}><p>after</p></article>")
+    assert page.main == ["before", "after"]
+
+
+@pytest.mark.parametrize(
+    "opening",
+    ['section class="social-science"', 'section class="results-search"', 'section class="share"', 'section class="response"', 'section id="search"', 'div class="market-share"',
+     'div class="immune-response"', 'div class="wrapper with-sidebar"', 'div class="no-ads"', 'div class="ad-free"', 'div class="sidebar-layout"', 'div class="content-sidebar-wrap"',
+     'div class="page-with-comments"', 'div class="entry-header"', 'div class="page-header"', 'div class="container"', 'div class="adaptation"', 'math'],
+)
+def test_names_that_do_not_tell(opening):
+    page = read_page(f"<article><p>before</p><{opening}><p>kept</p></{opening.split()[0]}><p>after</p></article>")
+    assert page.main == ["before", "kept", "after"]
+
+
+def test_formulas_stay():
+    source = "<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding='tex'>x=2</annotation></math> hold.</p></article>"
+    assert read_page(source).main == ["Let x=2 hold."]
+
+
 def test_linear_time():
     import time
 
