@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cognatus.functions import similarity, text
 from cognatus.operators.graph import connected_components
+from cognatus.operators.overlap import overlaps
 from cognatus.plans import incremental, messages, pipeline, scoring, store, tiers, verify
 from cognatus.session import materialize, shared_path, spread
 from cognatus.sources import lists
@@ -167,6 +168,13 @@ def file_guard_pairs(spark, d):
     return _pairs(commits(spark, d)).where(tiers.files_agree("files_a", "files_b")).select("sha_a", "sha_b")
 
 
+def file_overlap_degrees(spark, d):
+    """How many commits of its subject share a file with a commit, and how many the file guard lets through; every fifth has no files."""
+    rows = commits(spark, d).where("subject <> ''")
+    files = F.when(F.col("doc_id") % 5 != 0, F.col("files"))
+    return overlaps(rows, "subject", files).degrees().withColumnRenamed("id", "sha")
+
+
 def time_band_pairs(spark, d):
     every = commits(spark, d).select("sha", "subject", "author_name", "author_date", F.array().cast("array<string>").alias("files"))
     return tiers.subject_pairs(every, carry=(), banded=True).select("sha_a", "sha_b")
@@ -447,7 +455,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         text_strip_trailers, text_normalize_diff, tag_edges, tier2_timestamp_pairs, tier3_message_pairs, tier4_fuzzy_pairs, tier2_short_messages,
         tier4_short_messages, group_similarity_short, indel_ratio_pairs,
-        file_guard_pairs, time_band_pairs, subject_buckets, bucket_size_window, ambiguous_subjects, patch_groups, group_similarity,
+        file_guard_pairs, file_overlap_degrees, time_band_pairs, subject_buckets, bucket_size_window, ambiguous_subjects, patch_groups, group_similarity,
         evidence_min_type, run_counters, assign_group_ids, upsert_hashes, stats_totals, type_histogram, group_size_stats, top5_groups, group_list,
         member_list, group_blacklist_state, prefix_lookup, siblings, same_group, message_search, blacklist_anti, distinct_union, toggle_blacklist,
         patch_header_extract, patch_compliance, full_save, patch_contraction, seed_stars, rescan_set, checkpoint_upsert, compliance_totals,
@@ -589,6 +597,12 @@ ORACLE: dict[str, str] = {
                 lambda acc, e: list_append(acc, CASE WHEN substr(a, i + 1, 1) = substr(b, e[1], 1) THEN row[e[1]] + 1 ELSE greatest(row[e[1] + 1], acc[len(acc)]) END))
             FROM lcs WHERE i < length(a)
         ) SELECT a, b, CAST(2 * row[len(row)] AS BIGINT) AS twice_lcs, CAST(length(a) + length(b) AS BIGINT) AS total FROM lcs WHERE i = length(a)""",
+    "file_overlap_degrees": f"""WITH {COMMITS}, some AS (SELECT sha, subject, CASE WHEN doc_id % 5 <> 0 THEN files ELSE [] END AS files FROM commits WHERE subject <> ''),
+met AS (
+    SELECT a.sha, list_has_any(a.files, b.files) AS shared, len(a.files) = 0 OR len(b.files) = 0 AS free
+    FROM some a JOIN some b ON a.subject = b.subject AND a.sha <> b.sha
+)
+SELECT sha, count(*) FILTER (shared) AS n_shared, count(*) FILTER (shared OR free) AS n_agree FROM some LEFT JOIN met USING (sha) GROUP BY sha""",
     "file_guard_pairs": f"WITH {COMMITS}, {PAIRS} SELECT sha_a, sha_b FROM pairs WHERE {FILES_OK}",
     "time_band_pairs": f"WITH {COMMITS}, {PAIRS} SELECT sha_a, sha_b FROM pairs WHERE {DATES_OK}",
     "subject_buckets": f"WITH {COMMITS} SELECT subject, count(*) AS n, min(sha) AS first_sha FROM commits WHERE subject <> '' GROUP BY subject HAVING count(*) >= 2",
