@@ -597,12 +597,12 @@ ORACLE: dict[str, str] = {
                 lambda acc, e: list_append(acc, CASE WHEN substr(a, i + 1, 1) = substr(b, e[1], 1) THEN row[e[1]] + 1 ELSE greatest(row[e[1] + 1], acc[len(acc)]) END))
             FROM lcs WHERE i < length(a)
         ) SELECT a, b, CAST(2 * row[len(row)] AS BIGINT) AS twice_lcs, CAST(length(a) + length(b) AS BIGINT) AS total FROM lcs WHERE i = length(a)""",
-    "file_overlap_degrees": f"""WITH {COMMITS}, some AS (SELECT sha, subject, CASE WHEN doc_id % 5 <> 0 THEN files ELSE [] END AS files FROM commits WHERE subject <> ''),
+    "file_overlap_degrees": f"""WITH {COMMITS}, shown AS (SELECT sha, subject, CASE WHEN doc_id % 5 <> 0 THEN files ELSE [] END AS files FROM commits WHERE subject <> ''),
 met AS (
     SELECT a.sha, list_has_any(a.files, b.files) AS shared, len(a.files) = 0 OR len(b.files) = 0 AS free
-    FROM some a JOIN some b ON a.subject = b.subject AND a.sha <> b.sha
+    FROM shown a JOIN shown b ON a.subject = b.subject AND a.sha <> b.sha
 )
-SELECT sha, count(*) FILTER (shared) AS n_shared, count(*) FILTER (shared OR free) AS n_agree FROM some LEFT JOIN met USING (sha) GROUP BY sha""",
+SELECT sha, count(*) FILTER (WHERE shared) AS n_shared, count(*) FILTER (WHERE shared OR free) AS n_agree FROM shown LEFT JOIN met USING (sha) GROUP BY sha""",
     "file_guard_pairs": f"WITH {COMMITS}, {PAIRS} SELECT sha_a, sha_b FROM pairs WHERE {FILES_OK}",
     "time_band_pairs": f"WITH {COMMITS}, {PAIRS} SELECT sha_a, sha_b FROM pairs WHERE {DATES_OK}",
     "subject_buckets": f"WITH {COMMITS} SELECT subject, count(*) AS n, min(sha) AS first_sha FROM commits WHERE subject <> '' GROUP BY subject HAVING count(*) >= 2",
