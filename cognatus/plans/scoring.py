@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ def _rounded_mean(total: pa.Array, count: pa.Array) -> pa.Array:
 
 #: Distinct diffs of a component that a tile holds, and their characters, about: tiles are alike in cost, so the largest component is no longest task.
 TILE, TILE_CHARS = 256, 1_600_000
+#: So many short diffs count as one of a tile's: pairs of them cost a few hundredths of a microsecond.
+SHORT_DIFFS = 16
 
 
 def _ratios(text: str, packed: list[tuple[int, similarity.Packed]], texts: list[str]) -> list[float]:
@@ -53,9 +56,49 @@ def _ratios(text: str, packed: list[tuple[int, similarity.Packed]], texts: list[
 def _tile_sums(left: list[tuple], right: list[tuple] | None) -> dict[str, float]:
     """Per key, the ratios to the other diffs of two tiles (or within one), weighted by how many members have each.
 
-    A row is ``(key, diff, n)``; sums go from the least key to the greatest.
+    A row is ``(key, diff, n)``; sums go from the least key to the greatest. Short diffs are compared with one another a numpy
+    row at a time, the rest with each other and with the short ones, packed.
     """
+    sums: dict[str, float] = {}
+    short = lambda rows: [row for row in rows if len(row[1]) <= similarity.WORD]
+    long = lambda rows: [row for row in rows if len(row[1]) > similarity.WORD]
+    parts = [_long_sums(long(left), long(right) if right is not None else None), _short_sums(short(left), short(right) if right is not None else None)]
+    parts += [_long_sums(long(left), short(left if right is None else right))]
+    parts += [_long_sums(long(right), short(left))] if right is not None else []
+    for part in parts:
+        for key, s in part.items():
+            sums[key] = sums.get(key, 0.0) + s
+    return sums
+
+
+def _short_sums(left: list[tuple], right: list[tuple] | None) -> dict[str, float]:
+    left, right = (rows and sorted(rows, key=lambda row: row[1]) for rows in (left, right))
+    others = left if right is None else right
+    if not left or not others:
+        return {}
+    weight = lambda rows: np.array([n for _, _, n in rows], np.float64)
+    own, met = np.zeros(len(left)), np.zeros(len(others))
+    n, m = weight(left), weight(others)
+    for j in range(0, len(left), similarity.WORDS):
+        # within a tile, what is before these columns has met them as its own columns' others
+        first = j if right is None else 0
+        columns = [row[1] for row in left[j : j + similarity.WORDS]]
+        for i, _, ratios in similarity.word_ratios(columns, [row[1] for row in others[first:]]):
+            rows, at = slice(first + i, first + i + len(ratios)), slice(j, j + ratios.shape[1])
+            if right is None and first + i < j + ratios.shape[1]:
+                ratios *= np.arange(first + i, first + i + len(ratios))[:, None] > np.arange(j, j + ratios.shape[1])
+            own[at] += np.einsum("ij,i->j", ratios, m[rows])
+            met[rows] += np.einsum("ij,j->i", ratios, n[at])
+    if right is None:
+        own += met
+        return {row[0]: s for row, s in zip(left, own.tolist(), strict=True)}
+    return {row[0]: s for rows, total in ((left, own), (right, met)) for row, s in zip(rows, total.tolist(), strict=True)}
+
+
+def _long_sums(left: list[tuple], right: list[tuple] | None) -> dict[str, float]:
     terms: dict[str, list[tuple[str, float]]] = {}
+    if not left or right == []:
+        return {}
     if right is None:
         left = sorted(left, key=lambda row: len(row[1]))
     texts = [diff for _, diff, _ in left]
@@ -75,7 +118,7 @@ def group_similarity(members: DataFrame, diffs: DataFrame, tile: int = TILE, cha
     The mean ratio of the member's diff to its peers', to four places. Members with equal
     diffs are compared once: a component's distinct diffs are compared, weighted by how many
     members have each, so a component of copies costs one row and no pair. A component of more
-    than ``tile`` distinct diffs, or more than ``chars`` characters, is dealt to tiles; a diff travels once to each pair of tiles
+    than ``tile`` distinct diffs (``SHORT_DIFFS`` times as many, if short), or more than ``chars`` characters, is dealt to tiles; a diff travels once to each pair of tiles
     it is in, never once a pair of diffs.
     """
     diff = F.coalesce(F.substring("diff", 1, similarity.DIFF_PREFIX), F.lit(""))
@@ -85,10 +128,11 @@ def group_similarity(members: DataFrame, diffs: DataFrame, tile: int = TILE, cha
     rows = materialize(rows.withColumn("key", F.sha2("diff", 256)), "diffs", compression="zstd")
     lengths = rows.groupBy("component", "key", "size").agg(F.count(F.lit(1)).alias("n"), F.first(F.length("diff")).alias("length"))
     lengths = materialize(lengths, "kinds")
-    wide = lengths.groupBy("component").agg(F.count(F.lit(1)).alias("kinds"), F.sum("length").alias("chars")).where("kinds > 1")
+    wide = lengths.groupBy("component").agg(F.count(F.lit(1)).alias("kinds"), F.sum("length").alias("chars"), F.sum((F.col("length") <= similarity.WORD).cast("long")).alias("short")).where("kinds > 1")
     texts = rows.groupBy("component", "key").agg(F.count(F.lit(1)).alias("n"), F.first("diff").alias("diff"))
     kinds = texts.join(wide, "component")
-    tiles = F.greatest(F.ceil(F.col("kinds") / F.lit(tile)), F.least(F.ceil(F.col("chars") / F.lit(chars)), F.col("kinds")))
+    weight = F.col("kinds") - F.col("short") + F.col("short") / F.lit(SHORT_DIFFS)
+    tiles = F.greatest(F.ceil(weight / F.lit(tile)), F.least(F.ceil(F.col("chars") / F.lit(chars)), F.col("kinds")))
     dealt = kinds.withColumn("t", tiles.cast("int"))
     dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("key"), F.col("t")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
     dealt = dealt.select("component", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "salt", "key", "diff", "n")

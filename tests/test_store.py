@@ -1,9 +1,12 @@
 """Scores, saving, lookups and verification."""
 
+import itertools
 import threading
 
 import pytest
 
+from cognatus.functions import similarity
+from cognatus.functions.similarity import indel_ratio
 from cognatus.plans import scoring, store, verify
 from cognatus.plans.store import LookupFailed, Store
 from cognatus.sources import lists
@@ -255,3 +258,24 @@ def test_many_are_resolved_as_one_by_one(small, spark):
             assert said in str(problem) and got[a][1] is None
     assert got[None] == ("malformed", None)
     assert store.resolve_all(spark.createDataFrame([], "target string"), small.hashes, small.excluded).count() == 0
+
+
+def test_short_diffs_are_not_compared_one_by_one(monkeypatch):
+    kinds = sorted({f"change {i * 7919 % 10007} of {i % 31}" for i in range(700)} | {"", "x" * 64, "y" * 65})
+    rows = [(f"{i:04d}", text, 1 + i % 3) for i, text in enumerate(kinds)]
+    short = [row for row in rows if len(row[1]) <= 64]
+
+    def brute(pairs):
+        out = {}
+        for (a, x, n), (b, y, m) in pairs:
+            ratio = indel_ratio(x, y)
+            out[a], out[b] = out.get(a, 0.0) + ratio * m, out.get(b, 0.0) + ratio * n
+        return out
+
+    some = rows[::5] + rows[-2:]
+    for left, right, pairs in ((some, None, itertools.combinations(some, 2)), (rows[:60], rows[600:], itertools.product(rows[:60], rows[600:]))):
+        got, want = scoring._tile_sums(list(dict.fromkeys(left)), right), brute(dict.fromkeys(p for p in pairs if p[0] != p[1]))
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    monkeypatch.setattr(similarity, "lcs_length", None)
+    monkeypatch.setattr(similarity, "packs", None)
+    assert len(scoring._tile_sums(short, None)) == len(short)
