@@ -146,3 +146,12 @@ def test_common_message_takes_linear_links(spark):
     rows = [{"cleaned_body": LONG, "author_date": 1_600_000_000 + 3600 * (i // 2), "files": ["f"] if i % 3 else ["f", "g"]} for i in range(n)]
     links = found(tiers.message_links(frame(spark, rows)))
     assert len(links) < 4 * n and set(labels(n, links)) == {0}
+
+
+def test_common_subject_is_dealt(spark, monkeypatch):
+    monkeypatch.setattr(tiers, "DEALT", 4)
+    rows = [(f"{i * 7 % 41:02d}", "s", i % 3 * 5_000_000 + 1) for i in range(41)] + [("x", "t", 1), ("y", "t", 0), ("z", "", 1)]
+    pairs = tiers.subject_pairs(spark.createDataFrame(rows, "sha string, subject string, author_date long"), files=False, banded=True)
+    want = [(a[0], b[0]) for a, b in itertools.combinations(sorted(rows), 2) if a[1] == b[1] != "" and a[2] and b[2] and abs(a[2] - b[2]) <= 6_480_000]
+    assert sorted((r["sha_a"], r["sha_b"]) for r in pairs.select("sha_a", "sha_b").collect()) == sorted(want)
+    assert pairs.groupBy("subject_a", "bucket_b", "part_a", "part_b").count().agg({"count": "max"}).collect()[0][0] < len(want) / 4
