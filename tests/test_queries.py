@@ -5,7 +5,7 @@ import glob
 import duckdb
 import pytest
 
-from cognatus.plans import queries, store
+from cognatus.plans import queries, store, tiers
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -46,3 +46,9 @@ def test_prefix_is_pushed_down(spark, tmp_path):
     spark.createDataFrame([("a" * 40, 1, 1, 1.0)], store.HASHES_SCHEMA).write.parquet(f"{tmp_path}/h")
     plan = store.prefix_rows(spark.read.parquet(f"{tmp_path}/h"), "aa")._jdf.queryExecution().toString()
     assert "StringStartsWith(sha,aa)" in plan
+
+
+def test_components_take_links(spark, monkeypatch):
+    """Groups are scored on tier 3's links, never on all pairs of a group of copies."""
+    monkeypatch.setattr(tiers, "message_pairs", None)
+    assert queries.group_similarity(spark, SMALL).count() == queries.group_similarity(spark, SMALL).distinct().count() > 0
