@@ -8,13 +8,12 @@ maximum-entropy distribution given the words' counts is the add-one unigram. One
 words seen once and never: half of it, as Good and Turing estimate, is the one event of an unseen
 word. The probabilities of all words and this event add up to one whatever the weights.
 
-A word's topic is the cluster of texts that most of its tokens stand in. The clusters are fitted to
-at most about ``SAMPLE`` texts (a mixture of multinomials over hashed words); all else, the
-topics of words included, covers all texts. Rare words act as features by their slot.
+A word's topic is the cluster of texts that most of its tokens stand in. The clusters (a mixture of multinomials
+over hashed words) are started from about ``SAMPLE`` texts and fitted to all in a round of their own. Rare words act as features by their slot.
 
 Scale, step by step:
 
-- The text is read once, besides the sample. Each slice of about 2 MB becomes a *part*: one row with
+- The text is read twice, besides the sample: for the clusters, whose counts are added up by cell, and for all else. Each slice of about 2 MB becomes a *part*: one row with
   its tokens as codes into its own sorted vocabulary of 64-bit word hashes.
 - Counts: every part sends its vocabulary to hash buckets, whose number follows the amount
   sent; a bucket adds up its words over all parts and sends each part its counts back. No
@@ -109,6 +108,38 @@ def _word_bins(hashes: np.ndarray) -> np.ndarray:
 def fit_topics(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     """Log probabilities of hashed words, a column for each cluster of texts; ``docs`` has id, text and trains.
 
+    A round of hard EM over all texts learned from, started by :func:`first_topics`: each text goes to its likeliest cluster, and a
+    cluster's probabilities are those of the words of all its texts. Tasks send whole counts per cluster and bin, so the order of sums changes nothing.
+    """
+    start = first_topics(docs, sample)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(TOPICS * BINS_OF_WORDS, np.int64)
+        for batch in batches:
+            for piece in slices(batch, "text", PART_BYTES):
+                tokens, lengths, hashes = _hashed(piece)
+                bins = _word_bins(hashes)
+                close = np.add.reduceat(start[bins][tokens], np.cumsum(lengths) - lengths, axis=0)
+                cell = np.repeat(np.argmax(close, axis=1), lengths) * BINS_OF_WORDS + bins[tokens]
+                sums += np.bincount(cell, minlength=len(sums))
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(sums[at], pa.int64())], names=["cell", "n"])
+
+    counted = docs.where("trains").select("text").mapInArrow(tidy(run), "cell long, n long")
+    sums = np.zeros(TOPICS * BINS_OF_WORDS)
+    for row in counted.groupBy("cell").agg(F.sum("n").alias("n")).collect():  # as many as there are cells at most
+        sums[row["cell"]] = row["n"]
+    return _log_p(sums.reshape(TOPICS, -1)) if sums.any() else start
+
+
+def _log_p(sums: np.ndarray) -> np.ndarray:
+    sums = sums + 0.1
+    return np.ascontiguousarray(np.log(sums / sums.sum(axis=1, keepdims=True)).T, np.float32)
+
+
+def first_topics(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
+    """Where :func:`fit_topics` starts.
+
     Hard EM over a sample of about ``sample`` of the texts learned from. Rows are picked, by a hash of the id and the row's place, so that
     an id on many rows brings no more of them than other ids do, and the sample stays as small.
     """

@@ -413,3 +413,17 @@ def test_scores_against_brute_force(trained, docs):
     want.sort(key=str)
     assert [x[:2] for x in got] == [x[:2] for x in want]
     assert [x[2] for x in got] == pytest.approx([x[2] for x in want], rel=1e-4, abs=1e-4)
+
+
+def test_topics_are_fitted_to_all_texts(docs):
+    """The sample only starts them: a cluster's probabilities are those of all its texts."""
+    rows = docs.select(F.col("doc_id").alias("id"), "text", maxent.learns_from().alias("trains"))
+    start, got = maxent.first_topics(rows, 20), maxent.fit_topics(rows, 20)
+    sums = np.zeros((maxent.TOPICS, maxent.BINS_OF_WORDS))
+    for r in rows.where("trains").select("text").collect():
+        piece = maxent.pa.RecordBatch.from_arrays([maxent.pa.array([r["text"]], maxent.pa.string())], names=["text"])
+        tokens, _, hashes = maxent._hashed(piece)
+        bins = maxent._word_bins(hashes)[tokens]
+        np.add.at(sums[int(np.argmax(start[bins].sum(axis=0)))], bins, 1)
+    want = np.log((sums + 0.1) / (sums + 0.1).sum(axis=1, keepdims=True)).T
+    assert np.allclose(got, want, atol=1e-4) and not np.allclose(got, start, atol=1e-2)
