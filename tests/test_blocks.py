@@ -52,3 +52,21 @@ def test_strict_ends(spark):
     pairs = tiers.timestamp_pairs(rows).unionByName(tiers.message_pairs(rows))
     ends = lambda frame: {r["sha"] for r in frame.select("sha").collect()}
     assert ends(tiers.strict_ends(rows)) == ends(tiers.ends_of(pairs)) != set()
+
+
+@pytest.mark.parametrize("kind", [{}, {"tile": 3}, {"tile": 7, "chars": 900}])
+def test_bands_and_copies(spark, monkeypatch, kind):
+    """Texts of many lengths in many bands, some near the bound, and a text that many rows have."""
+    monkeypatch.setattr(blocks, "SAME", 2)
+    rng, rows = random.Random(9), []
+    for i in range(60):
+        text = "".join(rng.choice("abcdefgh ") for _ in range(rng.choice([5, 60, 66, 80, 100, 150, 210, 300])))
+        rows += [(f"{i:02d}-{k}", "A", 1000, "".join(c for c in text if rng.random() > k / 30) + "x" * k, [], rng.choice("ss" "t")) for k in range(rng.choice([1, 2, 5]))]
+    rows += [(f"z{k}", "A", 1000, "a text of many rows", [], "s") for k in range(12)]
+    want = {}
+    for a, b in itertools.combinations(sorted(rows), 2):
+        if a[5] == b[5] and indel_ratio(a[3], b[3]) >= 0.85:
+            want[a[0], b[0]] = indel_ratio(a[3], b[3])
+    frame = spark.createDataFrame(rows, "sha string, author_name string, author_date long, cleaned_body string, files array<string>, subject string")
+    got = blocks.scored_pairs(frame, ["subject"], 0.85, **kind).collect()
+    assert len(want) > 100 and len(got) == len(want) and {(r["src"], r["dst"]): r["sim"] for r in got} == want
