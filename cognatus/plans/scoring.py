@@ -112,16 +112,16 @@ def _long_sums(left: list[tuple], right: list[tuple] | None) -> dict[str, float]
     return {key: sum(x for _, x in sorted(own)) for key, own in terms.items()}
 
 
-def group_similarity(members: DataFrame, diffs: DataFrame, tile: int = TILE, chars: int = TILE_CHARS) -> DataFrame:
+def group_similarity(members: DataFrame, diffs: DataFrame, tile: int = TILE, chars: int = TILE_CHARS, prefix: int | None = None) -> DataFrame:
     """``(sha, similarity)`` for the members of components of two or more.
 
-    The mean ratio of the member's diff to its peers', to four places. Members with equal
+    The mean ratio of the member's diff to its peers', to four places. Diffs are compared whole, or their first ``prefix`` characters. Members with equal
     diffs are compared once: a component's distinct diffs are compared, weighted by how many
     members have each, so a component of copies costs one row and no pair. A component of more
     than ``tile`` distinct diffs (``SHORT_DIFFS`` times as many, if short), or more than ``chars`` characters, is dealt to tiles; a diff travels once to each pair of tiles
     it is in, never once a pair of diffs.
     """
-    diff = F.coalesce(F.substring("diff", 1, similarity.DIFF_PREFIX), F.lit(""))
+    diff = F.coalesce("diff" if prefix is None else F.substring("diff", 1, prefix), F.lit(""))
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = members.join(sizes, "component")  # no diff of a commit that is alone is moved
     rows = members.join(diffs.select("sha", "diff"), "sha", "left").select("sha", "component", "size", diff.alias("diff"))

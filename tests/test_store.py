@@ -4,10 +4,11 @@ import itertools
 import threading
 
 import pytest
+from pyspark.sql import functions as F
 
 from cognatus.functions import similarity
 from cognatus.functions.similarity import indel_ratio
-from cognatus.plans import scoring, store, verify
+from cognatus.plans import queries, scoring, store, verify
 from cognatus.plans.store import LookupFailed, Store
 from cognatus.sources import lists
 
@@ -181,6 +182,17 @@ def test_scores_are_the_same_for_any_tile(spark):
     assert one == two == three and len(one) == 16 and 0 == min(one.values()) < max(one.values()) < 1
 
 
+def test_scores_of_whole_texts(spark, monkeypatch):
+    """The query compares texts to their ends; a scan the first 10,000 characters, as it is told."""
+    bodies = ["x" * 12_000 + end * 4_000 for end in "yz"]
+    rows = spark.createDataFrame([(SHA[i], "s", body) for i, body in enumerate(bodies)], "sha string, subject string, body string")
+    edges = spark.createDataFrame([(SHA[0], SHA[1])], "src string, dst string")
+    monkeypatch.setattr(queries, "_linked", lambda *args: (rows, edges))
+    assert {r["similarity"] for r in queries.group_similarity(spark, "").collect()} == {round(12_002 / 16_002, 4)}
+    members = rows.select("sha", F.lit("c").alias("component"))
+    assert {r["similarity"] for r in scoring.group_similarity(members, rows.withColumnRenamed("body", "diff"), prefix=10_000).collect()} == {1.0}
+
+
 def run_names(s):
     return [r["name"] for r in s._manifest()["runs"]]
 
