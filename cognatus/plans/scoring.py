@@ -26,7 +26,7 @@ def _rounded_mean(total: pa.Array, count: pa.Array) -> pa.Array:
 
 
 #: Distinct diffs of a component that a tile holds, and their characters, about: tiles are alike in cost, so the largest component is no longest task.
-TILE, TILE_CHARS = 256, 1_600_000
+TILE, TILE_CHARS = 256, 400_000
 #: So many short diffs count as one of a tile's: pairs of them cost a few hundredths of a microsecond.
 SHORT_DIFFS = 16
 
@@ -145,6 +145,8 @@ def group_similarity(members: DataFrame, diffs: DataFrame, tile: int = TILE, cha
         sums = _tile_sums(left, right)
         return pa.table({"component": pa.array([component] * len(sums), pa.string()), "key": pa.array(list(sums), pa.string()), "s": pa.array(list(sums.values()), pa.float64())})
 
+    # by number, so that partitions small in bytes are not merged: their work is not
+    dealt = dealt.repartition(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), "component", "i", "j")
     sums = dealt.groupBy("component", "i", "j").applyInArrow(compare, "component string, key string, s double")
     sums = sums.groupBy("component", "key").agg(F.sum("s").alias("s"))
     scored = lengths.join(sums, ["component", "key"], "left")
