@@ -164,3 +164,12 @@ def test_fuzzy_pairs_of_every_subject(spark, monkeypatch):
     monkeypatch.setattr(queries, "prepared", lambda spark, d: c)
     assert len(found(queries.tier4_fuzzy_pairs(spark, ""))) == 51 * 50 // 2
     assert found(tiers.fuzzy_pairs(c, tiers.timestamp_pairs(c))) == set()
+
+
+def test_subjects_do_not_travel_with_pairs(spark):
+    """What meets in a part has a short key: a subject of any length is sent once, not with each part."""
+    rows = [(f"{i:02d}", "a long subject " * 50, 1000 + i) for i in range(9)] + [("x", None, 1), ("y", "a", 1000), ("z", "a", 1001)]
+    pairs = tiers.subject_pairs(spark.createDataFrame(rows, "sha string, subject string, author_date long"), files=False, banded=True).select("sha_a", "sha_b")
+    assert pairs.count() == 9 * 8 // 2 + 1
+    joined = pairs._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[1]
+    assert "key_a" in joined and "subject_a" not in joined
